@@ -13,13 +13,14 @@ A document is its set of distinct five-word shingles.  Two documents link when
    into G subclasses by hash (G by size level, so that a subclass holds several tokens), and a
    prefix is long enough when ``rare + sum(max(0, s_j - 1)) > d``; then every partner shares a
    rare token or two tokens of one subclass inside both prefixes.
-3. *Index.*  Rare tokens (at most ``rare`` postings) are indexed alone, frequent ones as pairs
+3. *Index.*  Rare tokens (at most ``rare`` postings in prefixes) are indexed alone, frequent ones as pairs
    within a subclass.  A token's class depends on its number of postings, which is global.
 4. *Verify.*  Candidates are verified on whole sets.  Components are all that is wanted, so a
-   candidate whose two sides are known to be connected already need not be verified: in each of a
-   few rounds every set is compared with one set of another component that shares an index entry;
-   what is left across components after that is compared in full.  No pair of different
-   components that could link is left out, and copies never form pairs: equal sets are one node.
+   candidate whose two sides are known to be connected already need not be verified.  First every
+   set is compared with the least set that shares an index entry with it, then with the least set
+   of each of its entries; entries some of whose sets are still apart from the least are compared
+   in full, across components.  No pair that could link two components is left out, and copies
+   never form pairs: equal sets are one node.
 
 Defined cases: no words, null or empty text: no shingles, a component of its own.  Repeated rows
 are copies.  A null ``doc_id`` counts as larger than all others.  Extra columns are ignored.
@@ -38,9 +39,10 @@ from .scratch import Scratch
 
 WIDTH = 5
 HOT_TOKENS = 1 << 18
-RARE = 24
+#: Postings that a rare token has at most, and the count from which a token is ordered behind others.
+RARE = 1000
+OFTEN = 8
 BLOOM_BITS = 1 << 24
-ROUNDS = 2
 _U = np.uint64
 
 
@@ -231,6 +233,20 @@ def _whole_sets(width: int, bits: bytes):
     return run
 
 
+def _sets_of(texts: DataFrame, sides: DataFrame, width: int, scratch: Scratch, k: int) -> DataFrame:
+    """(node, tokens) of the nodes of ``sides``: made anew from the texts.
+
+    A Bloom filter of fixed size keeps most other sets from leaving the workers; a semi-join then
+    keeps exactly the wanted ones.
+    """
+    slots = sides.select(F.pmod(F.col("node"), F.lit(BLOOM_BITS)).alias("slot"))
+    filled = slots.groupBy(F.floor(F.col("slot") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toPandas()
+    bloom = np.zeros(BLOOM_BITS // 64, np.int64)
+    bloom[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
+    sets = texts.mapInArrow(_whole_sets(width, bloom.tobytes()), "node long, tokens array<long>")
+    return scratch.cut(sets.join(sides, "node", "left_semi").dropDuplicates(["node"]), f"sets-{k}")
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, label): the smallest node reachable, for every node of ``edges`` (a, b).
 
@@ -256,7 +272,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).unionByName(roots)
 
 
-def shingle_classes(docs: DataFrame, width: int = WIDTH, hot_tokens: int = HOT_TOKENS, rare: int = RARE) -> DataFrame:
+def shingle_classes(docs: DataFrame, width: int = WIDTH, hot_tokens: int = HOT_TOKENS, rare: int = RARE, often: int = OFTEN) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) for each row of ``docs`` (doc_id, text)."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -265,64 +281,67 @@ def shingle_classes(docs: DataFrame, width: int = WIDTH, hot_tokens: int = HOT_T
     survey = scratch.cut(texts.mapInArrow(_survey(width), "doc_id long, n long, fp long, token long, count long"), "survey")
     rows = survey.where("n is not null").select("doc_id", "n", "fp")
     counted = survey.where("token is not null").groupBy("token").agg(F.sum("count").alias("c"))
-    hot = counted.where(F.col("c") > rare).orderBy(F.desc("c"), "token").limit(hot_tokens).select("token", F.floor(F.log2("c")).cast("int").alias("level")).toPandas()
+    hot = counted.where(F.col("c") > often).orderBy(F.desc("c"), "token").limit(hot_tokens).select("token", F.floor(F.log2("c")).cast("int").alias("level")).toPandas()
     tokens, level = hot["token"].to_numpy(np.int64).view(np.uint64), hot["level"].to_numpy(np.uint8)
     order = np.argsort(tokens)
 
     prefixes = texts.mapInArrow(_prefixes(width, tokens[order].tobytes(), level[order].tobytes()), "node long, n int, pos int, token long")
     held = F.count("*").over(Window.partitionBy("token"))
-    postings = scratch.cut(prefixes.withColumn("f", held).where("f > 1").select("token", "node", "n", "pos", F.col("f") > rare), "postings").toDF("token", "node", "n", "pos", "frequent")
+    postings = scratch.cut(prefixes.withColumn("f", held).where("f > 1").select("token", "node", "n", "pos", (F.col("f") > rare).alias("frequent")), "postings")
     single = postings.where("not frequent").select(F.col("token").alias("sig"), "node", "n")
     pairs = postings.where("frequent").groupBy("node", "n").agg(F.collect_list(F.struct("pos", "token")).alias("t")).mapInArrow(_combine, "sig long, node long, n int")
     by_sig = Window.partitionBy("sig")
-    index = scratch.cut(
-        single.unionByName(pairs).withColumn("low", F.min("node").over(by_sig)).withColumn("high", F.max("node").over(by_sig)).where("low <> high").select("sig", "node", "n", "low"), "index"
-    )
+    index = single.unionByName(pairs).withColumn("low", F.min(F.struct("node", "n")).over(by_sig)).withColumn("high", F.max("node").over(by_sig)).withColumn("size", F.count("*").over(by_sig))
+    index = scratch.cut(index.where("low.node <> high").select("sig", "node", "n", F.col("low.node").alias("low"), F.col("low.n").alias("low_n"), (F.col("size") > 2).alias("many")), "index")
     scratch.drop("postings")
 
-    close = (F.least("n", "m") * 4 >= F.greatest("n", "m") * 3)
+    # every set against the least set of each of its index entries, once
+    stars = index.where("node <> low").groupBy("node", F.col("low").alias("other")).agg(F.first("n").alias("n"), F.first("low_n").alias("m"))
+    stars = scratch.cut(stars, "stars")
+    close = F.least("n", "m") * 4 >= F.greatest("n", "m") * 3
     links: DataFrame | None = None
     labels: DataFrame | None = None
     tried: DataFrame | None = None
-    for k in range(ROUNDS + 1):
+
+    def label(df: DataFrame, column: str, name: str) -> DataFrame:
         if labels is None:
-            labelled = index.withColumn("label", F.col("node"))
-        else:
-            labelled = index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            many = labelled.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("sig")
-            labelled = labelled.join(many, "sig")
-        if k < ROUNDS:  # one set of another component for each: the least, so that all meet at few
-            first = labelled.groupBy("sig").agg(F.min(F.struct("label", "node", "n")).alias("p"))
-            found = labelled.join(first, "sig").select("node", F.col("p.node").alias("other"), "n", F.col("p.n").alias("m"), "label", F.col("p.label").alias("other_label")).where("label <> other_label").where(close)
-            if tried is not None:
-                found = found.join(tried, ["node", "other"], "left_anti")
-            found = found.groupBy("node", "n").agg(F.min(F.struct("other", "m")).alias("o")).select("node", F.col("o.other").alias("other"), "n", F.col("o.m").alias("m"))
-        else:
-            a = labelled.select("sig", "node", "n", "label")
-            b = labelled.select("sig", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"))
-            found = a.join(b, "sig").where("label < other_label").where(close).select("node", "other", "n", "m").distinct()
-            if tried is not None:
-                found = found.join(tried, ["node", "other"], "left_anti")
+            return df.withColumn(name, F.col(column))
+        return df.join(labels.select(F.col("node").alias(column), F.col("label").alias("__label")), column, "left").withColumn(name, F.coalesce("__label", column)).drop("__label")
+
+    def apart(df: DataFrame) -> DataFrame:
+        """Pairs (node, other, ...) whose sides aren't known to be connected."""
+        return label(label(df, "node", "l0"), "other", "l1").where("l0 <> l1").drop("l0", "l1")
+
+    for k in range(3):
+        if k == 0:  # one pair for each set: with the least other set of all
+            found = stars.where(close).groupBy("node", "n").agg(F.min(F.struct("other", "m")).alias("o")).select("node", F.col("o.other").alias("other"), "n", F.col("o.m").alias("m"))
+        elif k == 1:  # what is left of the stars
+            found = apart(stars.where(close))
+        else:  # entries of several sets, one of which isn't connected to the least: all pairs across
+            loose = apart(stars).select("node", F.col("other").alias("low"))
+            open_sigs = index.where("many").join(loose, ["node", "low"], "left_semi").select("sig").distinct()
+            rest = label(index.where("many").join(open_sigs, "sig", "left_semi").select("sig", "node", "n"), "node", "l").distinct()
+            rest = scratch.cut(rest, "rest")
+            other = rest.select("sig", F.col("node").alias("other"), F.col("n").alias("m"), F.col("l").alias("l1"))
+            found = rest.join(other, "sig").where("l < l1").where(close).select("node", "other", "n", "m").distinct()
+        if tried is not None:
+            found = found.join(tried, ["node", "other"], "left_anti")
         found = scratch.cut(found, f"found-{k}")
         if found.isEmpty():
-            break
-        sides = found.select("node", "n").unionByName(found.select(F.col("other").alias("node"), F.col("m").alias("n"))).distinct()
-        wanted = sides.select(F.pmod(F.col("node"), F.lit(BLOOM_BITS)).alias("slot"))
-        filled = wanted.groupBy(F.floor(F.col("slot") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toPandas()
-        bloom = np.zeros(BLOOM_BITS // 64, np.int64)
-        bloom[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
-        sets = scratch.cut(texts.mapInArrow(_whole_sets(width, bloom.tobytes()), "node long, tokens array<long>").join(sides.select("node"), "node", "left_semi").dropDuplicates(["node"]), f"sets-{k}")
+            continue
+        sides = scratch.cut(found.select("node").unionByName(found.select(F.col("other").alias("node"))).distinct(), f"sides-{k}")
+        sets = _sets_of(texts, sides, width, scratch, k)
         left = found.join(sets, "node").withColumnRenamed("tokens", "x")
         both = left.join(sets.select(F.col("node").alias("other"), "tokens"), "other")
         shared = F.size(F.array_intersect("x", "tokens"))
-        checked = both.select("node", "other", (shared * 7 >= (F.col("n") + F.col("m")) * 3).alias("linked"))
-        verified = scratch.cut(checked, f"verified-{k}")
-        scratch.drop(f"sets-{k}", f"found-{k}")
+        verified = scratch.cut(both.select("node", "other", (shared * 7 >= (F.col("n") + F.col("m")) * 3).alias("linked")), f"verified-{k}")
+        scratch.drop(f"sets-{k}", f"found-{k}", f"sides-{k}")
         mine = verified.where("linked").select(F.col("node").alias("a"), F.col("other").alias("b"))
         links = mine if links is None else links.unionByName(mine)
         tried_now = verified.select("node", "other").unionByName(verified.select(F.col("other").alias("node"), F.col("node").alias("other")))
         tried = tried_now if tried is None else tried.unionByName(tried_now)
         labels = scratch.cut(components(links, scratch, f"edges{k}"), f"labels-{k}")
+    scratch.drop("index", "stars", "rest")
 
     out = rows.withColumn("node", F.when(F.col("n") > 0, F.col("fp")))
     if labels is None:

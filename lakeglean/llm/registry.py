@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard
+from . import jaccard, mixing, packing, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +14,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_secret_scan": secrets.op7_secret_scan,
+        "op10_mix_sources": mixing.op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_secret_scan": secrets.oracle(),
+        "op10_mix_sources": mixing.ORACLE,
+    }

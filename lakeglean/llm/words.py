@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are hashed at a time; bounds a worker's memory at about 60 times this.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _M = np.uint64
 
 
