@@ -209,7 +209,8 @@ def _combine(batches):
 
 
 def _whole_sets(width: int, bits: bytes):
-    """(node, set) of documents whose fingerprint may be wanted; copies within a task once."""
+    """(node, low and high halves of the set) of documents whose fingerprint may be wanted; copies
+    within a task once."""
 
     def run(batches):
         bloom = np.frombuffer(bits, np.uint64)
@@ -227,24 +228,46 @@ def _whole_sets(width: int, bits: bytes):
                         rows.append((fp, sets[bounds[i] : bounds[i + 1]].view(np.int64)))
                 if rows:
                     lens = np.array([len(s) for _, s in rows])
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(np.concatenate([s for _, s in rows])))
-                    yield pa.RecordBatch.from_arrays([pa.array([fp for fp, _ in rows], pa.int64()), lists], names=["node", "tokens"])
+                    at, flat = pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), np.concatenate([s for _, s in rows])
+                    low = pa.ListArray.from_arrays(at, pa.array(flat.astype(np.int32)))
+                    high = pa.ListArray.from_arrays(at, pa.array((flat >> 32).astype(np.int32) + (flat.astype(np.int32) < 0)))
+                    yield pa.RecordBatch.from_arrays([pa.array([fp for fp, _ in rows], pa.int64()), low, high], names=["node", "low", "high"])
 
     return run
 
 
-def _sets_of(texts: DataFrame, sides: DataFrame, width: int, scratch: Scratch, k: int) -> DataFrame:
-    """(node, tokens) of the nodes of ``sides``: made anew from the texts.
+def _sets_of(texts: DataFrame, sides: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(node, low, high) of the nodes of ``sides``: their shingles' halves, made anew from the texts.
 
-    A Bloom filter of fixed size keeps most other sets from leaving the workers; a semi-join then
-    keeps exactly the wanted ones.
+    A Bloom filter of fixed size keeps most other sets from leaving the workers; those that pass
+    it by chance join nothing later.
     """
     slots = sides.select(F.pmod(F.col("node"), F.lit(BLOOM_BITS)).alias("slot"))
     filled = slots.groupBy(F.floor(F.col("slot") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toPandas()
     bloom = np.zeros(BLOOM_BITS // 64, np.int64)
     bloom[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
-    sets = texts.mapInArrow(_whole_sets(width, bloom.tobytes()), "node long, tokens array<long>")
-    return scratch.cut(sets.join(sides, "node", "left_semi").dropDuplicates(["node"]), f"sets-{k}")
+    sets = texts.mapInArrow(_whole_sets(width, bloom.tobytes()), "node long, low array<int>, high array<int>")
+    return scratch.cut(sets.dropDuplicates(["node"]), "sets")
+
+
+def _verified(found: DataFrame, sets: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """(node, other, linked) of candidates (node, other, n, m), exactly.
+
+    Lower halves of the hashes decide all but close cases: chance matches of 32 bits are fewer
+    than the margin.  Close cases are decided on whole hashes.
+    """
+    half = sets.select("node", "low")
+    both = found.join(half.withColumnRenamed("low", "x"), "node").join(half.select(F.col("node").alias("other"), F.col("low").alias("y")), "other")
+    margin = F.lit(3) + F.ceil(F.col("n").cast("double") * F.col("m") / 2**29)
+    judged = both.select("node", "other", "n", "m", F.size(F.array_intersect("x", "y")).alias("shared"), margin.alias("margin"))
+    need = (F.col("n") + F.col("m")) * 3
+    linked = F.when((F.col("shared") - F.col("margin")) * 7 >= need, True).when((F.col("shared") + F.col("margin")) * 7 < need, False)
+    judged = scratch.cut(judged.select("node", "other", "n", "m", linked.alias("linked")), f"judged-{k}")
+    close = judged.where("linked IS NULL").drop("linked")
+    whole = sets.select("node", F.zip_with("high", "low", lambda h, x: F.shiftleft(h.cast("long"), 32) + x).alias("t"))
+    exact = close.join(whole.withColumnRenamed("t", "x"), "node").join(whole.select(F.col("node").alias("other"), F.col("t").alias("y")), "other")
+    exact = exact.select("node", "other", (F.size(F.array_intersect("x", "y")) * 7 >= need).alias("linked"))
+    return scratch.cut(judged.where("linked IS NOT NULL").select("node", "other", "linked").unionByName(exact), f"verified-{k}")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -298,6 +321,7 @@ def shingle_classes(docs: DataFrame, width: int = WIDTH, hot_tokens: int = HOT_T
     # every set against the least set of each of its index entries, once
     stars = index.where("node <> low").groupBy("node", F.col("low").alias("other")).agg(F.first("n").alias("n"), F.first("low_n").alias("m"))
     stars = scratch.cut(stars, "stars")
+    sets = _sets_of(texts, stars.select("node").unionByName(stars.select(F.col("other").alias("node"))).distinct(), width, scratch)
     close = F.least("n", "m") * 4 >= F.greatest("n", "m") * 3
     links: DataFrame | None = None
     labels: DataFrame | None = None
@@ -329,19 +353,14 @@ def shingle_classes(docs: DataFrame, width: int = WIDTH, hot_tokens: int = HOT_T
         found = scratch.cut(found, f"found-{k}")
         if found.isEmpty():
             continue
-        sides = scratch.cut(found.select("node").unionByName(found.select(F.col("other").alias("node"))).distinct(), f"sides-{k}")
-        sets = _sets_of(texts, sides, width, scratch, k)
-        left = found.join(sets, "node").withColumnRenamed("tokens", "x")
-        both = left.join(sets.select(F.col("node").alias("other"), "tokens"), "other")
-        shared = F.size(F.array_intersect("x", "tokens"))
-        verified = scratch.cut(both.select("node", "other", (shared * 7 >= (F.col("n") + F.col("m")) * 3).alias("linked")), f"verified-{k}")
-        scratch.drop(f"sets-{k}", f"found-{k}", f"sides-{k}")
+        verified = _verified(found, sets, scratch, k)
+        scratch.drop(f"found-{k}", f"judged-{k}")
         mine = verified.where("linked").select(F.col("node").alias("a"), F.col("other").alias("b"))
         links = mine if links is None else links.unionByName(mine)
         tried_now = verified.select("node", "other").unionByName(verified.select(F.col("other").alias("node"), F.col("node").alias("other")))
         tried = tried_now if tried is None else tried.unionByName(tried_now)
         labels = scratch.cut(components(links, scratch, f"edges{k}"), f"labels-{k}")
-    scratch.drop("index", "stars", "rest")
+    scratch.drop("index", "stars", "rest", "sets")
 
     out = rows.withColumn("node", F.when(F.col("n") > 0, F.col("fp")))
     if labels is None:
@@ -361,11 +380,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
   FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i+4], ' '))) END AS sh
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END AS sh
   FROM w),
 k AS (SELECT min(doc_id) AS node, list_sort(sh) AS sh, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY list_sort(sh), len(sh)),
 m AS (SELECT s.doc_id, k.node FROM s JOIN k ON list_sort(s.sh) = k.sh),

@@ -127,10 +127,10 @@ t AS (SELECT source, source_size, least(cap, weight * (SELECT level FROM l WHERE
 q AS (
   SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY turn, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT q.*, CAST(upto + e * source_size AS DOUBLE) / target AS at FROM q, range(0, 3) e(e) WHERE target > 0 AND size > 0),
+c AS (SELECT q.*, CAST(upto + e * source_size AS DOUBLE) / target AS fin FROM q, range(0, 3) e(e) WHERE target > 0 AND size > 0),
 o AS (
-  SELECT doc_id, turn, size, at, sum(size) OVER (ORDER BY (at > 1), CASE WHEN at > 1 THEN at END, turn, coalesce(source, chr(1114111)), upto, doc_id ROWS UNBOUNDED PRECEDING) AS spent FROM c),
-k AS (SELECT doc_id, turn, size, count(*) AS n FROM o WHERE at <= 1 OR spent <= (SELECT sum(source_size) FROM t) GROUP BY doc_id, turn, size)
+  SELECT doc_id, turn, size, fin, sum(size) OVER (ORDER BY (fin > 1), CASE WHEN fin > 1 THEN fin END, turn, coalesce(source, chr(1114111)), upto, doc_id ROWS UNBOUNDED PRECEDING) AS spent FROM c),
+k AS (SELECT doc_id, turn, size, count(*) AS n FROM o WHERE fin <= 1 OR spent <= (SELECT sum(source_size) FROM t) GROUP BY doc_id, turn, size)
 SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(k.n, 0) AS BIGINT) AS taken
 FROM q LEFT JOIN k ON k.doc_id = q.doc_id AND k.turn = q.turn AND k.size = q.size
 """

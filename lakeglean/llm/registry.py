@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, packing, secrets, toxicity
+from . import chat, fingerprint, htmltext, images, jaccard, mixing, packing, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,8 +15,13 @@ def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_document_fingerprints": fingerprint.op3_document_fingerprints,
+        "op4_quality_classifier": quality.op4_quality_classifier,
+        "op5_html_extraction": htmltext.op5_html_extraction,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_secret_scan": secrets.op7_secret_scan,
+        "op8_chat_formatting": chat.op8_chat_formatting,
+        "op9_media_copies": images.op9_media_copies,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 

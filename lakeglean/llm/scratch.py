@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: While a table is written: shuffle files go as soon as it is, and batches for Python stay small.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the time of a block; what was set before comes back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """A folder of intermediate tables of one operator call."""
 
@@ -33,7 +51,8 @@ class Scratch:
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return a DataFrame that reads the written files."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with settings(self.spark, WRITING):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -265,9 +265,9 @@ _BASE_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 m AS ({matches}),
 s AS (
-  SELECT rid, doc_id, kind, ord, unnest(list_transform(range(1, len(ms) + 1), i -> {{
-    'a': coalesce(list_sum(list_transform(ps[1:i], x -> length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i-1], x -> length(x))), 0),
-    'b': coalesce(list_sum(list_transform(ps[1:i], x -> length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i], x -> length(x))), 0),
+  SELECT rid, doc_id, kind, ord, unnest(list_transform(range(1, len(ms) + 1), lambda i: {{
+    'a': coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0),
+    'b': coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i], lambda x: length(x))), 0),
     'ok': length(gs[i]) >= least}})) AS v
   FROM m WHERE len(ms) > 0),
 k AS (SELECT rid, kind, ord, CAST(v.a AS BIGINT) AS a, CAST(v.b AS BIGINT) AS b FROM s WHERE v.ok),

@@ -3,7 +3,7 @@
 *Token weights.*  A word's features are the word itself and its prefixes of 3 to 6 letters (stems of
 inflected words).  Counts of toxic and clean training documents give log-odds under an informative
 Dirichlet prior, drawn from the pooled counts; a feature's weight is the lower confidence bound
-``delta - z * sigma - offset`` where positive.  A word weighs as its best feature, every other word
+``delta - z * sigma - offset`` where that is at least 0.5.  A word weighs as its best feature, every other word
 ``-drift``.
 
 *Scan.*  Ruzzo and Tompa's linear-time scan gives all maximal scoring segments of a document, over
@@ -40,8 +40,10 @@ MAX_FEATURES = 50_000
 THRESHOLD = 0.7
 DRIFT = 0.25
 OFFSET = 1.0
-Z = 1.64
+Z = 2.33
 PRIOR_SHARE = 0.05
+REPEATS = 3
+LEAST_WEIGHT = 0.5
 
 
 @dataclass
@@ -138,9 +140,11 @@ def _count(batches):
 
     for batch in batches:
         for text, y in zip(batch.column("text"), batch.column("toxic"), strict=True):
-            words = WORD.findall((text.as_py() or "").lower())
+            # a word that one document repeats says no more than one that it uses a few times
+            words = Counter(WORD.findall((text.as_py() or "").lower()))
+            words = {x: min(c, REPEATS) for x, c in words.items()}
             counts[y.as_py()].update(words)
-            counts[y.as_py()]["<all>"] += len(words)
+            counts[y.as_py()]["<all>"] += sum(words.values())
         if len(counts[0]) + len(counts[1]) > 500_000:
             yield from out()
     yield from out()
@@ -189,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_feat
     sample = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
     counts = train.mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("y1"), F.sum("clean").alias("y0"))
-    counts = counts.where("y1 > 1")
+    counts = counts.where("y1 > 2")
     found = counts.where("feature = '<all>' OR y1 * 4 > y0").orderBy((F.col("feature") != "<all>"), F.desc(F.col("y1") / (F.col("y0") + 1)), "feature").limit(max_features + 1).toPandas().set_index("feature")
     if "<all>" not in found.index or not (found.loc["<all>"] > 0).all():
         return Model()
@@ -201,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_feat
     delta = np.log((y1 + prior) / (n1 + a0 - y1 - prior)) - np.log((y0 + prior) / (n0 + a0 - y0 - prior))
     sigma = np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
     weight = delta - Z * sigma - OFFSET
-    good = weight > 0
+    good = weight > LEAST_WEIGHT
     if not good.any():
         return Model()
     model = Model(weights=dict(zip(found.index[good], weight[good].tolist(), strict=True)))
