@@ -15,7 +15,8 @@ A document is its set of distinct five-word shingles.  Two documents link when
    rare token or two tokens of one subclass inside both prefixes.
 3. *Index.*  Rare tokens (at most ``rare`` postings in prefixes) are indexed alone, frequent ones as pairs
    within a subclass.  A token's class depends on its number of postings, which is global.
-4. *Verify.*  Candidates are verified on whole sets.  Components are all that is wanted, so a
+4. *Verify.*  Candidates whose sizes and shared index entries rule a link out are dropped; the
+   others are verified on whole sets.  Components are all that is wanted, so a
    candidate whose two sides are known to be connected already need not be verified.  First every
    set is compared with the least set that shares an index entry with it, then with the least set
    of each of its entries; entries some of whose sets are still apart from the least are compared
@@ -30,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -236,7 +237,7 @@ def _whole_sets(width: int, bits: bytes):
     return run
 
 
-def _sets_of(texts: DataFrame, sides: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+def _sets_of(texts: DataFrame, sides: DataFrame, width: int, scratch: Scratch, k: int) -> DataFrame:
     """(node, low, high) of the nodes of ``sides``: their shingles' halves, made anew from the texts.
 
     A Bloom filter of fixed size keeps most other sets from leaving the workers; those that pass
@@ -247,7 +248,28 @@ def _sets_of(texts: DataFrame, sides: DataFrame, width: int, scratch: Scratch) -
     bloom = np.zeros(BLOOM_BITS // 64, np.int64)
     bloom[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
     sets = texts.mapInArrow(_whole_sets(width, bloom.tobytes()), "node long, low array<int>, high array<int>")
-    return scratch.cut(sets.dropDuplicates(["node"]), "sets")
+    return scratch.cut(sets.dropDuplicates(["node"]), f"sets-{k}")
+
+
+def _close() -> Column:
+    return F.least("n", "m") * 4 >= F.greatest("n", "m") * 3
+
+
+def _plausible(found: DataFrame, heads: DataFrame) -> DataFrame:
+    """Candidates (node, other, n, m) whose sizes and prefixes allow a link.
+
+    With prefixes of p tokens in the global order, two sets share at most what the prefixes share
+    and what the larger of the two rests, n - p, can add.
+    """
+
+    def rest(n: str) -> Column:
+        slack = F.col(n) - F.floor((F.col(n) * 3 + 3) / 4)
+        return F.greatest(F.lit(0), F.col(n) - (slack + 2 + F.greatest(F.lit(1), F.floor(F.col(n) / 32))))
+
+    both = found.where(_close()).join(heads.select("node", F.col("sigs").alias("x"), F.col("spare").alias("sx")), "node")
+    both = both.join(heads.select(F.col("node").alias("other"), F.col("sigs").alias("y"), F.col("spare").alias("sy")), "other")
+    most = F.size(F.array_intersect("x", "y")) + F.least("sx", "sy") + F.greatest(rest("n"), rest("m"))
+    return both.where(most * 7 >= (F.col("n") + F.col("m")) * 3).select("node", "other", "n", "m")
 
 
 def _verified(found: DataFrame, sets: DataFrame, scratch: Scratch, k: int) -> DataFrame:
@@ -316,13 +338,17 @@ def shingle_classes(docs: DataFrame, width: int = WIDTH, hot_tokens: int = HOT_T
     by_sig = Window.partitionBy("sig")
     index = single.unionByName(pairs).withColumn("low", F.min(F.struct("node", "n")).over(by_sig)).withColumn("high", F.max("node").over(by_sig)).withColumn("size", F.count("*").over(by_sig))
     index = scratch.cut(index.where("low.node <> high").select("sig", "node", "n", F.col("low.node").alias("low"), F.col("low.n").alias("low_n"), (F.col("size") > 2).alias("many")), "index")
+    # a set's own entries: all that its prefix can share with another's, but for frequent tokens
+    spare = postings.where("frequent").groupBy("node").agg(F.count("*").alias("spare"))
+    heads = index.groupBy("node").agg(F.collect_set("sig").alias("sigs")).join(spare, "node", "left").withColumn("spare", F.coalesce("spare", F.lit(0)))
+    heads = scratch.cut(heads, "heads")
     scratch.drop("postings")
 
     # every set against the least set of each of its index entries, once
     stars = index.where("node <> low").groupBy("node", F.col("low").alias("other")).agg(F.first("n").alias("n"), F.first("low_n").alias("m"))
     stars = scratch.cut(stars, "stars")
-    sets = _sets_of(texts, stars.select("node").unionByName(stars.select(F.col("other").alias("node"))).distinct(), width, scratch)
-    close = F.least("n", "m") * 4 >= F.greatest("n", "m") * 3
+    near = scratch.cut(_plausible(stars, heads), "near")
+    sets: DataFrame | None = None
     links: DataFrame | None = None
     labels: DataFrame | None = None
     tried: DataFrame | None = None
@@ -338,29 +364,34 @@ def shingle_classes(docs: DataFrame, width: int = WIDTH, hot_tokens: int = HOT_T
 
     for k in range(3):
         if k == 0:  # one pair for each set: with the least other set of all
-            found = stars.where(close).groupBy("node", "n").agg(F.min(F.struct("other", "m")).alias("o")).select("node", F.col("o.other").alias("other"), "n", F.col("o.m").alias("m"))
+            found = near.groupBy("node", "n").agg(F.min(F.struct("other", "m")).alias("o")).select("node", F.col("o.other").alias("other"), "n", F.col("o.m").alias("m"))
         elif k == 1:  # what is left of the stars
-            found = apart(stars.where(close))
+            found = apart(near)
         else:  # entries of several sets, one of which isn't connected to the least: all pairs across
             loose = apart(stars).select("node", F.col("other").alias("low"))
             open_sigs = index.where("many").join(loose, ["node", "low"], "left_semi").select("sig").distinct()
             rest = label(index.where("many").join(open_sigs, "sig", "left_semi").select("sig", "node", "n"), "node", "l").distinct()
             rest = scratch.cut(rest, "rest")
             other = rest.select("sig", F.col("node").alias("other"), F.col("n").alias("m"), F.col("l").alias("l1"))
-            found = rest.join(other, "sig").where("l < l1").where(close).select("node", "other", "n", "m").distinct()
+            found = _plausible(rest.join(other, "sig").where("l < l1").where(_close()).select("node", "other", "n", "m").distinct(), heads)
         if tried is not None:
             found = found.join(tried, ["node", "other"], "left_anti")
         found = scratch.cut(found, f"found-{k}")
         if found.isEmpty():
             continue
+        if k == 0 or k == 2:  # the first two rounds compare the same sets
+            pairs_of = near if k == 0 else found
+            sets = _sets_of(texts, pairs_of.select("node").unionByName(pairs_of.select(F.col("other").alias("node"))).distinct(), width, scratch, k)
         verified = _verified(found, sets, scratch, k)
         scratch.drop(f"found-{k}", f"judged-{k}")
+        if k:
+            scratch.drop("sets-0", "sets-2")
         mine = verified.where("linked").select(F.col("node").alias("a"), F.col("other").alias("b"))
         links = mine if links is None else links.unionByName(mine)
         tried_now = verified.select("node", "other").unionByName(verified.select(F.col("other").alias("node"), F.col("node").alias("other")))
         tried = tried_now if tried is None else tried.unionByName(tried_now)
         labels = scratch.cut(components(links, scratch, f"edges{k}"), f"labels-{k}")
-    scratch.drop("index", "stars", "rest", "sets")
+    scratch.drop("index", "heads", "stars", "near", "rest", "sets-0", "sets-2")
 
     out = rows.withColumn("node", F.when(F.col("n") > 0, F.col("fp")))
     if labels is None:
