@@ -162,12 +162,20 @@ def _prefixes(width: int, hot_bytes: bytes, level_bytes: bytes):
     return run
 
 
-def combinations(n: int, pos: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Index entries of a set's frequent prefix tokens: pairs within subclasses, by size level."""
+def entries(n: int, pos: np.ndarray, tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index entries, what of the set can be shared where the entry is the first shared one).
+
+    Rare tokens alone; frequent ones as pairs within subclasses, by size level, up to the prefix
+    length that suffices.  ``rest`` of a rare token is the set without the rare tokens before it;
+    of a pair, without the rare tokens before its first one and without the frequent ones before
+    that beyond one a subclass.
+    """
     d = slack(n)
     order = np.argsort(pos)
-    pos, tokens = pos[order], tokens[order].view(np.uint64)
-    out = []
+    pos, tokens, frequent = pos[order], tokens[order].view(np.uint64), frequent[order]
+    earlier = np.cumsum(frequent) - frequent  # frequent ones before each
+    sigs, rests = [tokens[~frequent].view(np.int64)], [n - pos[~frequent] + earlier[~frequent]]
+    pos, tokens, earlier = pos[frequent], tokens[frequent], earlier[frequent]
     for lev in {n.bit_length() - 1, ((3 * n + 3) // 4).bit_length() - 1}:
         g = int(subclasses(lev))
         sub = (nw.mix(tokens ^ _U(lev + 1)) % _U(g)).astype(np.int64)
@@ -178,34 +186,36 @@ def combinations(n: int, pos: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         worth = pos + 1 - np.arange(1, len(pos) + 1) + np.cumsum(repeat)
         reach = np.flatnonzero(worth > d)
         keep = len(pos) if not len(reach) else int(reach[0]) + 1
-        s, t = sub[:keep], tokens[:keep]
-        by = np.argsort(s, kind="stable")
-        s, t = s[by], t[by]
-        cuts = np.flatnonzero(np.diff(s)) + 1
-        for part in np.split(t, cuts):
-            if len(part) > 1:
-                i, j = np.triu_indices(len(part), 1)
-                a, b = np.minimum(part[i], part[j]), np.maximum(part[i], part[j])
-                out.append(nw.mix(a * _U(0x9E3779B97F4A7C15) + nw.mix(b) + _U(lev)))
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+        by = np.argsort(sub[:keep], kind="stable")
+        s, t = sub[:keep][by], tokens[:keep][by]
+        rest = (n - pos[:keep] + np.minimum(earlier[:keep], g))[by]
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(s)) + 1, [len(s)]])
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            if hi - lo > 1:
+                i, j = np.triu_indices(hi - lo, 1)
+                x, y = t[lo:hi][i], t[lo:hi][j]
+                sigs.append(nw.mix(np.minimum(x, y) * _U(0x9E3779B97F4A7C15) + nw.mix(np.maximum(x, y)) + _U(lev)).view(np.int64))
+                rests.append(rest[lo:hi][i])
+    return np.concatenate(sigs), np.concatenate(rests)
 
 
 def _combine(batches):
-    """(node, n, [(pos, token)]) to (sig, node, n)."""
+    """(node, n, [(pos, token, frequent)]) to (sig, node, n, rest)."""
     for batch in batches:
         nodes, ns = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         lists = batch.column(2)
         offsets = lists.offsets.to_numpy()
         inner = lists.values
-        pos, token = inner.field(0).to_numpy(), inner.field(1).to_numpy()
+        pos, token, frequent = inner.field(0).to_numpy(), inner.field(1).to_numpy(), inner.field(2).to_numpy(zero_copy_only=False)
         for i in range(len(nodes)):
             a, b = offsets[i], offsets[i + 1]
-            sig = combinations(int(ns[i]), pos[a:b], token[a:b])
+            _, once = np.unique(pos[a:b], return_index=True)
+            sig, rest = entries(int(ns[i]), pos[a:b][once].astype(np.int64), token[a:b][once], frequent[a:b][once])
             for k in range(0, len(sig), 100_000):
                 part = sig[k : k + 100_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part), pa.array(np.full(len(part), nodes[i])), pa.array(np.full(len(part), ns[i], np.int32))],
-                    names=["sig", "node", "n"],
+                    [pa.array(part), pa.array(np.full(len(part), nodes[i])), pa.array(np.full(len(part), ns[i], np.int32)), pa.array(rest[k : k + 100_000].astype(np.int32))],
+                    names=["sig", "node", "n", "rest"],
                 )
 
 
@@ -255,16 +265,38 @@ def _close() -> Column:
     return F.least("n", "m") * 4 >= F.greatest("n", "m") * 3
 
 
+def _across(loose: DataFrame) -> DataFrame:
+    """Candidates (node, other, n, m) of different components that share an entry, the larger first.
+
+    If the entry is the first that the two share, they share at most the lesser ``rest``, so a
+    partner is no larger than ``7/3 rest - n``.  The larger set therefore looks only at sizes from
+    3/4 of its own up to that: an equi-join on entry and size band, instead of all pairs of an
+    entry.
+    """
+    width = float(np.log(1.03))
+
+    def band(n: Column) -> Column:
+        return F.floor(F.log(n.cast("double")) / width).cast("int")
+
+    most = F.floor(F.col("rest") * 7 / 3) - F.col("n")
+    own = loose.withColumn("most", most)
+    low, top = F.ceil(F.col("n") * 3 / 4), F.least(F.col("n"), F.col("most"))
+    larger = own.where(top >= low).withColumn("band", F.explode(F.sequence(band(low), band(top))))
+    smaller = own.select("sig", band(F.col("n")).alias("band"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("l").alias("l1"), F.col("most").alias("most1"))
+    fits = (F.col("m") <= F.col("most")) & (F.col("n") <= F.col("most1")) & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") < F.col("node"))))
+    pairs = larger.join(smaller, ["sig", "band"]).where(fits & (F.col("l") != F.col("l1")))
+    return pairs.select("node", "other", "n", "m").distinct()
+
+
 def _plausible(found: DataFrame, heads: DataFrame) -> DataFrame:
     """Candidates (node, other, n, m) whose sizes and prefixes allow a link.
 
-    With prefixes of p tokens in the global order, two sets share at most what the prefixes share
-    and what the larger of the two rests, n - p, can add.
+    With the first p = slack + 1 tokens in the global order, all of them indexed, two sets share at
+    most what these share and what the larger of the two rests, n - p, can add.
     """
 
     def rest(n: str) -> Column:
-        slack = F.col(n) - F.floor((F.col(n) * 3 + 3) / 4)
-        return F.greatest(F.lit(0), F.col(n) - (slack + 2 + F.greatest(F.lit(1), F.floor(F.col(n) / 32))))
+        return F.ceil(F.col(n) * 3 / 4) - 1
 
     both = found.where(_close()).join(heads.select("node", F.col("sigs").alias("x"), F.col("spare").alias("sx")), "node")
     both = both.join(heads.select(F.col("node").alias("other"), F.col("sigs").alias("y"), F.col("spare").alias("sy")), "other")
@@ -333,21 +365,26 @@ def shingle_classes(docs: DataFrame, width: int = WIDTH, hot_tokens: int = HOT_T
     prefixes = texts.mapInArrow(_prefixes(width, tokens[order].tobytes(), level[order].tobytes()), "node long, n int, pos int, token long")
     held = F.count("*").over(Window.partitionBy("token"))
     postings = scratch.cut(prefixes.withColumn("f", held).where("f > 1").select("token", "node", "n", "pos", (F.col("f") > rare).alias("frequent")), "postings")
-    single = postings.where("not frequent").select(F.col("token").alias("sig"), "node", "n")
-    pairs = postings.where("frequent").groupBy("node", "n").agg(F.collect_list(F.struct("pos", "token")).alias("t")).mapInArrow(_combine, "sig long, node long, n int")
+    spare = scratch.cut(postings.where("frequent").groupBy("node").agg(F.count("*").alias("spare")), "spare")
+    marked = postings.join(spare, "node", "left")
+    single = marked.where("spare IS NULL").select(F.col("token").alias("sig"), "node", "n", (F.col("n") - F.col("pos")).alias("rest"))
+    pairs = marked.where("spare IS NOT NULL").groupBy("node", "n").agg(F.collect_list(F.struct("pos", "token", "frequent")).alias("t")).mapInArrow(_combine, "sig long, node long, n int, rest int")
     by_sig = Window.partitionBy("sig")
-    index = single.unionByName(pairs).withColumn("low", F.min(F.struct("node", "n")).over(by_sig)).withColumn("high", F.max("node").over(by_sig)).withColumn("size", F.count("*").over(by_sig))
-    index = scratch.cut(index.where("low.node <> high").select("sig", "node", "n", F.col("low.node").alias("low"), F.col("low.n").alias("low_n"), (F.col("size") > 2).alias("many")), "index")
+    # an entry whose rest is below 3/4 of the set can't be the first that a linked pair shares
+    index = single.unionByName(pairs).where("rest * 4L >= n * 3L")
+    index = index.withColumn("low", F.min(F.struct("node", "n", "rest")).over(by_sig)).withColumn("high", F.max("node").over(by_sig)).withColumn("size", F.count("*").over(by_sig))
+    index = index.where("low.node <> high").select("sig", "node", "n", "rest", F.col("low.node").alias("low"), F.col("low.n").alias("low_n"), F.col("low.rest").alias("low_rest"), (F.col("size") > 2).alias("many"))
+    index = scratch.cut(index, "index")
     # a set's own entries: all that its prefix can share with another's, but for frequent tokens
-    spare = postings.where("frequent").groupBy("node").agg(F.count("*").alias("spare"))
     heads = index.groupBy("node").agg(F.collect_set("sig").alias("sigs")).join(spare, "node", "left").withColumn("spare", F.coalesce("spare", F.lit(0)))
     heads = scratch.cut(heads, "heads")
     scratch.drop("postings")
 
     # every set against the least set of each of its index entries, once
-    stars = index.where("node <> low").groupBy("node", F.col("low").alias("other")).agg(F.first("n").alias("n"), F.first("low_n").alias("m"))
+    reach = F.max(F.least("rest", "low_rest")).alias("reach")
+    stars = index.where("node <> low").groupBy("node", F.col("low").alias("other")).agg(F.first("n").alias("n"), F.first("low_n").alias("m"), reach)
     stars = scratch.cut(stars, "stars")
-    near = scratch.cut(_plausible(stars, heads), "near")
+    near = scratch.cut(_plausible(stars.where("reach * 7L >= (n + m) * 3L"), heads), "near")
     sets: DataFrame | None = None
     links: DataFrame | None = None
     labels: DataFrame | None = None
@@ -370,10 +407,9 @@ def shingle_classes(docs: DataFrame, width: int = WIDTH, hot_tokens: int = HOT_T
         else:  # entries of several sets, one of which isn't connected to the least: all pairs across
             loose = apart(stars).select("node", F.col("other").alias("low"))
             open_sigs = index.where("many").join(loose, ["node", "low"], "left_semi").select("sig").distinct()
-            rest = label(index.where("many").join(open_sigs, "sig", "left_semi").select("sig", "node", "n"), "node", "l").distinct()
-            rest = scratch.cut(rest, "rest")
-            other = rest.select("sig", F.col("node").alias("other"), F.col("n").alias("m"), F.col("l").alias("l1"))
-            found = _plausible(rest.join(other, "sig").where("l < l1").where(_close()).select("node", "other", "n", "m").distinct(), heads)
+            loose = label(index.where("many").join(open_sigs, "sig", "left_semi").select("sig", "node", "n", "rest"), "node", "l").distinct()
+            loose = scratch.cut(loose, "loose")
+            found = _plausible(_across(loose), heads)
         if tried is not None:
             found = found.join(tried, ["node", "other"], "left_anti")
         found = scratch.cut(found, f"found-{k}")
@@ -391,7 +427,7 @@ def shingle_classes(docs: DataFrame, width: int = WIDTH, hot_tokens: int = HOT_T
         tried_now = verified.select("node", "other").unionByName(verified.select(F.col("other").alias("node"), F.col("node").alias("other")))
         tried = tried_now if tried is None else tried.unionByName(tried_now)
         labels = scratch.cut(components(links, scratch, f"edges{k}"), f"labels-{k}")
-    scratch.drop("index", "heads", "stars", "near", "rest", "sets-0", "sets-2")
+    scratch.drop("index", "heads", "stars", "near", "loose", "spare", "sets-0", "sets-2")
 
     out = rows.withColumn("node", F.when(F.col("n") > 0, F.col("fp")))
     if labels is None:
