@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import credit, learning, metrics, profiles, retrieval, text, traces  # noqa: F401
+from .registry import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
