@@ -18,9 +18,9 @@ A document is its set of distinct five-word shingles.  Two documents link when
 4. *Verify.*  Candidates whose sizes and shared index entries rule a link out are dropped; the
    others are verified on whole sets.  Components are all that is wanted, so a
    candidate whose two sides are known to be connected already need not be verified.  First every
-   set is compared with the least set that shares an index entry with it, then with the least set
-   of each of its entries; entries some of whose sets are still apart from the least are compared
-   in full, across components.  No pair that could link two components is left out, and copies
+   set is compared with the most central set that shares an index entry with it (whose shingles are
+   the most common), then with the most central one of each of its entries; entries some of whose
+   sets are still apart from that one are compared in full, across components.  No pair that could link two components is left out, and copies
    never form pairs: equal sets are one node.
 
 Defined cases: no words, null or empty text: no shingles, a component of its own.  Repeated rows
@@ -44,6 +44,8 @@ HOT_TOKENS = 1 << 18
 RARE = 1000
 OFTEN = 8
 BLOOM_BITS = 1 << 24
+#: Bits of a set's bitmap, in words of 64.
+BIT_WORDS = 16
 _U = np.uint64
 
 
@@ -73,8 +75,18 @@ def _sets(batch: pa.RecordBatch, width: int):
         yield lo, hi, *_distinct(*nw.shingle_hashes(w, before, width))
 
 
+def _bitmaps(sets: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """For each set the bits that its shingles' hashes fall on, as ``BIT_WORDS`` integers."""
+    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    slot = (sets % _U(BIT_WORDS * 64)).astype(np.int64)
+    flat = np.zeros((len(bounds) - 1) * BIT_WORDS, np.uint64)
+    np.bitwise_or.at(flat, rows * BIT_WORDS + (slot >> 6), _U(1) << (slot & 63).astype(np.uint64))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(bounds)) * BIT_WORDS, pa.int32()), pa.array(flat.view(np.int64)))
+
+
 def _survey(width: int):
-    """Rows (doc_id, n, fp) of documents, and (token, count) of shingles that a task met twice."""
+    """Rows (doc_id, n, fp, bits) of documents, and (token, count) of shingles that a task met twice."""
+    bits_type = pa.list_(pa.int64())
 
     def run(batches):
         kept: list[np.ndarray] = []
@@ -88,8 +100,8 @@ def _survey(width: int):
             kept.clear()
             k = len(totals["t"])
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(totals["t"].view(np.int64)), pa.array(totals["c"])],
-                names=["doc_id", "n", "fp", "token", "count"],
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, bits_type), pa.array(totals["t"].view(np.int64)), pa.array(totals["c"])],
+                names=["doc_id", "n", "fp", "bits", "token", "count"],
             )
 
         for batch in batches:
@@ -99,8 +111,8 @@ def _survey(width: int):
                 held += len(sets)
                 m = hi - lo
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, m), pa.array(np.diff(bounds)), pa.array(_fingerprint(sets, bounds).view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())],
-                    names=["doc_id", "n", "fp", "token", "count"],
+                    [ids.slice(lo, m), pa.array(np.diff(bounds)), pa.array(_fingerprint(sets, bounds).view(np.int64)), _bitmaps(sets, bounds), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())],
+                    names=["doc_id", "n", "fp", "bits", "token", "count"],
                 )
                 if held > 4_000_000:
                     yield fold()
@@ -122,7 +134,10 @@ def slack(n):
 
 
 def _prefixes(width: int, hot_bytes: bytes, level_bytes: bytes):
-    """Rows (fp, n, pos, token) of the extended prefix of each set; copies within a task once."""
+    """Rows (node, n, c, pos, token) of the extended prefix of each set; copies within a task once.
+
+    c is the set's mean level: what most of its like share counts high, what is its own low.
+    """
 
     def run(batches):
         hot, level = np.frombuffer(hot_bytes, np.uint64), np.frombuffer(level_bytes, np.uint8)
@@ -144,7 +159,7 @@ def _prefixes(width: int, hot_bytes: bytes, level_bytes: bytes):
                     tokens, r = sets[bounds[i] : bounds[i + 1]], rank[bounds[i] : bounds[i + 1]]
                     if r.any():
                         tokens = tokens[np.argsort(r, kind="stable")]
-                    out.append((fp, n, tokens[: slack(n) + 2 + max(1, n // 32)]))
+                    out.append((fp, n, int(r.mean() * 1000), tokens[: slack(n) + 2 + max(1, n // 32)]))
                 if not out:
                     continue
                 lens = np.array([len(t) for *_, t in out])
@@ -153,10 +168,11 @@ def _prefixes(width: int, hot_bytes: bytes, level_bytes: bytes):
                     [
                         pa.array(np.repeat(np.array([x[0] for x in out]), lens)),
                         pa.array(np.repeat(np.array([x[1] for x in out]), lens).astype(np.int32)),
+                        pa.array(np.repeat(np.array([x[2] for x in out]), lens).astype(np.int32)),
                         pa.array(pos.astype(np.int32)),
                         pa.array(np.concatenate([t for *_, t in out]).view(np.int64)),
                     ],
-                    names=["node", "n", "pos", "token"],
+                    names=["node", "n", "c", "pos", "token"],
                 )
 
     return run
@@ -200,10 +216,10 @@ def entries(n: int, pos: np.ndarray, tokens: np.ndarray, frequent: np.ndarray) -
 
 
 def _combine(batches):
-    """(node, n, [(pos, token, frequent)]) to (sig, node, n, rest)."""
+    """(node, n, c, [(pos, token, frequent)]) to (sig, node, n, c, rest)."""
     for batch in batches:
-        nodes, ns = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        lists = batch.column(2)
+        nodes, ns, cs = (batch.column(i).to_numpy() for i in range(3))
+        lists = batch.column(3)
         offsets = lists.offsets.to_numpy()
         inner = lists.values
         pos, token, frequent = inner.field(0).to_numpy(), inner.field(1).to_numpy(), inner.field(2).to_numpy(zero_copy_only=False)
@@ -214,8 +230,8 @@ def _combine(batches):
             for k in range(0, len(sig), 100_000):
                 part = sig[k : k + 100_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part), pa.array(np.full(len(part), nodes[i])), pa.array(np.full(len(part), ns[i], np.int32)), pa.array(rest[k : k + 100_000].astype(np.int32))],
-                    names=["sig", "node", "n", "rest"],
+                    [pa.array(part), pa.array(np.full(len(part), nodes[i])), pa.array(np.full(len(part), ns[i], np.int32)), pa.array(np.full(len(part), cs[i], np.int32)), pa.array(rest[k : k + 100_000].astype(np.int32))],
+                    names=["sig", "node", "n", "c", "rest"],
                 )
 
 
@@ -265,31 +281,42 @@ def _close() -> Column:
     return F.least("n", "m") * 4 >= F.greatest("n", "m") * 3
 
 
-def _across(loose: DataFrame) -> DataFrame:
-    """Candidates (node, other, n, m) of different components that share an entry, the larger first.
+def _bit_bound(n: Column, mine: Column, theirs: Column) -> Column:
+    """What two sets share at most: a bit of mine that theirs lacks stands for a shingle that they lack."""
+    lacking = [F.bit_count(mine[i].bitwiseAND(F.bitwise_not(theirs[i]))) for i in range(BIT_WORDS)]
+    return n - sum(lacking[1:], lacking[0])
 
-    If the entry is the first that the two share, they share at most the lesser ``rest``, so a
-    partner is no larger than ``7/3 rest - n``.  The larger set therefore looks only at sizes from
-    3/4 of its own up to that: an equi-join on entry and size band, instead of all pairs of an
-    entry.
+
+def _across(loose: DataFrame, heads: DataFrame) -> DataFrame:
+    """Candidates (node, other, n, m) of different components that share an entry.
+
+    Those of an entry's largest component are not compared with each other, so only the other
+    sets look for partners: by an equi-join on entry and size band, 3/4 to 4/3 of their own size.  If
+    the entry is the first that two sets share, they share at most the lesser ``rest``; and by
+    their bitmaps they share at most what ``_bit_bound`` says.
     """
-    width = float(np.log(1.03))
+    width = float(np.log(1.08))
 
     def band(n: Column) -> Column:
         return F.floor(F.log(n.cast("double")) / width).cast("int")
 
-    most = F.floor(F.col("rest") * 7 / 3) - F.col("n")
-    own = loose.withColumn("most", most)
-    low, top = F.ceil(F.col("n") * 3 / 4), F.least(F.col("n"), F.col("most"))
-    larger = own.where(top >= low).withColumn("band", F.explode(F.sequence(band(low), band(top))))
-    smaller = own.select("sig", band(F.col("n")).alias("band"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("l").alias("l1"), F.col("most").alias("most1"))
-    fits = (F.col("m") <= F.col("most")) & (F.col("n") <= F.col("most1")) & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") < F.col("node"))))
-    pairs = larger.join(smaller, ["sig", "band"]).where(fits & (F.col("l") != F.col("l1")))
+    sizes = loose.groupBy("sig", "l").agg(F.count("*").alias("k"))
+    big = sizes.groupBy("sig").agg(F.max_by("l", F.struct("k", "l")).alias("big"))
+    own = loose.join(big, "sig").join(heads.select("node", "bits"), "node").withColumn("most", F.floor(F.col("rest") * 7 / 3) - F.col("n"))
+    low, top = F.ceil(F.col("n") * 3 / 4), F.least(F.floor(F.col("n") * 4 / 3), F.col("most"))
+    asking = own.where(F.col("l") != F.col("big")).where(top >= low).withColumn("band", F.explode(F.sequence(band(low), band(top))))
+    asked = own.select("sig", band(F.col("n")).alias("band"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("l").alias("l1"), F.col("most").alias("most1"), F.col("bits").alias("bits1"))
+    once = (F.col("l1") == F.col("big")) | (F.col("other") < F.col("node"))
+    fits = (F.col("l") != F.col("l1")) & once & (F.col("m") <= F.col("most")) & (F.col("n") <= F.col("most1"))
+    need = (F.col("n") + F.col("m")) * 3
+    bits, bits1 = F.col("bits"), F.col("bits1")
+    fits = fits & (_bit_bound(F.col("n"), bits, bits1) * 7 >= need) & (_bit_bound(F.col("m"), bits1, bits) * 7 >= need)
+    pairs = asking.join(asked, (asking["sig"] == asked["sig"]) & (asking["band"] == asked["band"]) & fits)
     return pairs.select("node", "other", "n", "m").distinct()
 
 
-def _plausible(found: DataFrame, heads: DataFrame) -> DataFrame:
-    """Candidates (node, other, n, m) whose sizes and prefixes allow a link.
+def _plausible(found: DataFrame, heads: DataFrame, *keep: str) -> DataFrame:
+    """Candidates (node, other, n, m) whose sizes, bitmaps and prefixes allow a link.
 
     With the first p = slack + 1 tokens in the global order, all of them indexed, two sets share at
     most what these share and what the larger of the two rests, n - p, can add.
@@ -298,10 +325,13 @@ def _plausible(found: DataFrame, heads: DataFrame) -> DataFrame:
     def rest(n: str) -> Column:
         return F.ceil(F.col(n) * 3 / 4) - 1
 
-    both = found.where(_close()).join(heads.select("node", F.col("sigs").alias("x"), F.col("spare").alias("sx")), "node")
-    both = both.join(heads.select(F.col("node").alias("other"), F.col("sigs").alias("y"), F.col("spare").alias("sy")), "other")
+    x = heads.select("node", F.col("sigs").alias("x"), F.col("spare").alias("sx"), F.col("bits").alias("bx"))
+    y = heads.select(F.col("node").alias("other"), F.col("sigs").alias("y"), F.col("spare").alias("sy"), F.col("bits").alias("by_"))
+    both = found.where(_close()).join(x, "node")
+    need = (F.col("n") + F.col("m")) * 3
     most = F.size(F.array_intersect("x", "y")) + F.least("sx", "sy") + F.greatest(rest("n"), rest("m"))
-    return both.where(most * 7 >= (F.col("n") + F.col("m")) * 3).select("node", "other", "n", "m")
+    bits = (_bit_bound(F.col("n"), F.col("bx"), F.col("by_")) * 7 >= need) & (_bit_bound(F.col("m"), F.col("by_"), F.col("bx")) * 7 >= need)
+    return both.join(y, (both["other"] == y["other"]) & bits & (most * 7 >= need)).select("node", both["other"], "n", "m", *keep)
 
 
 def _verified(found: DataFrame, sets: DataFrame, scratch: Scratch, k: int) -> DataFrame:
@@ -355,36 +385,38 @@ def shingle_classes(docs: DataFrame, width: int = WIDTH, hot_tokens: int = HOT_T
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    survey = scratch.cut(texts.mapInArrow(_survey(width), "doc_id long, n long, fp long, token long, count long"), "survey")
-    rows = survey.where("n is not null").select("doc_id", "n", "fp")
+    survey = scratch.cut(texts.mapInArrow(_survey(width), "doc_id long, n long, fp long, bits array<long>, token long, count long"), "survey")
+    rows_of = survey.where("n is not null")
+    rows = rows_of.select("doc_id", "n", "fp")
     counted = survey.where("token is not null").groupBy("token").agg(F.sum("count").alias("c"))
     hot = counted.where(F.col("c") > often).orderBy(F.desc("c"), "token").limit(hot_tokens).select("token", F.floor(F.log2("c")).cast("int").alias("level")).toPandas()
     tokens, level = hot["token"].to_numpy(np.int64).view(np.uint64), hot["level"].to_numpy(np.uint8)
     order = np.argsort(tokens)
 
-    prefixes = texts.mapInArrow(_prefixes(width, tokens[order].tobytes(), level[order].tobytes()), "node long, n int, pos int, token long")
+    prefixes = texts.mapInArrow(_prefixes(width, tokens[order].tobytes(), level[order].tobytes()), "node long, n int, c int, pos int, token long")
     held = F.count("*").over(Window.partitionBy("token"))
-    postings = scratch.cut(prefixes.withColumn("f", held).where("f > 1").select("token", "node", "n", "pos", (F.col("f") > rare).alias("frequent")), "postings")
+    postings = scratch.cut(prefixes.withColumn("f", held).where("f > 1").select("token", "node", "n", "c", "pos", (F.col("f") > rare).alias("frequent")), "postings")
     spare = scratch.cut(postings.where("frequent").groupBy("node").agg(F.count("*").alias("spare")), "spare")
     marked = postings.join(spare, "node", "left")
-    single = marked.where("spare IS NULL").select(F.col("token").alias("sig"), "node", "n", (F.col("n") - F.col("pos")).alias("rest"))
-    pairs = marked.where("spare IS NOT NULL").groupBy("node", "n").agg(F.collect_list(F.struct("pos", "token", "frequent")).alias("t")).mapInArrow(_combine, "sig long, node long, n int, rest int")
+    single = marked.where("spare IS NULL").select(F.col("token").alias("sig"), "node", "n", "c", (F.col("n") - F.col("pos")).alias("rest"))
+    pairs = marked.where("spare IS NOT NULL").groupBy("node", "n", "c").agg(F.collect_list(F.struct("pos", "token", "frequent")).alias("t")).mapInArrow(_combine, "sig long, node long, n int, c int, rest int")
     by_sig = Window.partitionBy("sig")
     # an entry whose rest is below 3/4 of the set can't be the first that a linked pair shares
     index = single.unionByName(pairs).where("rest * 4L >= n * 3L")
-    index = index.withColumn("low", F.min(F.struct("node", "n", "rest")).over(by_sig)).withColumn("high", F.max("node").over(by_sig)).withColumn("size", F.count("*").over(by_sig))
-    index = index.where("low.node <> high").select("sig", "node", "n", "rest", F.col("low.node").alias("low"), F.col("low.n").alias("low_n"), F.col("low.rest").alias("low_rest"), (F.col("size") > 2).alias("many"))
-    index = scratch.cut(index, "index")
+    pivot = F.max(F.struct("c", "node", "n", "rest")).over(by_sig)
+    index = index.withColumns({"p": pivot, "high": F.max("node").over(by_sig), "low": F.min("node").over(by_sig), "size": F.count("*").over(by_sig)}).where("low <> high")
+    index = scratch.cut(index.select("sig", "node", "n", "rest", F.col("p.node").alias("low"), F.col("p.n").alias("low_n"), F.col("p.rest").alias("low_rest"), F.col("p.c").alias("low_c"), (F.col("size") > 2).alias("many")), "index")
     # a set's own entries: all that its prefix can share with another's, but for frequent tokens
     heads = index.groupBy("node").agg(F.collect_set("sig").alias("sigs")).join(spare, "node", "left").withColumn("spare", F.coalesce("spare", F.lit(0)))
-    heads = scratch.cut(heads, "heads")
+    bitmaps = rows_of.groupBy(F.col("fp").alias("node")).agg(F.first("bits").alias("bits"))
+    heads = scratch.cut(heads.join(bitmaps, "node"), "heads")
     scratch.drop("postings")
 
     # every set against the least set of each of its index entries, once
     reach = F.max(F.least("rest", "low_rest")).alias("reach")
-    stars = index.where("node <> low").groupBy("node", F.col("low").alias("other")).agg(F.first("n").alias("n"), F.first("low_n").alias("m"), reach)
+    stars = index.where("node <> low").groupBy("node", F.col("low").alias("other")).agg(F.first("n").alias("n"), F.first("low_n").alias("m"), F.first("low_c").alias("c"), reach)
     stars = scratch.cut(stars, "stars")
-    near = scratch.cut(_plausible(stars.where("reach * 7L >= (n + m) * 3L"), heads), "near")
+    near = scratch.cut(_plausible(stars.where("reach * 7L >= (n + m) * 3L"), heads, "c"), "near")
     sets: DataFrame | None = None
     links: DataFrame | None = None
     labels: DataFrame | None = None
@@ -401,15 +433,15 @@ def shingle_classes(docs: DataFrame, width: int = WIDTH, hot_tokens: int = HOT_T
 
     for k in range(3):
         if k == 0:  # one pair for each set: with the least other set of all
-            found = near.groupBy("node", "n").agg(F.min(F.struct("other", "m")).alias("o")).select("node", F.col("o.other").alias("other"), "n", F.col("o.m").alias("m"))
+            found = near.groupBy("node", "n").agg(F.max(F.struct("c", "other", "m")).alias("o")).select("node", F.col("o.other").alias("other"), "n", F.col("o.m").alias("m"))
         elif k == 1:  # what is left of the stars
-            found = apart(near)
+            found = apart(near.drop("c"))
         else:  # entries of several sets, one of which isn't connected to the least: all pairs across
             loose = apart(stars).select("node", F.col("other").alias("low"))
             open_sigs = index.where("many").join(loose, ["node", "low"], "left_semi").select("sig").distinct()
             loose = label(index.where("many").join(open_sigs, "sig", "left_semi").select("sig", "node", "n", "rest"), "node", "l").distinct()
             loose = scratch.cut(loose, "loose")
-            found = _plausible(_across(loose), heads)
+            found = _plausible(_across(loose, heads), heads)
         if tried is not None:
             found = found.join(tried, ["node", "other"], "left_anti")
         found = scratch.cut(found, f"found-{k}")
