@@ -29,8 +29,7 @@ def reference_edges(ref: DataFrame, value: str, bins: int = BINS) -> list[float]
 def _index(counts: DataFrame) -> DataFrame:
     """(psi) from (ref, served) counts of each bin."""
     every = Window.partitionBy()
-    a = F.greatest(F.col("ref") / F.sum("ref").over(every), F.lit(EPSILON))
-    b = F.greatest(F.col("served") / F.sum("served").over(every), F.lit(EPSILON))
+    a, b = (F.greatest(F.coalesce(F.try_divide(F.col(c), F.sum(c).over(every)), F.lit(0.0)), F.lit(EPSILON)) for c in ("ref", "served"))
     return counts.withColumns({"a": a, "b": b}).agg(F.sum((F.col("b") - F.col("a")) * F.log(F.col("b") / F.col("a"))).alias("psi"))
 
 

@@ -19,6 +19,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from . import metrics as M
 from . import resample as R
 
@@ -80,13 +81,13 @@ def cross_validated(df: DataFrame, fit: Factory, y: str = "y", s: str = "s", fol
 
 def permutation_check(df: DataFrame, fit: Factory, key: str, y: str = "y", seeds: tuple[int, ...] = (R.SEED,), folds: int = 5) -> DataFrame:
     """(seed, pr_auc, roc_auc, floor, deviations, within tolerance) after shuffling the labels."""
-    out = None
-    for seed in seeds:
-        shuffled = R.permuted(df, key, y, seed)
-        scored = out_of_fold(R.stratified_folds(shuffled, key, y, folds, seed), fit)
-        one = M.all_metrics(scored, y, "s").crossJoin(F.broadcast(scored.agg(F.avg(F.col(y).cast("double")).alias("floor"))))  # one row
-        one = one.select(F.lit(seed).cast("bigint").alias("seed"), "pr_auc", "roc_auc", "floor")
-        out = one if out is None else out.unionByName(one)
+    rows = []
+    for seed in seeds:  # each permutation ends in one row
+        shuffled = written(R.stratified_folds(R.permuted(df, key, y, seed), key, y, folds, seed), "permuted")
+        scored = written(out_of_fold(shuffled, fit).select(y, "s"), "scored")
+        m = M.all_metrics(scored, y, "s").first()
+        rows.append((seed, m["pr_auc"], m["roc_auc"], scored.agg(F.avg(F.col(y).cast("double"))).first()[0]))
+    out = df.sparkSession.createDataFrame(rows, "seed bigint, pr_auc double, roc_auc double, floor double")
     dr, dp = F.abs(F.col("roc_auc") - 0.5), F.abs(F.col("pr_auc") - F.col("floor"))
     return out.withColumns({"roc_deviation": dr, "pr_deviation": dp, "clean": (dr <= ROC_TOLERANCE) & (dp <= PR_TOLERANCE)})
 
@@ -173,9 +174,8 @@ def exported(model) -> list[dict[str, np.ndarray]]:
             i = len(nodes["feature"])
             for k in nodes:
                 nodes[k].append(0)
-            stats = list(node.impurityStats()) if hasattr(node, "impurityStats") else None
             nodes["feature"][i] = -1
-            if node.numDescendants():
+            if node.getClass().getSimpleName() == "InternalNode":
                 split = node.split()
                 nodes["feature"][i], nodes["threshold"][i] = split.featureIndex(), split.threshold()
                 nodes["left"][i] = walk(node.leftChild())
@@ -185,7 +185,6 @@ def exported(model) -> list[dict[str, np.ndarray]]:
                 counts = list(node.impurityStats().stats())
                 nodes["cover"][i] = sum(counts)
                 nodes["value"][i] = counts[1] / sum(counts) if sum(counts) else 0.0
-            del stats
             return i
 
         walk(tree._call_java("rootNode"))

@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
+
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with 0-based positions in ``order``, made by range partitioning.
 
-    The partition of a row is fixed by a persisted sort, so positions agree between the count
-    and the numbering.
+    The partition of a row is fixed by writing it, so positions agree between the count and the
+    numbering.
     """
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist()
+    ranged = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
     sums = ranged.groupBy("__part").agg(F.count("*").alias("__c"))
     before = F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select("__part", before.alias("__before"))  # one row a partition

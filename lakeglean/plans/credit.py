@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..operators import contract as C
 from ..operators import fitting, panel
 from ..sources import tables
+from ..sources.shared import shared_dir
 from . import views as V
 from .registry import query
 
@@ -33,25 +36,10 @@ def scan_parquet(spark, d):
 @query("scan_raw", f"WITH {V.PANEL} SELECT * FROM panel WHERE ID % 3 = 0")
 def scan_raw(spark, d):
     """The panel in raw spelling through CSV and back under the contract's schema."""
-    from ..sources.tables import read_raw
-    from .views import panel as view
-
-    path = _shared(spark, "raw-csv")
+    path = f"{shared_dir(spark)}/raw-csv-{uuid.uuid4().hex[:12]}"
     spelling = {v: k for k, v in C.RAW_NAMES.items()}
-    view(spark, d).withColumnsRenamed(spelling).write.mode("overwrite").option("header", True).csv(path)
-    return C.canonical(read_raw(spark, path), drop_id=False).where("ID % 3 = 0")
-
-
-def _shared(spark, name: str) -> str:
-    """A folder below spark.checkpoint.dir; one of our own only where none is set."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lakeglean-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    V.panel(spark, d).withColumnsRenamed(spelling).write.mode("overwrite").option("header", True).csv(path)
+    return C.canonical(tables.read_raw(spark, path), drop_id=False).where("ID % 3 = 0")
 
 
 @query("load_canonical", f"WITH {V.PANEL} SELECT * EXCLUDE (ID) FROM panel")
