@@ -44,7 +44,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFram
     total = F.sum("source_size").over(Window.partitionBy())
     levels = named.withColumn("level", (total - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / F.sum("weight").over(since))
     # the first source, by ratio, that the level does not fill ends the capped ones
-    level = F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(Window.partitionBy())["level"]
+    # (of equal ratios the one with the highest level, which counts the weights of them all)
+    first = F.struct("ratio", (-F.col("level")).alias("down"))
+    level = -F.min(F.when(F.col("ratio") >= F.col("level"), first)).over(Window.partitionBy())["down"]
     return levels.withColumn("at", level).select("source", "source_size", F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("at") * F.col("weight"))).alias("target"))
 
 
@@ -123,7 +125,7 @@ r AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / we
 l AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
-t AS (SELECT source, source_size, least(cap, weight * (SELECT level FROM l WHERE ratio >= level ORDER BY ratio LIMIT 1)) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, weight * (SELECT level FROM l WHERE ratio >= level ORDER BY ratio, level DESC LIMIT 1)) AS target FROM l),
 q AS (
   SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY turn, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
