@@ -29,6 +29,8 @@ are copies.  A null ``doc_id`` counts as larger than all others.  Extra columns
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,7 +116,7 @@ def _survey(width: int):
                     [ids.slice(lo, m), pa.array(np.diff(bounds)), pa.array(_fingerprint(sets, bounds).view(np.int64)), _bitmaps(sets, bounds), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())],
                     names=["doc_id", "n", "fp", "bits", "token", "count"],
                 )
-                if held > 4_000_000:
+                if held > 2_000_000:
                     yield fold()
                     held = 0
         if kept:
@@ -270,9 +272,9 @@ def _sets_of(texts: DataFrame, sides: DataFrame, width: int, scratch: Scratch, k
     it by chance join nothing later.
     """
     slots = sides.select(F.pmod(F.col("node"), F.lit(BLOOM_BITS)).alias("slot"))
-    filled = slots.groupBy(F.floor(F.col("slot") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toPandas()
+    filled = slots.groupBy(F.floor(F.col("slot") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
     bloom = np.zeros(BLOOM_BITS // 64, np.int64)
-    bloom[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
+    bloom[filled["word"].to_numpy().astype(np.int64)] = filled["bits"].to_numpy().astype(np.int64)
     sets = texts.mapInArrow(_whole_sets(width, bloom.tobytes()), "node long, low array<int>, high array<int>")
     return scratch.cut(sets.dropDuplicates(["node"]), f"sets-{k}")
 
@@ -379,8 +381,19 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).unionByName(roots)
 
 
-def shingle_classes(docs: DataFrame, width: int = WIDTH, hot_tokens: int = HOT_TOKENS, rare: int = RARE, often: int = OFTEN) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id) for each row of ``docs`` (doc_id, text)."""
+@dataclass
+class Index:
+    """The index of a table: its rows' sets, entries, and what bounds a candidate's overlap."""
+
+    texts: DataFrame  # (doc_id, text)
+    rows: DataFrame  # (doc_id, n, fp)
+    entries: DataFrame  # (sig, node, n, rest, low, low_n, low_rest, low_c, many)
+    heads: DataFrame  # (node, sigs, spare, bits)
+    scratch: Scratch
+    width: int
+
+
+def build(docs: DataFrame, width: int = WIDTH, hot_tokens: int = HOT_TOKENS, rare: int = RARE, often: int = OFTEN) -> Index:
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -389,8 +402,8 @@ def shingle_classes(docs: DataFrame, width: int = WIDTH, hot_tokens: int = HOT_T
     rows_of = survey.where("n is not null")
     rows = rows_of.select("doc_id", "n", "fp")
     counted = survey.where("token is not null").groupBy("token").agg(F.sum("count").alias("c"))
-    hot = counted.where(F.col("c") > often).orderBy(F.desc("c"), "token").limit(hot_tokens).select("token", F.floor(F.log2("c")).cast("int").alias("level")).toPandas()
-    tokens, level = hot["token"].to_numpy(np.int64).view(np.uint64), hot["level"].to_numpy(np.uint8)
+    hot = counted.where(F.col("c") > often).orderBy(F.desc("c"), "token").limit(hot_tokens).select("token", F.floor(F.log2("c")).cast("int").alias("level")).toArrow()
+    tokens, level = hot["token"].to_numpy().astype(np.int64).view(np.uint64), hot["level"].to_numpy().astype(np.uint8)
     order = np.argsort(tokens)
 
     prefixes = texts.mapInArrow(_prefixes(width, tokens[order].tobytes(), level[order].tobytes()), "node long, n int, c int, pos int, token long")
@@ -411,8 +424,31 @@ def shingle_classes(docs: DataFrame, width: int = WIDTH, hot_tokens: int = HOT_T
     bitmaps = rows_of.groupBy(F.col("fp").alias("node")).agg(F.first("bits").alias("bits"))
     heads = scratch.cut(heads.join(bitmaps, "node"), "heads")
     scratch.drop("postings")
+    return Index(texts, rows, index, heads, scratch, width)
 
-    # every set against the least set of each of its index entries, once
+
+def shingle_links(docs: DataFrame, **options) -> DataFrame:
+    """(doc_a, doc_b, class_a, class_b): every link between different sets, each once, by the
+    smallest document of each class (see ``shingle_classes`` for the classes' members).
+
+    All links of n near copies are of order n squared; ``shingle_classes`` doesn't need them.
+    """
+    x = build(docs, **options)
+    two = x.entries.where("NOT many AND node <> low").select("node", F.col("low").alias("other"), "n", F.col("low_n").alias("m"))
+    every = x.entries.where("many").select("sig", "node", "n", "rest", F.col("node").alias("l")).distinct()
+    found = x.scratch.cut(_plausible(two.unionByName(_across(every, x.heads)).distinct(), x.heads), "found")
+    sets = _sets_of(x.texts, found.select("node").unionByName(found.select(F.col("other").alias("node"))).distinct(), x.width, x.scratch, 0)
+    linked = _verified(found, sets, x.scratch, 0).where("linked").select(F.least("node", "other").alias("class_a"), F.greatest("node", "other").alias("class_b")).distinct()
+    first = x.rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc"))
+    out = linked.join(first.select(F.col("fp").alias("class_a"), F.col("doc").alias("doc_a")), "class_a")
+    return out.join(first.select(F.col("fp").alias("class_b"), F.col("doc").alias("doc_b")), "class_b").select("doc_a", "doc_b", "class_a", "class_b")
+
+
+def shingle_classes(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id) for each row of ``docs`` (doc_id, text)."""
+    x = build(docs, **options)
+    texts, rows, index, heads, scratch, width = x.texts, x.rows, x.entries, x.heads, x.scratch, x.width
+    # every set against the most central set of each of its index entries, once
     reach = F.max(F.least("rest", "low_rest")).alias("reach")
     stars = index.where("node <> low").groupBy("node", F.col("low").alias("other")).agg(F.first("n").alias("n"), F.first("low_n").alias("m"), F.first("low_c").alias("c"), reach)
     stars = scratch.cut(stars, "stars")

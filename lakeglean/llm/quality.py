@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, ridge: f
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([measures(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    got = rows.mapInArrow(run, "x array<double>, y int").orderBy("y", F.xxhash64("x")).limit(max_train).toPandas()
+    got = rows.mapInArrow(run, "x array<double>, y int").orderBy("y", F.xxhash64("x")).limit(max_train).toArrow().to_pandas()
     if got["y"].nunique() < 2:
         return None
     x, y = _expand(np.stack(got["x"].to_numpy())), got["y"].to_numpy(float)

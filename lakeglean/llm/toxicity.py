@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_feat
     train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
     counts = train.mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("y1"), F.sum("clean").alias("y0"))
     counts = counts.where("y1 > 2")
-    found = counts.where("feature = '<all>' OR y1 * 4 > y0").orderBy((F.col("feature") != "<all>"), F.desc(F.col("y1") / (F.col("y0") + 1)), "feature").limit(max_features + 1).toPandas().set_index("feature")
+    found = counts.where("feature = '<all>' OR y1 * 4 > y0").orderBy((F.col("feature") != "<all>"), F.desc(F.col("y1") / (F.col("y0") + 1)), "feature").limit(max_features + 1).toArrow().to_pandas().set_index("feature")
     if "<all>" not in found.index or not (found.loc["<all>"] > 0).all():
         return Model()
     n1, n0 = (float(found.loc["<all>", c]) for c in ("y1", "y0"))
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_feat
     whole = good & ~found.index.str.endswith("*")
     use = whole if whole.any() else good
     model.lam, model.k = _extreme_law(weight[use], (y0 + prior)[use] / (n0 + a0), DRIFT)
-    rows = train.mapInArrow(_training_rows(model), "toxic int, excess double").toPandas()
+    rows = train.mapInArrow(_training_rows(model), "toxic int, excess double").toArrow().to_pandas()
     x, y = np.log1p(rows["excess"].to_numpy(float)), rows["toxic"].to_numpy(float)
     model.intercept, model.slope = _curve(x, y)
     return model

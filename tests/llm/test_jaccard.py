@@ -61,6 +61,20 @@ def test_matches_brute_force(spark, seed, rare, often):
     assert got == brute(rows)
 
 
+def test_all_links_match_brute_force(spark):
+    rows = corpus(5)
+    sets = {}
+    for i, text in sorted(rows):
+        w = (text or "").encode().lower().split()
+        s = frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+        if s:
+            sets.setdefault(s, i)
+    want = {tuple(sorted((sets[a], sets[b]))) for a in sets for b in sets if sets[a] < sets[b] and 100 * len(a & b) >= 75 * len(a | b)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.shingle_links(df, hot_tokens=64, rare=5, often=2).collect()
+    assert {tuple(sorted((r["doc_a"], r["doc_b"]))) for r in got} == want and len(got) == len(want) > 100
+
+
 def test_empty_table_extra_columns_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, node string, n int")
     assert jaccard.shingle_classes(empty).count() == 0
