@@ -510,9 +510,10 @@ def shingle_classes(docs: DataFrame, **options) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingle_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return shingle_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("class_id")
 
 
+#: Plain SQL: all pairs of sets that share a shingle, then closure.
 ORACLE = """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws

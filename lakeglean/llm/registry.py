@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_jaccard_join": jaccard.ORACLE,
         "op7_secret_scan": secrets.oracle(),
         "op10_mix_sources": mixing.ORACLE,
     }
