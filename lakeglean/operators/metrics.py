@@ -169,3 +169,14 @@ def representatives(df: DataFrame, key: str, s: str, threshold: float) -> DataFr
     row = F.struct(F.col(key).alias("k"), F.col(s).alias("s"))
     one = df.agg(F.max_by(row, F.struct(F.col(s), -F.col(key))).alias("h"), F.min_by(row, F.struct(F.col(s), F.col(key))).alias("l"), F.min_by(row, F.struct(F.abs(F.col(s) - threshold), F.col(key))).alias("b"))
     return one.select(F.expr("stack(3, 'highest', h.k, h.s, 'lowest', l.k, l.s, 'borderline', b.k, b.s) AS (kind, key, s)"))
+
+
+def comparison_table(folds: DataFrame) -> DataFrame:
+    """(metric, one column an arm): mean and sample deviation over folds as text."""
+    stats = folds.groupBy("metric", "arm").agg(F.avg("value").alias("m"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("d"))
+    return stats.withColumn("t", F.format_string("%.4f ± %.4f", "m", "d")).groupBy("metric").pivot("arm").agg(F.first("t"))
+
+
+def metric_frame(folds: DataFrame) -> DataFrame:
+    """(arm, one column a metric): means over folds."""
+    return folds.groupBy("arm").pivot("metric").agg(F.avg("value"))

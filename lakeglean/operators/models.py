@@ -284,3 +284,60 @@ def applicants(scores: DataFrame, p: str, threshold: float) -> DataFrame:
     return scores.withColumn("decision", decision(F.col(p), threshold)).withColumn("band", band(F.col(p)))
 
 
+
+
+def compare_arms(df: DataFrame, arms: dict[str, Factory], y: str = "y", fold: str = "fold") -> DataFrame:
+    """(arm, fold, metric, value) of several models on one partition (``fold`` is in ``df`` already)."""
+    names = [*M.MAXIMISE, "brier"]
+    out = None
+    for name, fit in arms.items():
+        scored = written(out_of_fold(df, fit, fold).select(fold, y, "s"), f"arm-{name}")
+        one = M.long_form(M.all_metrics(scored, y, "s", (fold,)), names, (fold,)).select(F.lit(name).alias("arm"), fold, "metric", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def blind(features: list[str], protected: list[str]) -> list[str]:
+    """Features without those made of a protected column."""
+    left = [f for f in features if not any(f == p or f.startswith(f"{p}_") for p in protected)]
+    if not left:
+        raise ValueError("no feature is left")
+    return left
+
+
+def random_search(df: DataFrame, make: Callable[[dict], Factory], space: dict[str, list], trials: int, metric: str = "pr_auc", seed: int = R.SEED) -> DataFrame:
+    """(trial, params, value): seeded draws from ``space``, each scored out of fold; the best first."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for trial in range(trials):
+        params = {k: v[int(rng.integers(len(v)))] for k, v in sorted(space.items())}
+        scored = written(out_of_fold(df, make(params)).select("y", "s"), "trial")
+        rows.append((trial, {k: str(v) for k, v in params.items()}, float(M.all_metrics(scored).first()[metric])))
+    return df.sparkSession.createDataFrame(rows, "trial bigint, params map<string,string>, value double").orderBy(F.desc("value"), "trial")
+
+
+def forest_of(model: PipelineModel):
+    """The one forest of a fitted pipeline that scores two classes, or an error."""
+    forests = [s for s in model.stages if hasattr(s, "trees")]
+    if len(forests) != 1:
+        raise ValueError(f"{len(forests)} forests in the pipeline")
+    if forests[0].numClasses != 2:
+        raise ValueError("the forest doesn't score two classes")
+    return forests[0]
+
+
+def check_names(model: PipelineModel, features: list[str]) -> None:
+    """Raise unless the assembler reads exactly these features in this order."""
+    read = [s.getInputCols() for s in model.stages if hasattr(s, "getInputCols") and s.hasParam("inputCols")]
+    if read != [features]:
+        raise ValueError(f"the model reads {read}, not {features}")
+
+
+def round_trip(model: PipelineModel, df: DataFrame, key: str, path: str, tolerance: float = 1e-9) -> float:
+    """Largest difference of scores after saving and loading; an error above the tolerance."""
+    model.write().overwrite().save(path)
+    again = positive(PipelineModel.load(path), df, "t")
+    worst = positive(model, df).join(again.select(key, "t"), key).agg(F.max(F.abs(F.col("s") - F.col("t")))).first()[0] or 0.0
+    if worst > tolerance:
+        raise ValueError(f"scores differ by {worst}")
+    return float(worst)

@@ -384,3 +384,22 @@ def test_streaming_equals_batch(spark, tmp_path):
 def test_numeric(spark):
     r = one(spark.range(1).select(N.cap(F.lit(None).cast("double"), F.lit(5.0)).alias("a"), N.floored_ratio(F.lit(5), F.lit(100)).alias("b"), N.leading_run([F.lit(True), F.lit(True), F.lit(False), F.lit(True)]).alias("c"), N.pop_std([F.lit(1.0), F.lit(3.0)]).alias("d")))
     assert r == {"a": None, "b": None, "c": 2, "d": 1.0}
+
+
+def test_arms_search_and_round_trip(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, int(i % 3 == 0), rng.random() + (i % 3 == 0) * 0.4, rng.random()) for i in range(150)]
+    df = R.stratified_folds(spark.createDataFrame(rows, "k bigint, y bigint, a double, b double"), "k", "y", 2)
+    arms = {n: L.fitted(lambda c=c: L.logistic(c, iterations=5)) for n, c in (("both", ["a", "b"]), ("noise", ["b"]))}
+    folds = L.compare_arms(df, arms)
+    frame = {r["arm"]: r["roc_auc"] for r in M.metric_frame(folds).collect()}
+    assert frame["both"] > frame["noise"] and "±" in M.comparison_table(folds).first()["both"]
+    assert one(M.paired_increment(folds, "both", "noise", "roc_auc"))["positive"] == 2
+    best = L.random_search(df, lambda p: L.fitted(lambda: L.logistic(p["columns"], iterations=5)), {"columns": [["a"], ["b"]]}, 3)
+    assert best.count() == 3
+    model = L.forest(["a", "b"], trees=2, depth=2, leaf=5).fit(df)
+    L.check_names(model, ["a", "b"])
+    with pytest.raises(ValueError, match="reads"):
+        L.check_names(model, ["b", "a"])
+    assert L.forest_of(model).numClasses == 2 and L.round_trip(model, df, "k", f"{tmp_path}/m") == 0
+    assert L.blind(["SEX_1", "AGE", "a"], ["SEX", "AGE"]) == ["a"]
