@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranking import running
+
 EPSILON = 1e-6
 MODERATE, SIGNIFICANT = 0.10, 0.25
 BINS = 10
@@ -57,8 +59,8 @@ def ks_two_sample(ref: DataFrame, served: DataFrame, value: str) -> DataFrame:
     """One row (ks, n_ref, n_served): largest gap of the two distribution functions."""
     both = ref.select(F.col(value).alias("v"), F.lit(1).alias("r"), F.lit(0).alias("s")).unionByName(served.select(F.col(value).alias("v"), F.lit(0).alias("r"), F.lit(1).alias("s")))
     g = both.where("v IS NOT NULL").groupBy("v").agg(F.sum("r").alias("a"), F.sum("s").alias("b"))
-    upto, every = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    w = g.withColumns({"ca": F.sum("a").over(upto), "cb": F.sum("b").over(upto), "na": F.sum("a").over(every), "nb": F.sum("b").over(every)})
+    totals = g.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    w = running(g, "v", {"ca": "a", "cb": "b"}).crossJoin(F.broadcast(totals))  # one row
     return w.agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("ks"), F.max("na").alias("n_ref"), F.max("nb").alias("n_served"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import numeric as N
+from .ranking import running
 
 AGE_EDGES = [20, 29, 39, 49, 120]
 AGE_LABELS = ["21-29", "30-39", "40-49", "50-120"]
@@ -56,14 +57,18 @@ def transitions(df: DataFrame, before: str, after: str) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("before")))
 
 
-def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, name: str, many: bool = False) -> DataFrame:
     """``df`` with the rank of a column, ties sharing their mean rank.
 
-    Ranks come from the counts of distinct values, so the ordered pass is over those, not over rows.
+    Ranks come from the counts of distinct values, so the ordered pass is over those, not over rows;
+    with ``many`` distinct values it runs within ranges of them.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
-    upto = F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.select(F.col(value).alias("__v"), (upto - (F.col("__n") - 1) / 2.0).alias(name))
+    if many:
+        counts = running(counts, value, {"__upto": "__n"})
+    else:
+        counts = counts.withColumn("__upto", F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    ranks = counts.select(F.col(value).alias("__v"), (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(name))
     return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
 
 
@@ -151,7 +156,7 @@ def top_overlap(df: DataFrame, key: str, a: str, b: str, percent: int = 10) -> D
 
 def rank_shift(df: DataFrame, a: str, b: str) -> DataFrame:
     """Median of |average rank by a - average rank by b|."""
-    ranked = average_ranks(average_ranks(df.select(a, b), a, "__ra"), b, "__rb")
+    ranked = average_ranks(average_ranks(df.select(a, b), a, "__ra", many=True), b, "__rb", many=True)
     return ranked.agg(F.median(F.abs(F.col("__ra") - F.col("__rb"))).alias("median_shift"))
 
 
@@ -191,9 +196,8 @@ def order_statistics(df: DataFrame, value: str, fractions: dict[str, float], rou
     Positions come from counts of distinct values, so the ordered pass is over those, not over rows.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("c").over(Window.partitionBy())
-    placed = counts.withColumns({"upto": upto, "total": total})
+    total = counts.agg(F.sum("c").alias("total"))
+    placed = running(counts, value, {"upto": "c"}).crossJoin(F.broadcast(total))  # one row
 
     def index(f: float) -> Column:
         at = (F.col("total") - 1) * F.lit(f)

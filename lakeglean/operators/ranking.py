@@ -21,3 +21,20 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     sums = sums.select("__part", before.alias("__before"))  # one row a partition
     within = Window.partitionBy("__part").orderBy(*order)
     return ranged.withColumn("__n", F.row_number().over(within)).join(F.broadcast(sums), "__part").withColumn(name, F.col("__before") + F.col("__n") - 1).drop("__part", "__n", "__before")
+
+
+def running(df: DataFrame, order: str, sums: dict[str, str], ranges: int = 64) -> DataFrame:
+    """``df`` with running sums (new name: column) in ascending order of a numeric column of distinct values.
+
+    Ranges of that column, bounded by its approximate quantiles (one broadcast row), are summed
+    first; a window then runs within ranges only, so no task sees the whole table.
+    """
+    q = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    bounds = df.agg(F.percentile_approx(order, q, F.lit(1000)).alias("__bounds"))
+    parted = df.crossJoin(F.broadcast(bounds)).withColumn("__part", F.size(F.filter(F.coalesce("__bounds", F.array()), lambda b: b < F.col(order)))).drop("__bounds")
+    totals = parted.groupBy("__part").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__part", *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in sums])  # one row a range
+    within = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = parted.withColumns({n: F.sum(c).over(within) for n, c in sums.items()}).join(F.broadcast(offsets), "__part")
+    return out.withColumns({n: F.col(n) + F.col(f"__o_{n}") for n in sums}).drop("__part", *[f"__o_{n}" for n in sums])
