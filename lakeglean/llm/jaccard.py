@@ -502,8 +502,9 @@ def shingle_classes(docs: DataFrame, **options) -> DataFrame:
         out = out.withColumn("group", F.col("node"))
     else:
         out = out.join(labels, "node", "left").withColumn("group", F.coalesce("label", "node"))
-    # equal sets, then linked ones: partial minima, so that a hot class is no hot task
-    least = out.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    # partial minima, written, so that the join behind them is one that AQE can split where a
+    # component is hot
+    least = scratch.cut(out.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("component_id")), "least")
     return out.join(least, "group", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("node", F.lit(0)).alias("class_id")
     )
