@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from lakeglean.llm import chat, fingerprint, htmltext, images, quality, toxicity
 
@@ -217,7 +218,8 @@ def test_tool_calls(spark):
 # -- images -----------------------------------------------------------------------------------------
 
 
-def test_copies_are_found_and_recall(spark):
+@pytest.mark.parametrize("width", [None, 31])
+def test_copies_are_found_and_recall(spark, width):
     rng = np.random.default_rng(0)
     base = [images.picture(rng.normal(size=64), 96) for _ in range(30)]
     rows = [(20 * i, images.encode(p)) for i, p in enumerate(base)]
@@ -228,7 +230,7 @@ def test_copies_are_found_and_recall(spark):
         want[20 * i] = 1001 + i
     rows += [(5000, None), (5001, b"xx"), (5002, images.encode(np.full((50, 50), 7.0))), (5003, images.encode(base[0])), (5004, images.encode(base[0]))]
     df = spark.createDataFrame(rows, "id long, image binary")
-    got = {r["id"]: r for r in images.copies(df).collect()}
+    got = {r["id"]: r for r in images.copies(df, width=width).collect()}
     assert len(got) == len(rows)
     hits = sum(w in (got[q]["matches"] or []) for q, w in want.items())
     assert hits >= 0.9 * len(want)
