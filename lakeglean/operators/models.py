@@ -273,7 +273,7 @@ def attribution_rank(phi: DataFrame) -> DataFrame:
 def attribution_share(ranked: DataFrame, groups: DataFrame) -> DataFrame:
     """(group, share): each group's part of the summed mean |phi|."""
     total = ranked.agg(F.sum("mean_abs").alias("total"))
-    return ranked.join(groups, "feature").groupBy("group").agg(F.sum("mean_abs").alias("part")).crossJoin(F.broadcast(total)).select("group", F.col("part"), (F.col("part") / F.col("total")).alias("share"))
+    return ranked.join(groups, "feature").groupBy("group").agg(F.sum("mean_abs").alias("part")).crossJoin(F.broadcast(total)).select("group", F.col("part"), F.coalesce(F.try_divide("part", "total"), F.lit(0.0)).alias("share"))
 
 
 def applicants(scores: DataFrame, p: str, threshold: float) -> DataFrame:
