@@ -13,15 +13,15 @@ A document is its set of distinct five-word shingles.  Two documents link when
    into G subclasses by hash (G by size level, so that a subclass holds several tokens), and a
    prefix is long enough when ``rare + sum(max(0, s_j - 1)) > d``; then every partner shares a
    rare token or two tokens of one subclass inside both prefixes.
-3. *Index.*  Rare tokens (at most ``rare`` postings in prefixes) are indexed alone, frequent ones as pairs
-   within a subclass.  A token's class depends on its number of postings, which is global.
-4. *Verify.*  Candidates whose sizes and shared index entries rule a link out are dropped; the
-   others are verified on whole sets.  Components are all that is wanted, so a
-   candidate whose two sides are known to be connected already need not be verified.  First every
-   set is compared with the most central set that shares an index entry with it (whose shingles are
-   the most common), then with the most central one of each of its entries; entries some of whose
-   sets are still apart from that one are compared in full, across components.  No pair that could link two components is left out, and copies
-   never form pairs: equal sets are one node.
+3. *Index.*  Rare tokens (at most ``rare`` postings in prefixes) are indexed alone, frequent ones as
+   pairs within a subclass.  A token's class depends on its number of postings, which is global.
+4. *Verify.*  Candidates whose sizes, positions, bitmaps or shared entries rule a link out are
+   dropped; the others are verified on whole sets.  Components are all that is wanted, so a
+   candidate whose two sides are known to be connected need not be verified.  First every set is
+   compared with the most central set that shares an entry with it (whose shingles are the most
+   common), then with the most central one of each of its entries; entries some of whose sets are
+   still apart from that one are compared across components.  No pair that could link two
+   components is left out, and copies never form pairs: equal sets are one node.
 
 Defined cases: no words, null or empty text: no shingles, a component of its own.  Repeated rows
 are copies.  A null ``doc_id`` counts as larger than all others.  Extra columns are ignored.
