@@ -256,21 +256,48 @@ def _bloom(entries: DataFrame) -> bytes:
 
 
 def drawn(vectors: DataFrame, side: int = 72) -> DataFrame:
-    """(id, image): each vector drawn as a picture of discs, so that a table without media has some.
+    """(id, image): each vector drawn as a picture, so that a table without media has some.
 
-    Equal vectors give equal pictures.  A picture is a function of its vector alone.
+    Equal vectors give equal pictures.  Every tenth id's picture comes a second time, edited, under the
+    id ``-10 - id``, so half of these edits are queries and half are to be found by one.  The
+    edits of ids 100, 300, 500, ... are all of the smallest id's picture: a large group of near copies.
     """
+    one = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("v"))
+    first = one.orderBy("id", "v").limit(1).collect()
+    common = first[0]["v"] if first else None
+
+    def pixels(v):
+        return picture(np.array([x or 0.0 for x in v or []], np.float64), side)
 
     def run(batches):
         for batch in batches:
-            images = []
-            for v in batch.column(1).to_pylist():
-                images.append(encode(picture(np.array([x or 0.0 for x in v or []], np.float64), side)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], names=["id", "image"])
+            ids, images = [], []
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                img = pixels(v)
+                ids.append(i)
+                images.append(encode(img))
+                if i is not None and i >= 0 and i % 10 == 0 and v:
+                    ids.append(-10 - i)
+                    images.append(encode(edited(pixels(common) if i % 200 == 100 else img, i // 10)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(images, pa.binary())], names=["id", "image"])
 
     return vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("v")).mapInArrow(run, "id long, image binary")
 
 
+def edited(img: np.ndarray, seed: int) -> np.ndarray:
+    """An image cropped, dimmed, noisy or turned, by ``seed``."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    if seed // 2 % 4 == 0:
+        h, w = (n - n // 8 for n in img.shape)
+        y, x = (int(rng.integers(0, n // 8 + 1)) for n in img.shape)
+        return img[y : y + h, x : x + w]
+    if seed // 2 % 4 == 1:
+        return img * rng.uniform(0.7, 0.9) + rng.uniform(5, 25)
+    if seed // 2 % 4 == 2:
+        return img + rng.normal(0, 4, img.shape)
+    return np.rot90(img, int(rng.integers(1, 4)))
+
+
 def picture(v: np.ndarray, side: int = 72) -> np.ndarray:
     """Waves and discs whose places, directions and shades are the vector's values."""
     yy, xx = np.mgrid[0:side, 0:side] / side

@@ -238,3 +238,13 @@ def test_copies_are_found_and_recall(spark, width):
     wrong = sum(len([m for m in r["matches"] if m != want.get(q)]) for q, r in got.items() if q in want and r["matches"])
     assert wrong <= 2
     assert images.copies(df.limit(0)).count() == 0
+
+
+def test_drawn_table_holds_edited_copies(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(400)] + [(None, None)], "vec_id long, embedding array<float>")
+    got = {r["id"]: r["matches"] for r in images.copies(images.drawn(df)).collect()}
+    assert len(got) == 441 and sum(i is not None and i < 0 for i in got) == 40
+    pairs = [(i, -10 - i) if i % 20 == 0 else (-10 - i, i) for i in range(0, 400, 10) if i % 200 != 100]
+    assert sum(b in got[a] for a, b in pairs) >= 0.9 * len(pairs)
+    assert {-110, -310} <= set(got[0])
