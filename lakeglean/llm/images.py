@@ -2,17 +2,21 @@
 
 Corners are found at several scales, each is given the orientation of its intensity centroid, and
 256 comparisons of smoothed pixel pairs, turned to that orientation, make a binary descriptor.
-Descriptors are looked up in Hamming tables: of ``BANDS`` windows of a descriptor, one at least is
-likely to be free of differences, so an equi-join on (window, value) finds near ones.
+Descriptors are looked up in Hamming tables: each table is a choice of ``width`` of the 256 bits, and
+one of them at least is likely to be free of differences, so an equi-join on (table, bits) finds near ones.
 Matches vote for a similarity transform (scale and turn, then shift); a pair of images is a copy when
 enough matches agree on one.
 
 Images with equal bytes are one class before any join, so thousands of copies meet once.  Keys
 grow with the number of points (1.5 times its logarithm in bits), so that chance matches of a query stay as
-few in a large table as in a small one; the recall against brute force is tested.  Only keys that a
-fixed-size Bloom filter of the queries' keys lets through leave a task.  Windows whose bits are
+few in a large table as in a small one.  The number of tables grows with the keys, so that a point with
+one bit in ten changed is found as often at any width (0.96 by the binomial law).
+They are looked up a few at a time: only keys that a fixed-size Bloom filter of the queries' keys lets
+through leave a task, and only pairs within the Hamming threshold are written.  Keys whose bits are
 nearly all equal are not looked up: they are flat patches, and a copy has others.
 
+The number of keypoints follows the image's area, so a small crop of a large image keeps its share.
+
 Images are raw grey-scale rasters: two little-endian 16-bit sizes (height, width), then the pixels.
 Defined cases: null, unreadable or flat images have no keypoints and match only equal bytes; repeated
 rows are copies; extra columns are ignored.
@@ -21,6 +25,7 @@ rows are copies; extra columns are ignored.
 from __future__ import annotations
 
 import struct
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+#: Keypoints of an image of 72 x 72 pixels, and the least of any; larger ones have more by their area.
 KEYPOINTS = 40
 SCALES = (1.0, 1.5, 2.25)
 BANDS = 16
@@ -69,11 +75,12 @@ def _blur(img: np.ndarray) -> np.ndarray:
     return sum(k[i] * rows[:, i : i + img.shape[1]] for i in range(5))
 
 
-def describe(img: np.ndarray | None, most: int = KEYPOINTS) -> list[tuple[float, float, float, float, bytes]]:
+def describe(img: np.ndarray | None, most: int | None = None) -> list[tuple[float, float, float, float, bytes]]:
     """(x, y, scale, angle, descriptor of 32 bytes) of the strongest corners, in image pixels."""
     found = []
     if img is None or min(img.shape) < 2 * _REACH + 4:
         return []
+    most = most or max(KEYPOINTS, KEYPOINTS * img.size // 72**2)
     for scale in SCALES:
         h, w = int(img.shape[0] / scale), int(img.shape[1] / scale)
         if min(h, w) < 2 * _REACH + 4:
@@ -162,43 +169,69 @@ def _verify(part):
     return pd.DataFrame({"a": [part["a"].iloc[0]], "b": [part["b"].iloc[0]], "inliers": [consensus(*cols)]})
 
 
-def window_keys(bits: np.ndarray, width: int) -> np.ndarray:
-    """(points, BANDS) keys: ``width`` bits of each descriptor from each band's start on, wrapped."""
-    twice = np.concatenate([bits, bits], axis=1).astype(np.int64)
-    out = np.zeros((len(bits), BANDS), np.int64)
-    for i in range(BANDS):
-        for j in range(5):
-            out[:, i] = out[:, i] << 8 | twice[:, 2 * i + j]
-    return out >> (40 - width)
-
-
-def _slots(keys: np.ndarray) -> np.ndarray:
-    band = np.arange(BANDS, dtype=np.int64)
-    return ((keys * BANDS + band).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
-
-
-def _entries(width: int, bloom: bytes | None):
-    """(class_id, points) to (band, key, class_id, k); with ``bloom`` only keys that may be asked for."""
+def bit_tables(width: int) -> list[np.ndarray]:
+    """The bits of each table: as many tables as find 0.96 of points with one bit in ten changed, or ``BANDS``."""
+    changed = np.arange(257 - width)
+    odds = np.array([comb(256, k) * 0.1**k * 0.9 ** (256 - k) for k in changed.tolist()])
+    free = np.array([comb(256 - k, width) / comb(256, width) for k in changed.tolist()])
+    low, count = BANDS - 1, BANDS
+    while (odds * (1 - free) ** count).sum() > 0.04:
+        low, count = count, 2 * count
+    while count - low > 1:
+        mid = (low + count) // 2
+        low, count = (mid, count) if (odds * (1 - free) ** mid).sum() > 0.04 else (low, mid)
+    rng = np.random.Generator(np.random.PCG64([9, width]))
+    out: list[np.ndarray] = []
+    while len(out) < count:
+        order = rng.permutation(256)
+        out += [order[i : i + width] for i in range(0, 256 - width + 1, width)]
+    return out[:count]
+
+
+def table_keys(bits: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """(points, tables) keys: the bits that each table chooses of the descriptors (points, 32)."""
+    flat = np.unpackbits(bits, axis=1)
+    out = np.zeros((len(bits), len(tables)), np.int64)
+    for i, at in enumerate(tables):
+        packed = np.packbits(flat[:, at], axis=1)
+        for j in range(packed.shape[1]):
+            out[:, i] = out[:, i] << 8 | packed[:, j]
+        out[:, i] >>= -len(at) % 8
+    return out
+
+
+def _slots(keys: np.ndarray, band: np.ndarray) -> np.ndarray:
+    return ((keys << 10 | band).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
+
+
+def _entries(tables: list[np.ndarray], bloom: bytes | None):
+    """(class_id, points) to (band, key, class_id, k, d0, ..., d3), where d is the descriptor; with
+    ``bloom`` only keys that may be asked for."""
 
     def run(batches):
         wanted = None if bloom is None else np.unpackbits(np.frombuffer(bloom, np.uint8)).astype(bool)
+        width, bands = len(tables[0]), np.arange(len(tables), dtype=np.int64)
         for batch in batches:
             ids, points = batch.column(0).to_numpy(), batch.column(1)
             counts = np.diff(points.offsets.to_numpy())
             if not counts.sum():
                 continue
-            raw = points.flatten().field("bits").to_pylist()
-            keys = window_keys(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 32), width)
+            bits = np.frombuffer(b"".join(points.flatten().field("bits").to_pylist()), np.uint8).reshape(-1, 32)
             owner = np.repeat(ids, counts)
             k = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-            ones = sum((keys >> j) & 1 for j in range(width))
-            at = (ones >= 3) & (ones <= width - 3)  # nearly equal bits: a flat patch, like any other
-            if wanted is not None:
-                at &= wanted[_slots(keys)]
-            row, band = np.nonzero(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(band.astype(np.int32)), pa.array(keys[row, band]), pa.array(owner[row]), pa.array(k[row].astype(np.int32))], names=["band", "key", "class_id", "k"]
-            )
+            for lo in range(0, len(owner), 1 << 15):
+                here = slice(lo, lo + (1 << 15))
+                keys = table_keys(bits[here], tables)
+                ones = np.bitwise_count(keys)
+                at = (ones >= 3) & (ones <= width - 3)  # nearly equal bits: a flat patch, like any other
+                if wanted is not None:
+                    at &= wanted[_slots(keys, bands)]
+                row, band = np.nonzero(at)
+                d = np.ascontiguousarray(bits[here][row]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(band.astype(np.int32)), pa.array(keys[row, band]), pa.array(owner[here][row]), pa.array(k[here][row].astype(np.int32)), *[pa.array(d[:, j]) for j in range(4)]],
+                    names=["band", "key", "class_id", "k", "d0", "d1", "d2", "d3"],
+                )
 
     return run
 
@@ -216,21 +249,31 @@ def copies(images: DataFrame, query: str = "id % 20 = 0", needed: int = CONSENSU
     points = classes.agg(F.sum(F.size("points"))).first()[0] or 0
     # chance matches of a key stay few however many points there are
     width = width or min(40, max(16, int(np.ceil(1.5 * np.log2(max(2, points)))) - 1))
-    schema = "band int, key long, class_id long, k int"
-    q = scratch.cut(classes.where("asked").select("class_id", "points").mapInArrow(_entries(width, None), schema), "asked")
-    bloom = _bloom(q)
-    t = classes.select("class_id", "points").mapInArrow(_entries(width, bloom), schema)
-    pairs = q.select("band", "key", F.col("class_id").alias("a"), F.col("k").alias("ak")).join(t.select("band", "key", F.col("class_id").alias("b"), F.col("k").alias("bk")), ["band", "key"]).where("a <> b")
-    pairs = scratch.cut(pairs.select("a", "ak", "b", "bk").distinct(), "pairs")
+    schema = "band int, key long, class_id long, k int, d0 long, d1 long, d2 long, d3 long"
+    tables = bit_tables(width)
+    queried = classes.where("asked").select("class_id", "points")
+    # so many tables at a time that the queries' keys leave most of the Bloom filter empty
+    step = min(BANDS, max(1, (1 << 24) // 12 // max(1, queried.agg(F.sum(F.size("points"))).first()[0] or 0)))
+    pairs = None
+    for i in range(0, len(tables), step):
+        some = tables[i : i + step]
+        q = scratch.cut(queried.mapInArrow(_entries(some, None), schema), f"asked-{i}")
+        t = classes.select("class_id", "points").mapInArrow(_entries(some, _bloom(q)), schema)
+        a = q.select("band", "key", F.col("class_id").alias("a"), F.col("k").alias("ak"), *[F.col(f"d{j}").alias(f"a{j}") for j in range(4)])
+        b = t.select("band", "key", F.col("class_id").alias("b"), F.col("k").alias("bk"), *[F.col(f"d{j}").alias(f"b{j}") for j in range(4)])
+        words = [F.bit_count(F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}"))) for j in range(4)]
+        near = a.join(b, ["band", "key"]).where(F.col("a") != F.col("b")).where(sum(words[1:], words[0]) < 56)
+        near = scratch.cut(near.select("a", "ak", "b", "bk").distinct(), f"near-{i}")
+        scratch.drop(f"asked-{i}")
+        pairs = near if pairs is None else pairs.unionByName(near)
+    pairs = scratch.cut(pairs.distinct(), "pairs")
     enough = pairs.groupBy("a", "b").agg(F.countDistinct("ak").alias("n")).where(F.col("n") >= needed).select("a", "b")
     likely = pairs.join(enough, ["a", "b"])
     point = classes.select("class_id", F.posexplode("points").alias("k", "p")).select("class_id", "k", "p.*")
-    left = point.select(F.col("class_id").alias("a"), F.col("k").alias("ak"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("scale").alias("as_"), F.col("angle").alias("aa"), F.col("bits").alias("abits"))
-    right = point.select(F.col("class_id").alias("b"), F.col("k").alias("bk"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("scale").alias("bs"), F.col("angle").alias("ba"), F.col("bits").alias("bbits"))
+    left = point.select(F.col("class_id").alias("a"), F.col("k").alias("ak"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("scale").alias("as_"), F.col("angle").alias("aa"))
+    right = point.select(F.col("class_id").alias("b"), F.col("k").alias("bk"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("scale").alias("bs"), F.col("angle").alias("ba"))
     matched = likely.join(left, ["a", "ak"]).join(right, ["b", "bk"])
-    words = [F.bit_count(F.conv(F.hex(F.substring("abits", i, 4)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("bbits", i, 4)), 16, 10).cast("long"))) for i in range(1, 33, 4)]
-    near = sum(words[1:], words[0]) < 56
-    checked = matched.where(near).groupBy("a", "b").applyInPandas(_verify, "a long, b long, inliers int").where(F.col("inliers") >= needed)
+    checked = matched.groupBy("a", "b").applyInPandas(_verify, "a long, b long, inliers int").where(F.col("inliers") >= needed)
     found = checked.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("matches"))
     out = described.select("id", "sha", F.size("points").alias("n_points")).join(classes.select("sha", "class_id"), "sha", "left")
     out = out.join(found, F.col("class_id") == F.col("a"), "left")
@@ -243,7 +286,7 @@ def _bloom(entries: DataFrame) -> bytes:
     def run(batches):
         for batch in batches:
             keys, band = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-            slot = ((keys * BANDS + band).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
+            slot = _slots(keys, band.astype(np.int64))
             byte, bit = slot >> 3, (128 >> (slot & 7)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(byte), pa.array(bit)], names=["byte", "bits"])
 

@@ -240,6 +240,24 @@ def test_copies_are_found_and_recall(spark, width):
     assert images.copies(df.limit(0)).count() == 0
 
 
+def test_recall_does_not_fall_with_key_width(spark):
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 256, (2000, 32), dtype=np.uint8)
+    noisy = np.packbits(np.unpackbits(bits, axis=1) ^ (rng.random((2000, 256)) < 0.1), axis=1)
+    for width in (16, 31, 40):
+        tables = images.bit_tables(width)
+        assert (images.table_keys(bits, tables) == images.table_keys(noisy, tables)).any(axis=1).mean() >= 0.93
+    base = [images.picture(rng.normal(size=64), 288) for _ in range(16)]
+    rows, want = [], {}
+    for i, p in enumerate(base):  # small crops of large images, as queries
+        y, x = rng.integers(0, 288 - 84, 2)
+        rows += [(20 * i, images.encode(p[y : y + 84, x : x + 84])), (1001 + 20 * i, images.encode(p))]
+        want[20 * i] = 1001 + 20 * i
+    df = spark.createDataFrame(rows, "id long, image binary")
+    got = {r["id"]: r["matches"] for r in images.copies(df, width=40).collect()}
+    assert sum(w in got[q] for q, w in want.items()) >= 0.9 * len(want)
+
+
 def test_drawn_table_holds_edited_copies(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(400)] + [(None, None)], "vec_id long, embedding array<float>")
