@@ -50,23 +50,26 @@ def targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFram
     return levels.withColumn("at", level).select("source", "source_size", F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("at") * F.col("weight"))).alias("target"))
 
 
-def mixed(docs: DataFrame, size: Column, seed: str = SEED, weights=WEIGHTS, epochs: int = EPOCHS, ranges: int = RANGES) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of each row of ``docs`` (doc_id, source, ...)."""
+def mixed(docs: DataFrame, size: Column, seed: str = SEED, weights=WEIGHTS, epochs: int = EPOCHS, ranges: int = RANGES, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, *keys) of each row of ``docs`` (doc_id, source, ...).
+
+    ``keys``: columns that tell rows of one id, or without id, from each other.
+    """
     spark = docs.sparkSession
     from .scratch import Scratch
 
     scratch = Scratch(spark, "mixing")
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), digest.alias("turn"))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), *[F.concat(F.lit("null-"), F.col(k).cast("string")) for k in keys[:1]], F.lit("null"))).cast("binary"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), digest.alias("turn"), *keys)
     rows = scratch.cut(sized.withColumn("range", F.conv(F.substring("turn", 1, 3), 16, 10).cast("int") % ranges), "rows")
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("n"))
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     offsets = sums.withColumn("before", before).drop("n")
     offsets = offsets.join(plan, offsets["source"].eqNullSafe(plan["source"])).select(offsets["source"].alias("o_source"), F.col("range").alias("o_range"), "before", "source_size", "target")
-    within = Window.partitionBy("source", "range").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "range").orderBy("turn", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, 0)
     queued = rows.withColumn("sum", F.sum("size").over(within)).join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") == F.col("o_range")))
-    queued = queued.withColumn("upto", F.col("before") + F.col("sum")).select("doc_id", "source", "turn", "size", "source_size", "target", "upto")
+    queued = queued.withColumn("upto", F.col("before") + F.col("sum")).select("doc_id", "source", "turn", "size", "source_size", "target", "upto", *keys)
     # copies whose finish time is at most 1 stay within every target, so all of them fit the budget
     copies = F.sequence(F.lit(0), F.lit(epochs - 1))
     finish = F.transform(copies, lambda e: (F.col("upto") + F.col("source_size") * e).cast("double") / F.col("target"))
@@ -82,7 +85,7 @@ def mixed(docs: DataFrame, size: Column, seed: str = SEED, weights=WEIGHTS, epoc
         late = F.size(
             F.filter("finish", lambda x: (x > 1.0) & (F.struct(x.alias("at"), F.col("turn"), F.coalesce("source", F.lit("\U0010ffff")).alias("source"), F.col("upto"), F.coalesce("doc_id", F.lit(-1).cast("long")).alias("doc_id")) <= first))
         )
-    return queued.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target"), (F.col("size") * (early + late)).cast("long").alias("taken"))
+    return queued.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target"), (F.col("size") * (early + late)).cast("long").alias("taken"), *keys)
 
 
 def _cut(rest: DataFrame, queued: DataFrame, plan: DataFrame, scratch):

@@ -89,3 +89,14 @@ def test_registry_names():
     names = list(registry.queries())
     assert [n.split("_")[0] for n in names] == ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"]
     assert set(registry.oracle_sql()) <= set(names) and toxicity.THRESHOLD == 0.7
+
+
+def test_null_and_shared_ids_keep_their_texts(spark):
+    rng = random.Random(5)
+    text = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(30)) for _ in range(5)]
+    rows = [(None, text[0]), (1, text[1]), (1, text[2]), (2, text[2].upper()), (None, text[2]), (None, text[3]), (None, text[3]), (None, None), (3, text[4])]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.drop_near_duplicates(spark, d, "").collect())
+    assert kept == sorted([(0, text[0]), (1, text[1]), (1, text[2]), (0, text[3]), (0, ""), (3, text[4])])
+    taken = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.mix(spark, d, "").collect())
+    assert taken == Counter((i, t) for i, t in rows if t)
