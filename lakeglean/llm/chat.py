@@ -5,11 +5,11 @@ A message's text may be JSON: an assistant's ``{"content": ..., "tool_calls": [{
 plain content.
 
 * Calls and results are joined by (conversation, identifier): a shuffled hash join that AQE may
-  split; nothing is gathered by conversation, so one conversation with a third of all turns is
-  no hot task.
+  split; messages are not gathered by conversation, so one with a third of all turns is no hot task.
 * Order is topological: a result stands after its call, a call after those that ``after`` names.
   A message's place is (turn, level, kind, identifier), where a level is the longest chain of
-  dependencies, relaxed by joins until nothing changes; what never settles is a cycle.
+  dependencies: calls without open dependencies are peeled off until none is left; what remains is on
+  or behind a cycle.  Only the dependencies of one conversation are gathered for that, in one task.
 * Arguments are validated against the schema of the tool that is named (types, required and unknown
   properties, enumerations, nested objects and arrays).
 * Every message becomes one line of canonical JSON: sorted keys, no spaces, no escapes but those that
@@ -35,7 +35,6 @@ TOOLS = {
     "lookup": {"type": "object", "properties": {"id": {"type": "integer"}, "fields": {"type": "array", "items": {"type": "string"}}}, "required": ["id"], "additionalProperties": False},
 }
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
-MAX_DEPTH = 200
 
 
 def canonical(value) -> str:
@@ -126,6 +125,27 @@ def _events(tools: dict):
     return run
 
 
+def _places(edges):
+    """Dependencies of one conversation to the place (turn, level) of each call in them."""
+    import pandas as pd
+
+    place, behind, missing = {}, {}, {}
+    for ident, before, turn, before_turn in zip(edges["ident"], edges["before"], edges["call_turn"], edges["before_turn"], strict=True):
+        place[ident], place[before] = (turn, 0), (before_turn, 0)
+        behind.setdefault(before, []).append(ident)
+        missing[ident] = missing.get(ident, 0) + 1
+    free = [x for x in place if x not in missing]
+    while free:
+        x = free.pop()
+        for y in behind.get(x, ()):
+            place[y] = max(place[y], (place[x][0], place[x][1] + 1))
+            missing[y] -= 1
+            if not missing[y]:
+                free.append(y)
+    names = list(place)
+    return pd.DataFrame({"conv_id": edges["conv_id"].iloc[0], "ident": names, "place_turn": [place[x][0] for x in names], "place_level": [place[x][1] for x in names], "cyclic": [missing.get(x, 0) > 0 for x in names]})
+
+
 def formatted(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
     """(conv_id, turn, order_turn, level, kind, ident, json, problems) of every message and call."""
     from .scratch import Scratch
@@ -138,23 +158,13 @@ def formatted(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
     results = events.where("kind = 'message' AND ident IS NOT NULL").groupBy("conv_id", "ident").agg(F.count("*").alias("result_n"))
     linked = scratch.cut(calls.join(results, ["conv_id", "ident"], "full"), "linked")
 
-    # longest chains of dependencies, by relaxation; the turn that an event has at least comes along
+    # longest chains of dependencies; the turn that an event has at least comes along
+    known = linked.where("call_turn IS NOT NULL").select("conv_id", "ident", "call_turn")
     edges = events.where("kind = 'call' AND ident IS NOT NULL").select("conv_id", "ident", F.explode("after").alias("before")).distinct()
-    edges = edges.join(linked.where("call_turn IS NOT NULL").select("conv_id", F.col("ident").alias("before"), F.col("call_turn").alias("before_turn")), ["conv_id", "before"])
-    edges = scratch.cut(edges, "edges")
-    place = scratch.cut(linked.where("call_turn IS NOT NULL").select("conv_id", "ident", F.col("call_turn").alias("order_turn"), F.lit(0).alias("level")), "place-0")
-    settled = edges.isEmpty()
-    for k in range(1, MAX_DEPTH):
-        if settled:
-            break
-        before = place.select("conv_id", F.col("ident").alias("before"), F.struct("order_turn", (F.col("level") + 1).alias("level")).alias("p"))
-        least = edges.join(before, ["conv_id", "before"]).groupBy("conv_id", "ident").agg(F.max("p").alias("p"))
-        moved = place.join(least, ["conv_id", "ident"], "left").withColumn("now", F.struct("order_turn", "level")).withColumn("new", F.greatest("now", "p"))
-        nxt = scratch.cut(moved.select("conv_id", "ident", F.col("new.order_turn").alias("order_turn"), F.col("new.level").alias("level"), (F.col("new") > F.col("now")).alias("moved")), f"place-{k}")
-        settled = nxt.where("moved").isEmpty()
-        place = nxt
-    cyclic = F.lit(False) if "moved" not in place.columns else F.coalesce(F.col("moved"), F.lit(False))
-    place = place.select("conv_id", "ident", "order_turn", "level", cyclic.alias("cyclic"))
+    edges = edges.join(known.select("conv_id", F.col("ident").alias("before"), F.col("call_turn").alias("before_turn")), ["conv_id", "before"]).join(known, ["conv_id", "ident"])
+    found = edges.groupBy("conv_id").applyInPandas(_places, "conv_id long, ident string, place_turn long, place_level int, cyclic boolean")
+    place = known.join(found, ["conv_id", "ident"], "left")
+    place = place.select("conv_id", "ident", F.coalesce("place_turn", "call_turn").alias("order_turn"), F.coalesce("place_level", F.lit(0)).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
     # events without identifier join nothing, so they don't move at all
     some = events.where("ident IS NOT NULL").join(linked, ["conv_id", "ident"], "left").join(place, ["conv_id", "ident"], "left")

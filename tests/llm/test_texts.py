@@ -215,6 +215,17 @@ def test_tool_calls(spark):
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+def test_long_chain_of_calls(spark):
+    import json
+
+    calls = [{"id": f"k{i}", "name": "search", "arguments": {"query": "x"}, "after": [f"k{i - 1}"] if i else []} for i in range(500)]
+    calls += [{"id": "p", "name": "search", "arguments": {"query": "x"}, "after": ["q"]}, {"id": "q", "name": "search", "arguments": {"query": "x"}, "after": ["p"]}, {"id": "r", "name": "search", "arguments": {"query": "x"}, "after": ["q", "k3"]}]
+    df = spark.createDataFrame([(1, 0, "assistant", json.dumps({"tool_calls": calls}))], "conv_id long, turn long, role string, text string")
+    got = {r["ident"]: r for r in chat.formatted(df).collect() if r["kind"] == "call"}
+    assert [got[f"k{i}"]["level"] for i in range(500)] == list(range(500))
+    assert {i for i, r in got.items() if "cycle" in r["problems"]} == {"p", "q", "r"}
+
+
 # -- images -----------------------------------------------------------------------------------------
 
 
