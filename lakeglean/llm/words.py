@@ -103,7 +103,7 @@ def shingle_hashes(words: np.ndarray, before: np.ndarray, width: int = 5) -> tup
     np.cumsum(sizes, out=out[1:])
     n = len(words)
     full = np.zeros(max(0, n - width + 1), np.uint64)
-    for k in range(width):
+    for k in range(width if len(full) else 0):
         full += words[k : n - width + 1 + k] * _M(pow(_Q, k, 2**64))
     long_rows = counts >= width
     if long_rows.all():

@@ -88,3 +88,16 @@ def test_a_very_long_text(spark):
     df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short")], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in jaccard.shingle_classes(df).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+def test_block_of_few_words(n):
+    import numpy as np
+    import pyarrow as pa
+
+    from lakeglean.llm import words
+
+    for texts in (["w x y z v"[: 2 * n - 1]], [None, "w x y z v"[: 2 * n - 1], ""]):
+        hashes, before = words.word_hashes(*words.buffers(pa.array(texts, pa.string())))
+        shingles, at = words.shingle_hashes(hashes, before)
+        assert len(hashes) == n and len(shingles) == 1 and at[-1] == 1 and shingles.dtype == np.uint64
