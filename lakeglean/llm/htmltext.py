@@ -9,7 +9,7 @@ odds.  One linear scan finds the contiguous region of the largest sum.
 Around the scan, structure decides what may be read at all: elements that never hold main text
 (scripts, styles, menus, forms, ...), by element name, ARIA role or class and id words, are
 skipped with all that is in them, and the region is widened to whole blocks, or to the
-``article`` or ``main`` element that holds most of it.  Block elements end a block; inside a
+``article`` or ``main`` elements that lie in it, if one of them holds most of it.  Block elements end a block; inside a
 block white space becomes one space; blocks join by one newline; character references are decoded.
 
 The weights come from at most ``max_train`` labelled pages (smallest hashes of their urls); without
@@ -56,6 +56,8 @@ NOISE = re.compile(
     r"pagination|pager|toolbar|tags?-list|widget|skip-link|toc|copyright|disclaimer|paywall)(?:$|[\s_-])",
     re.I,
 )
+#: Class and id words that tell of a part elsewhere (has-sidebar), or name the head of the main text.
+KEPT = re.compile(r"(?:has|have|with|without|no|is|not)[_-].*|(?:entry|post|article|story|content|page)[_-](?:header|masthead|banner)", re.I)
 #: Elements that a start tag closes if they are still open.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -136,7 +138,7 @@ def _noise(name: str, attrs: str | None, inside: int) -> bool:
             key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
             if key == "role" and value.strip().lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true":
                 return True
-            if key in ("class", "id") and name not in ("body", "html", "article", "main") and NOISE.search(value):
+            if key in ("class", "id") and name not in ("body", "html", "article", "main") and NOISE.search(" ".join(x for x in value.split() if not KEPT.fullmatch(x))):
                 return True
             if key in ("class", "id") and name == "article" and re.search(r"comment|reply|related|promo|sponsor", value, re.I):
                 return True
@@ -171,8 +173,9 @@ def extract(source: str | None, weights: Weights) -> str:
     for (text, _edge, inside), _s in zip(items[first:past], sums[first:past], strict=True):
         votes[inside] += len(text)
     home, most = max(votes.items(), key=lambda x: (x[1], -x[0]))
-    if home and most > 0:  # the element that holds most of the region, whole
-        chosen = [i for i, x in enumerate(items) if x[2] == home]
+    homes = {k for k, n in votes.items() if k and n}
+    if home and most > 0:  # the element that holds most of the region, and its siblings in it, whole
+        chosen = [i for i, x in enumerate(items) if x[2] in homes]
         first, past = chosen[0], chosen[-1] + 1
     else:
         while first > 0 and not items[first - 1][1]:
@@ -184,7 +187,7 @@ def extract(source: str | None, weights: Weights) -> str:
         if edge:
             blocks.append("".join(current))
             current = []
-        elif not home or inside == home:
+        elif not home or inside in homes:
             current.append(text)
     blocks.append("".join(current))
     return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)

@@ -158,6 +158,16 @@ def test_pages():
     assert htmltext.extract("<div><p>one two three<p>four five<!-- no --></div>", W) == "one two three\nfour five"
 
 
+def test_layout_classes_and_sibling_articles():
+    for attrs in ('class="layout has-sidebar"', 'id="wrap" class="with-comments"'):
+        assert htmltext.extract(f"<div {attrs}><article><p>one two three four</p></article></div>", W) == "one two three four"
+    for c in ("entry-header", "post-header"):
+        assert htmltext.extract(f'<article><div class="{c}"><h1>Head line</h1></div><p>one two three four</p></article>', W) == "Head line\none two three four"
+    two = "<p>" + "word " * 40 + "</p>"
+    assert len(htmltext.extract(f"<div><article>{two}</article><article>{two}</article></div>", W).split()) == 80
+    assert htmltext.extract('<article><p>one two three</p><div class="sidebar">no no</div><div class="post-comments">no no</div></article>', W) == "one two three"
+
+
 def test_extraction_table(spark):
     rows = [(1, "u", "<article><p>hello world again</p></article>", 5), (2, None, None, 6), (2, None, None, 6), (3, "v", "<article>" + "<p>word word</p>" * 20_000 + "</article>", 7)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
