@@ -9,20 +9,25 @@ plain content.
 * Order is topological: a result stands after its call, a call after those that ``after`` names.
   A message's place is (turn, level, kind, identifier), where a level is the longest chain of
   dependencies: calls without open dependencies are peeled off until none is left; what remains is on
-  or behind a cycle.  Only the dependencies of one conversation are gathered for that, in one task.
+  or behind a cycle.  The dependencies of a conversation are peeled in one task if there are at most
+  ``gather`` of them; those of larger conversations are peeled by joins, one level a round.
 * Arguments are validated against the schema of the tool that is named (types, required and unknown
   properties, enumerations, nested objects and arrays).
 * Every message becomes one line of canonical JSON: sorted keys, no spaces, no escapes but those that
-  JSON needs.
+  JSON and UTF-8 need (lone surrogates).
 
 Defined cases: null text is null content; null roles are written as null; calls without a result,
 results without a call, repeated identifiers, unknown tools and unreadable arguments are kept and
-named in ``problems``; repeated rows stay; an empty table gives an empty result.
+named in ``problems``; identifiers that aren't strings count as their JSON; texts that aren't strict
+JSON (``NaN``, infinite or overlong numbers, too deep nesting) are plain content; repeated rows stay; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,17 +40,45 @@ TOOLS = {
     "lookup": {"type": "object", "properties": {"id": {"type": "integer"}, "fields": {"type": "array", "items": {"type": "string"}}}, "required": ["id"], "additionalProperties": False},
 }
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+#: Dependencies of one conversation that are gathered in one task at most.
+GATHER = 200_000
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def written(text: str) -> str:
+    """``text`` with lone surrogates, which UTF-8 has no bytes for, as JSON's escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return written(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _finite(number: str) -> float:
+    if not math.isfinite(x := float(number)):
+        raise ValueError(number)
+    return x
+
+
+def read_json(text: str):
+    """A JSON value that ``canonical`` can write; ValueError for anything else."""
+    try:
+        value = json.loads(text, parse_constant=_finite, parse_float=_finite)
+        canonical(value)
+    except RecursionError as e:
+        raise ValueError("too deep") from e
+    return value
+
+
+def _identifier(value) -> str | None:
+    return None if value is None else written(value) if isinstance(value, str) else canonical(value)
 
 
 def validate(value, schema: dict, at: str = "$") -> list[str]:
     """What of ``value`` breaks ``schema``, as ``path: reason``."""
     kind = schema.get("type")
     if kind in ("integer", "number"):
-        good = isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+        good = isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or isinstance(value, int) or value.is_integer())
     else:
         good = kind is None or isinstance(value, _TYPES[kind])
     if not good:
@@ -69,15 +102,14 @@ def read_message(text: str | None) -> tuple[str | None, list[dict], str | None]:
     """(content, calls, identifier of the call that it answers) of a message's text."""
     if text and text.lstrip()[:1] == "{":
         try:
-            value = json.loads(text)
-        except (ValueError, RecursionError):
+            value = read_json(text)
+        except ValueError:
             value = None
         if isinstance(value, dict) and ("tool_calls" in value or "tool_call_id" in value):
             calls = value.get("tool_calls")
             calls = [c for c in calls if isinstance(c, dict)] if isinstance(calls, list) else []
             content = value.get("content")
-            answers = value.get("tool_call_id")
-            return content if content is None or isinstance(content, str) else canonical(content), calls, None if answers is None else str(answers)
+            return content if content is None or isinstance(content, str) else canonical(content), calls, _identifier(value.get("tool_call_id"))
     return text, [], None
 
 
@@ -85,13 +117,13 @@ def _arguments(call: dict, tools: dict) -> tuple[object, list[str]]:
     arguments = call.get("arguments")
     if isinstance(arguments, str):
         try:
-            arguments = json.loads(arguments)
-        except (ValueError, RecursionError):
+            arguments = read_json(arguments)
+        except ValueError:
             return arguments, ["arguments: not JSON"]
     name = call.get("name")
-    if name not in tools:
-        return arguments, [f"name: unknown tool {name}"]
-    return arguments, validate(arguments, tools[name])
+    if not isinstance(name, str) or name not in tools:
+        return arguments, [f"name: unknown tool {_identifier(name)}"]
+    return arguments, [written(x) for x in validate(arguments, tools[name])]
 
 
 def _events(tools: dict):
@@ -106,8 +138,8 @@ def _events(tools: dict):
                 for c in calls:
                     arguments, problems = _arguments(c, tools)
                     after = c.get("after")
-                    after = [str(x) for x in after] if isinstance(after, list) else []
-                    ident = None if c.get("id") is None else str(c["id"])
+                    after = [_identifier(x) for x in after if x is not None] if isinstance(after, list) else []
+                    ident = _identifier(c.get("id"))
                     rows.append((conv, turn, "call", ident, after, {"id": ident, "name": c.get("name"), "arguments": arguments, "role": role}, problems if ident is not None else [*problems, "id: missing"]))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -146,7 +178,29 @@ def _places(edges):
     return pd.DataFrame({"conv_id": edges["conv_id"].iloc[0], "ident": names, "place_turn": [place[x][0] for x in names], "place_level": [place[x][1] for x in names], "cyclic": [missing.get(x, 0) > 0 for x in names]})
 
 
-def formatted(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
+def _peeled(edges: DataFrame, scratch) -> DataFrame:
+    """``_places`` by joins: each round takes the calls whose dependencies all have a place."""
+    node = ["conv_id", "ident"]
+    before = F.col("before").alias("ident")
+    nodes = edges.select(*node, F.col("call_turn").alias("turn")).unionByName(edges.select("conv_id", before, F.col("before_turn").alias("turn"))).distinct()
+    open_ = scratch.cut(nodes.join(edges.groupBy(*node).agg(F.count("*").alias("missing")), node, "left").select(*node, "turn", F.coalesce("missing", F.lit(0)).alias("missing"), F.struct(F.col("turn").alias("turn"), F.lit(0).alias("level")).alias("place")), "open-0")
+    done, k = None, 0
+    while True:
+        free = scratch.cut(open_.where("missing = 0").select(*node, "place"), f"free-{k}")
+        if free.isEmpty():
+            break
+        done = free if done is None else done.unionByName(free)
+        freed = edges.join(free.select("conv_id", F.col("ident").alias("before"), "place"), ["conv_id", "before"])
+        freed = freed.groupBy(*node).agg(F.count("*").alias("n"), F.max(F.struct(F.col("place.turn").alias("turn"), (F.col("place.level") + 1).alias("level"))).alias("behind"))
+        rest = open_.where("missing > 0").join(freed, node, "left")
+        k += 1
+        open_ = scratch.cut(rest.select(*node, "turn", (F.col("missing") - F.coalesce("n", F.lit(0))).alias("missing"), F.greatest("place", F.coalesce("behind", "place")).alias("place")), f"open-{k}")
+    stuck = open_.select(*node, "place", F.lit(True).alias("cyclic"))
+    out = stuck if done is None else done.withColumn("cyclic", F.lit(False)).unionByName(stuck)
+    return out.select(*node, F.col("place.turn").alias("place_turn"), F.col("place.level").alias("place_level"), "cyclic")
+
+
+def formatted(messages: DataFrame, tools: dict = TOOLS, gather: int = GATHER) -> DataFrame:
     """(conv_id, turn, order_turn, level, kind, ident, json, problems) of every message and call."""
     from .scratch import Scratch
 
@@ -162,7 +216,16 @@ def formatted(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
     known = linked.where("call_turn IS NOT NULL").select("conv_id", "ident", "call_turn")
     edges = events.where("kind = 'call' AND ident IS NOT NULL").select("conv_id", "ident", F.explode("after").alias("before")).distinct()
     edges = edges.join(known.select("conv_id", F.col("ident").alias("before"), F.col("call_turn").alias("before_turn")), ["conv_id", "before"]).join(known, ["conv_id", "ident"])
-    found = edges.groupBy("conv_id").applyInPandas(_places, "conv_id long, ident string, place_turn long, place_level int, cyclic boolean")
+    edges = scratch.cut(edges, "edges")
+    large = scratch.cut(edges.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > gather).select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("large")), "large")
+    if large.isEmpty():
+        few, many = edges, None
+    else:
+        same = F.coalesce(F.col("conv_id").cast("string"), F.lit("")) == F.col("large")
+        few, many = edges.join(large, same, "left_anti"), scratch.cut(edges.join(large, same, "left_semi"), "many")
+    found = few.groupBy("conv_id").applyInPandas(_places, "conv_id long, ident string, place_turn long, place_level int, cyclic boolean")
+    if many is not None:
+        found = found.unionByName(_peeled(many, scratch))
     place = known.join(found, ["conv_id", "ident"], "left")
     place = place.select("conv_id", "ident", F.coalesce("place_turn", "call_turn").alias("order_turn"), F.coalesce("place_level", F.lit(0)).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
