@@ -10,7 +10,8 @@ Positions come from ``split``: the pieces between matches and the matches themse
 text.  Offsets are code points, ends exclusive.
 
 Defined cases: null text counts as empty; no findings give zero counts, an empty ``spans`` and the
-hash of the empty string; every row is answered, repeated ones alike; extra columns are ignored.
+hash of the empty string; every row is answered, repeated ones alike; extra columns are kept as they are,
+whatever their names, but for names that start with two underscores.
 """
 
 from __future__ import annotations
@@ -136,7 +137,7 @@ def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
 
 
 def candidates(index: DataFrame, grams: list[str], rules: tuple[Rule, ...]) -> DataFrame:
-    """(key, may_<kind> ...): documents whose postings satisfy a rule's query."""
+    """(key, __may_<kind> ...): documents whose postings satisfy a rule's query."""
     number = {g: i for i, g in enumerate(grams)}
     words = range((len(grams) + 62) // 63)
     masks = index.groupBy("key").agg(*[F.bit_or(F.when(F.floor(F.col("gram") / 63) == w, F.expr("shiftleft(1L, gram % 63)")).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in words])
@@ -157,9 +158,9 @@ def candidates(index: DataFrame, grams: list[str], rules: tuple[Rule, ...]) -> D
             for alt in clause:
                 any_of = any_of | all_of(alt)
             test = test & any_of
-        columns.append(test.alias(f"may_{r.kind}"))
+        columns.append(test.alias(f"__may_{r.kind}"))
     out = masks.select("key", *columns)
-    return out.where(" OR ".join(f"may_{r.kind}" for r in rules))
+    return out.where(" OR ".join(f"__may_{r.kind}" for r in rules))
 
 
 def _spans(kind: str, order: int, pieces: Column, matches: Column, groups: Column, least: int) -> Column:
@@ -208,12 +209,12 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     grams = trigrams(rules)
     with_text = docs.withColumns({"__text": F.coalesce(F.col("text").cast("string"), F.lit("")), "__key": _key()})
     if indexed:
-        hits = candidates(postings(docs.select("doc_id", "text"), grams), grams, indexed)
-        with_text = with_text.join(hits, F.col("__key") == F.col("key"), "left")
+        hits = candidates(postings(docs.select("doc_id", "text"), grams), grams, indexed).withColumnRenamed("key", "__hit")
+        with_text = with_text.join(hits, F.col("__key") == F.col("__hit"), "left")
     m, g, none = [], [], F.array().cast("array<string>")
     for r in rules:
         pattern = F.lit(_java(r))
-        take = F.col(f"may_{r.kind}") if r in indexed else F.lit(True)
+        take = F.col(f"__may_{r.kind}") if r in indexed else F.lit(True)
         m.append(F.when(take, F.regexp_extract_all("__text", pattern, F.lit(0))).otherwise(none).alias(f"__m_{r.kind}"))
         if r.group:
             g.append(F.when(take, F.regexp_extract_all("__text", pattern, F.lit(r.group))).otherwise(none).alias(f"__g_{r.kind}"))

@@ -81,3 +81,13 @@ def test_digest_and_redaction(spark, tmp_path):
         [("1", "a [SECRET] b", 12), ("1", "a [SECRET] b", 12), ("2", "None", 0), ("3", "plain", 5), ("None", "[SECRET]", 8)]
     )
     assert secrets.with_spans(df.limit(0)).count() == 0
+
+
+def test_clashing_names_and_null_ids(spark):
+    rows = [(1, "token=abcdefghijkl", 5, "g", True, "t"), (None, "token=abcdefghijkl", 6, None, None, "t"), (None, None, 7, "x", False, None), (1, "token=abcdefghijkl", 5, "g", True, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int, gram string, may_hex boolean, low string")
+    got = secrets.redacted(df)
+    assert got.columns == df.columns
+    want = [tuple("[SECRET]" if i == 1 and v else v for i, v in enumerate(r)) for r in rows]
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame(want, df.schema).collect()))
+    assert secrets.redacted(df.limit(0)).count() == 0
