@@ -7,13 +7,15 @@ agree in a slot only if they share those k-mers in the same order.  The likeness
 share of slots that agree, among those that either text fills.
 
 One pass hashes a text once, whatever the number of slots.  The next document in descending id
-order comes from a range partitioning by id: bounds are quantiles of the ids (existing ids), each
-range is streamed in order by one task, and the first document of a range is also sent to the range
-before it.
+order comes from a range partitioning by id and hash of the text: the ranges are as many as the texts'
+bytes need (``range_bytes`` each, ``MAX_RANGES`` at most), their bounds are keys of existing rows, found by a
+range sort of the keys alone.  Each range is a partition of its own, streamed in order by one task, and
+the first document of a range is also sent to the range before it.
 
 Defined cases: a null text is empty; an empty text has the empty signature (all slots 0000), like
 only to another empty one; texts shorter than k are one k-mer; null ids come last; rows of equal id
-are ordered by a hash of their text; a single row is its own next document.
+are ordered by a hash of their text, so only rows that are equal must lie in one range; a single row is its
+own next document; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from .words import mix
 K = 12
 SLOTS = 64
 ORDER = 2
+RANGE_BYTES = 16 << 20
+#: Bounds are literals of the plan, so there are not more of them; a range of any size is streamed.
+MAX_RANGES = 10_000
 _U = np.uint64
 _CODE = np.random.Generator(np.random.PCG64(31)).integers(1, 2**63, 256, dtype=np.int64).view(np.uint64)
 
@@ -141,29 +146,55 @@ def _stream(batches):
             yield pa.RecordBatch.from_pydict(dict(zip(fields, map(list, zip(*out, strict=True)), strict=True)))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def _bounds(keyed: DataFrame, parts: int) -> tuple[tuple | None, list[tuple]]:
+    """(first key, first keys of the other ranges) of about ``parts`` ranges of equally many rows."""
+    ranged = keyed.select(*KEY).repartitionByRange(parts, *KEY).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*KEY)).alias("first"))
+    firsts = sorted(tuple(r["first"]) for r in ranged.collect())
+    return (firsts[0], firsts[1:]) if firsts else (None, [])
+
+
+#: The order of documents: null ids last, then descending ids, then the texts' hashes.
+KEY = ("last", "down", "hash")
+
+
+def _structs(keys: list[tuple]):
+    return F.array(*[F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(KEY, b, ("boolean", "long", "long"), strict=True)]) for b in keys])
+
+
+def _range_of(bounds: list[tuple]):
+    """Number of bounds up to a row's key, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    listed, size, key = _structs(bounds), len(bounds), F.struct(*KEY)
+    step = [1 << i for i in reversed(range(size.bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(x) for x in step]), F.lit(0), lambda at, x: F.when((at + x <= size) & (F.element_at(listed, F.least(at + x, F.lit(size))) <= key), at + x).otherwise(at)
+    )
+
+
+def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Fingerprints of the texts of ``docs`` (doc_id, text) and of their edited texts.
 
     The edited text has its last third replaced by as much of the next document's beginning.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    quantiles = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    top, bounds = docs.select(F.col("doc_id").cast("long").alias("d")).agg(F.max("d"), F.percentile_approx("d", quantiles)).first()
-    bounds = sorted({b for b in bounds or [] if b != top}, reverse=True)
-    last = len(bounds)
-    if bounds:
-        listed = F.array(*[F.lit(b).cast("long") for b in bounds])
-        pid = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(F.size(F.filter(listed, lambda b: b >= F.col("doc_id"))))
-    else:
-        pid = F.lit(0)
-    rows = texts.select(pid.cast("int").alias("pid"), F.lit(False).alias("sentinel"), "doc_id", "text")
-    first = F.col("doc_id").eqNullSafe(F.lit(top).cast("long"))
-    rows = rows.unionByName(texts.where(first).select(F.lit(last).cast("int").alias("pid"), F.lit(True).alias("sentinel"), "doc_id", "text"))
-    if bounds:
-        rows = rows.unionByName(texts.where(F.col("doc_id").isin(bounds)).select((pid - 1).cast("int").alias("pid"), F.lit(True).alias("sentinel"), "doc_id", "text"))
-    dealt = rows.repartition(parts, "pid").sortWithinPartitions("pid", "sentinel", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    # a null id's place must not depend on ~null
+    keyed = texts.withColumns({"last": F.col("doc_id").isNull(), "down": F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")), "hash": F.xxhash64("text")})
+    held = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    top, bounds = _bounds(keyed, min(MAX_RANGES, max(2, -(-held // range_bytes))))
+    count = len(bounds) + 1
+
+    def place(pid, sentinel: bool):
+        return F.struct(pid.cast("int").alias("pid"), F.lit(sentinel).alias("sentinel"))
+
+    ranged, key, places = keyed.withColumn("pid", _range_of(bounds).cast("int")), F.struct(*KEY), [place(F.col("pid"), False)]
+    if bounds:  # the first rows of ranges: those whose key is the bound that their range starts with
+        starts = (F.col("pid") > 0) & (F.element_at(_structs(bounds), F.greatest(F.col("pid"), F.lit(1))) == key)
+        places.append(F.when(starts, place(F.col("pid") - 1, True)))
+    if top is not None:
+        places.append(F.when(F.element_at(_structs([top]), 1) == key, place(F.lit(count - 1), True)))
+    rows = ranged.select("doc_id", "text", *KEY, F.explode(F.array_compact(F.array(*places))).alias("place")).select("place.*", "doc_id", "text", *KEY)
+    dealt = rows.repartitionById(count, "pid").sortWithinPartitions("sentinel", *KEY).select("pid", "sentinel", "doc_id", "text")
     return dealt.mapInArrow(
         _stream, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
