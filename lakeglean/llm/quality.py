@@ -8,14 +8,15 @@ documents.
 all documents, in one grouped aggregation (partial sums, so a hot host is no hot task).  A host's
 posterior shrinks its mean toward the global prior, a path's toward its host's, by
 ``strength / (strength + n)``; the strengths are estimated from the spread of the sites' means
-(method of moments), so sites that don't differ more than chance count for nothing.
+(method of moments), so sites that don't differ more than chance count for nothing.  A document's own
+label does not enter its own score: for it, its sites count its evidence in the label's place.
 
 *Combination.*  The score is the document's log-odds plus those of its path's posterior over the
 global prior.
 
 Defined cases: null and empty texts have measures of zero and are scored; a null host or path is a site
-of its own; repeated rows are scored alike and each counts for its site; without labels of both
-kinds every document scores by the prior 0.5.  Extra columns are ignored.
+of its own, apart from the empty one; repeated rows are scored alike and each counts for its site; without
+labels of both kinds every document scores by the prior 0.5.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 MAX_TRAIN = 20_000
 LABEL_WEIGHT = 1.0
 MEASURES = 15
@@ -115,7 +118,7 @@ def evidence(docs: DataFrame, beta: np.ndarray | None, host: Column, path: Colum
                 logit = np.clip(_expand(np.array([measures(t) for t in batch.column(3).to_pylist()])) @ beta, -12, 12)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(logit)], names=["doc_id", "host", "path", "logit"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, host string, path string, logit double")
 
 
@@ -130,46 +133,54 @@ def _strength(n, mean, prior: str):
     return F.least(F.lit(1e9), F.avg(within) / F.greatest(between, F.lit(1e-9)))
 
 
-def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(host, path, host_posterior, path_posterior, prior) of each path, from ``evidence`` rows."""
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``evidence`` rows with ``p``, what a document's evidence says, and ``value``: its label, if known, or p."""
     known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("quality").alias("quality"))
-    judged = docs.join(known, F.col("doc_id") == F.col("l_id"), "left")
     p = 1 / (1 + F.exp(-F.col("logit")))
-    value = F.when(F.col("quality").isNotNull(), (1 - LABEL_WEIGHT) * p + LABEL_WEIGHT * F.col("quality")).otherwise(p)
-    paths = judged.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum(value).alias("s"))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    prior = hosts.agg(((F.sum("hs") + 1) / (F.sum("hn") + 2)).alias("prior"))
-    hosts = hosts.crossJoin(F.broadcast(prior))  # one row
-    strength = hosts.agg(_strength(F.col("hn"), F.col("hs") / F.col("hn"), "prior").alias("h_strength"))
-    hosts = hosts.crossJoin(F.broadcast(strength))
-    hosts = hosts.withColumn("host_posterior", (F.col("hs") + F.col("h_strength") * F.col("prior")) / (F.col("hn") + F.col("h_strength")))
-    paths = paths.join(hosts.select("host", "host_posterior", "prior"), "host")
-    strength = paths.agg(_strength(F.col("n"), F.col("s") / F.col("n"), "host_posterior").alias("p_strength"))
-    paths = paths.crossJoin(F.broadcast(strength))
-    return paths.select("host", "path", "host_posterior", ((F.col("s") + F.col("p_strength") * F.col("host_posterior")) / (F.col("n") + F.col("p_strength"))).alias("path_posterior"), "prior")
+    rows = docs.join(known, F.col("doc_id") == F.col("l_id"), "left").withColumn("p", p)
+    value = F.when(F.col("quality").isNotNull(), (1 - LABEL_WEIGHT) * F.col("p") + LABEL_WEIGHT * F.col("quality")).otherwise(F.col("p"))
+    return rows.select("doc_id", "host", "path", "logit", "p", value.alias("value"))
+
+
+def sites(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, path, n, s, hn, hs, prior, h_strength, p_strength) of each path, from ``judged`` rows."""
+    paths = scratch.cut(rows.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("value").alias("s")), "paths")
+    hosts = scratch.cut(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs")), "hosts")
+    total = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).first()
+    prior = ((total["s"] or 0.0) + 1) / ((total["n"] or 0.0) + 2)
+    hosts = hosts.withColumn("prior", F.lit(prior))
+    h_strength = hosts.agg(_strength(F.col("hn"), F.col("hs") / F.col("hn"), "prior")).first()[0] or 1e9
+    paths = paths.withColumnRenamed("host", "p_host").join(hosts, F.col("p_host").eqNullSafe(F.col("host"))).drop("p_host").withColumn("h_strength", F.lit(h_strength))
+    paths = paths.withColumn("host_mean", _shrunk("hn", "hs", "h_strength", F.col("prior")))
+    p_strength = paths.agg(_strength(F.col("n"), F.col("s") / F.col("n"), "host_mean")).first()[0] or 1e9
+    return scratch.cut(paths.drop("host_mean").withColumn("p_strength", F.lit(p_strength)), "sites")
+
+
+def _shrunk(n: str, s: Column | str, strength: str, prior: Column) -> Column:
+    s = F.col(s) if isinstance(s, str) else s
+    return (s + F.col(strength) * prior) / (F.col(n) + F.col(strength))
 
 
 def classified(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_train: int = MAX_TRAIN) -> DataFrame:
     """(doc_id, host, path, document, host_posterior, path_posterior, score, predicted)."""
-    from .scratch import Scratch
-
+    scratch = Scratch(docs.sparkSession, "quality")
     beta = fit(docs, labels, max_train)
-    rows = Scratch(docs.sparkSession, "quality").cut(evidence(docs, beta, host, path), "evidence")
-    sites = posteriors(rows, labels)
+    rows = scratch.cut(judged(evidence(docs, beta, host, path), labels), "judged")
 
     def logit(p: Column) -> Column:
         q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
         return F.log(q / (1 - q))
 
-    total = F.col("logit") + logit(F.col("path_posterior")) - logit(F.col("prior"))
-    out = rows.join(sites, ["host", "path"])
-    score = 1 / (1 + F.exp(-total))
-    return out.select(
-        "doc_id", "host", "path", (1 / (1 + F.exp(-F.col("logit")))).alias("document"), "host_posterior", "path_posterior", score.alias("score"), (score >= 0.5).cast("int").alias("predicted")
-    )
+    known = sites(rows, scratch).withColumnsRenamed({"host": "s_host", "path": "s_path"})
+    out = rows.join(known, rows["host"].eqNullSafe(known["s_host"]) & rows["path"].eqNullSafe(known["s_path"]))
+    own = F.col("value") - F.col("p")  # what the own label adds to the sums
+    out = out.withColumn("host_posterior", _shrunk("hn", F.col("hs") - own, "h_strength", F.col("prior")))
+    out = out.withColumn("path_posterior", _shrunk("n", F.col("s") - own, "p_strength", F.col("host_posterior")))
+    score = 1 / (1 + F.exp(-(F.col("logit") + logit(F.col("path_posterior")) - logit(F.col("prior")))))
+    return out.select("doc_id", "host", "path", F.col("p").alias("document"), "host_posterior", "path_posterior", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``source`` is the host and ``lang`` the path below it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return classified(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("source"), F.concat_ws("/", "source", "lang"))
+    return classified(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("source"), F.concat("source", F.lit("/"), "lang"))
