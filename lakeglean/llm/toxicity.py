@@ -16,7 +16,8 @@ seeded background sequences.  A segment is significant if ``lambda s - log(K n)
 are summed, and a logistic curve over that sum, fitted on training documents, is the score.
 
 The fit uses at most ``max_train`` labelled documents (the smallest hashes of their ids); their ids,
-and at most ``max_features`` weights, are what is broadcast.  Everything else covers all documents.
+and at most ``max_features`` weights, are what is broadcast, and at most ``max_train`` distinct sums are what
+the curve is fitted to.  Everything else covers all documents.
 
 Defined cases: null and empty texts have no segment and get the score of a text without findings;
 repeated rows are scored alike; without labels of both kinds every document scores 0.
@@ -43,6 +44,7 @@ OFFSET = 1.0
 Z = 2.33
 PRIOR_SHARE = 0.05
 REPEATS = 3
+LEAST_COUNT = 3
 LEAST_WEIGHT = 0.5
 
 
@@ -120,12 +122,22 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _count(batches):
-    """(doc_id, text, toxic) to (feature, toxic count, clean count)."""
+def _count(repeats: int | None):
+    """(doc_id, text, toxic) to (feature, toxic count, clean count); the feature null counts all words."""
+
+    def run(batches):
+        yield from _counted(batches, repeats)
+
+    return run
+
+
+def _counted(batches, repeats: int | None):
     counts = {0: Counter(), 1: Counter()}
+    total = [0, 0]
 
     def out():
-        by = {}
+        by = {None: total.copy()}
+        total[:] = [0, 0]
         for y in (0, 1):
             for word, c in counts[y].items():
                 for f in features(word):
@@ -135,16 +147,16 @@ def _count(batches):
         for i in range(0, len(names), 50_000):
             part = names[i : i + 50_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part), pa.array([by[f][1] for f in part], pa.int64()), pa.array([by[f][0] for f in part], pa.int64())], names=["feature", "toxic", "clean"]
+                [pa.array(part, pa.string()), pa.array([by[f][1] for f in part], pa.int64()), pa.array([by[f][0] for f in part], pa.int64())], names=["feature", "toxic", "clean"]
             )
 
     for batch in batches:
         for text, y in zip(batch.column("text"), batch.column("toxic"), strict=True):
             # a word that one document repeats says no more than one that it uses a few times
             words = Counter(WORD.findall((text.as_py() or "").lower()))
-            words = {x: min(c, REPEATS) for x, c in words.items()}
+            words = {x: min(c, repeats or c) for x, c in words.items()}
             counts[y.as_py()].update(words)
-            counts[y.as_py()]["<all>"] += sum(words.values())
+            total[y.as_py()] += sum(words.values())
         if len(counts[0]) + len(counts[1]) > 500_000:
             yield from out()
     yield from out()
@@ -174,31 +186,36 @@ def _extreme_law(scores: np.ndarray, probs: np.ndarray, drift: float) -> tuple[f
     return lam, min(1.0, max(1e-6, k))
 
 
-def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Intercept and slope of a ridge-penalised logistic curve (Newton steps)."""
-    design, beta = np.column_stack([np.ones(len(x)), x]), np.zeros(2)
+def _curve(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Intercept and slope of a ridge-penalised logistic curve (Newton steps) over rows that count ``times``."""
+    design, beta, n = np.column_stack([np.ones(len(x)), x]), np.zeros(2), times.sum()
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        hess = design.T @ (design * (p * (1 - p))[:, None]) + ridge * len(x) * np.diag([1e-3, 1.0]) / 10
-        step = np.linalg.solve(hess + 1e-9 * np.eye(2), design.T @ (y - p) - ridge * len(x) * np.array([1e-3, 1.0]) / 10 * beta)
+        hess = design.T @ (design * (times * p * (1 - p))[:, None]) + ridge * n * np.diag([1e-3, 1.0]) / 10
+        step = np.linalg.solve(hess + 1e-9 * np.eye(2), design.T @ (times * (y - p)) - ridge * n * np.array([1e-3, 1.0]) / 10 * beta)
         beta += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
     return float(beta[0]), float(max(0.0, beta[1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> Model:
-    """Fit on the labelled documents that are not held out, at most ``max_train`` of them."""
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int | None = MAX_FEATURES, least_count: int = LEAST_COUNT, repeats: int | None = REPEATS) -> Model:
+    """Fit on the labelled documents that are not held out, at most ``max_train`` of them.
+
+    ``max_features`` bounds the weights that are broadcast, those with the largest share of toxic words
+    first; ``least_count`` is how often toxic documents must use a feature; ``repeats`` is how often one
+    document's uses of a word count at most.  None, 1 and None turn these bounds off.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
     sample = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
-    counts = train.mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("y1"), F.sum("clean").alias("y0"))
-    counts = counts.where("y1 > 2")
-    found = counts.where("feature = '<all>' OR y1 * 4 > y0").orderBy((F.col("feature") != "<all>"), F.desc(F.col("y1") / (F.col("y0") + 1)), "feature").limit(max_features + 1).toArrow().to_pandas().set_index("feature")
-    if "<all>" not in found.index or not (found.loc["<all>"] > 0).all():
+    counts = train.mapInArrow(_count(repeats), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("y1"), F.sum("clean").alias("y0"))
+    counts = counts.where(F.col("feature").isNull() | (F.col("y1") >= least_count) & (F.col("y1") * 4 > F.col("y0"))).orderBy(F.col("feature").isNotNull(), F.desc(F.col("y1") / (F.col("y0") + 1)), "feature")
+    found = (counts if max_features is None else counts.limit(max_features + 1)).toArrow().to_pandas()
+    total, found = found[found["feature"].isna()], found[found["feature"].notna()].set_index("feature")
+    n1, n0 = float(total["y1"].sum()), float(total["y0"].sum())
+    if not (n1 and n0 and len(found)):
         return Model()
-    n1, n0 = (float(found.loc["<all>", c]) for c in ("y1", "y0"))
-    found = found.drop(index="<all>")
     y1, y0 = found["y1"].to_numpy(float), found["y0"].to_numpy(float)
     a0 = PRIOR_SHARE * (n1 + n0)
     prior = PRIOR_SHARE * (y1 + y0)
@@ -213,9 +230,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_feat
     whole = good & ~found.index.str.endswith("*")
     use = whole if whole.any() else good
     model.lam, model.k = _extreme_law(weight[use], (y0 + prior)[use] / (n0 + a0), DRIFT)
-    rows = train.mapInArrow(_training_rows(model), "toxic int, excess double").toArrow().to_pandas()
+    # rows, not ids, are bounded: an id may have many
+    rows = train.mapInArrow(_training_rows(model), "toxic int, excess double").groupBy("toxic", "excess").agg(F.count("*").alias("n"))
+    rows = rows.orderBy(F.xxhash64("excess", "toxic"), "excess", "toxic").limit(max_train).toArrow().to_pandas()
     x, y = np.log1p(rows["excess"].to_numpy(float)), rows["toxic"].to_numpy(float)
-    model.intercept, model.slope = _curve(x, y)
+    model.intercept, model.slope = _curve(x, y, rows["n"].to_numpy(float))
     return model
 
 

@@ -62,6 +62,27 @@ def test_fingerprints_against_plain_order(spark):
     assert one[0]["near_next"] == 1.0 and len(one) == 1
 
 
+def test_every_column_against_a_plain_version(spark):
+    import hashlib
+
+    rng = random.Random(9)
+    rows = [(rng.choice([None, *range(-40, 40)]), "".join(rng.choice("abcdé 😀") for _ in range(rng.randrange(0, 60)))) for _ in range(300)]
+    rows += [(3, "one " * 40_000)] * 3 + [(None, None), (2**63 - 1, "top"), (-(2**63), "low"), (7, None), (7, "")]
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, fingerprint string, near_next double").repartition(7)
+    hashes = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(coalesce(text, '')) AS h").distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = []
+    for (i, own), (_, nxt) in zip(order, [*order[1:], order[0]], strict=True):
+        own, nxt = own or "", nxt or ""
+        m = len(own) // 3
+        edited = own[: len(own) - m] + nxt[:m]
+        a, b, c = (slow_signature(x.encode()) if len(x) < 5000 else fingerprint.signature(x.encode()) for x in (own, edited, nxt))
+        want.append((i, len(own), hashlib.sha256(edited.encode()).hexdigest(), fingerprint._hex(a), fingerprint._hex(b), fingerprint.likeness(a, b), fingerprint.likeness(a, c)))
+    for size in (fingerprint.RANGE_BYTES, 200):
+        got = fingerprint.fingerprints(df, range_bytes=size)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 # -- toxicity ---------------------------------------------------------------------------------------
 
 
@@ -131,6 +152,53 @@ def test_held_out_accuracy_and_edges(spark):
     assert toxicity.scored(d.limit(0), model).count() == 0
 
 
+def test_weights_law_and_score_against_their_definitions(spark):
+    import math
+    import zlib
+    from collections import Counter
+
+    docs, labels = toxic_corpus(240)
+    d = spark.createDataFrame(docs, "doc_id long, text string, score string").repartition(3)
+    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    n, by = [0, 0], [Counter(), Counter()]
+    for (i, text, _), (_, _, y) in zip(docs, labels, strict=True):
+        if zlib.crc32(str(i).encode()) % 3 == 1:
+            continue
+        for w, c in Counter(text.lower().split()).items():
+            c = min(c, 3)
+            n[y] += c
+            for f in {w, *(w[:k] + "*" for k in range(3, 7) if len(w) >= k)}:
+                by[y][f] += c
+    a0, weights = 0.05 * sum(n), {}
+    for f, y1 in by[1].items():
+        y0 = by[0][f]
+        if y1 < 3 or y1 * 4 <= y0:
+            continue
+        a = 0.05 * (y1 + y0)
+        delta = math.log((y1 + a) / (n[1] + a0 - y1 - a)) - math.log((y0 + a) / (n[0] + a0 - y0 - a))
+        w = delta - toxicity.Z * math.sqrt(1 / (y1 + a) + 1 / (y0 + a)) - toxicity.OFFSET
+        if w > toxicity.LEAST_WEIGHT:
+            weights[f] = (w, (y0 + a) / (n[0] + a0))
+    assert set(model.weights) == set(weights) and all(abs(model.weights[f] - w) < 1e-9 for f, (w, _) in weights.items())
+    whole = {f: x for f, x in weights.items() if not f.endswith("*")}
+    rest = 1 - sum(p for _, p in whole.values())
+    assert abs(sum(p * math.exp(model.lam * w) for w, p in whole.values()) + rest * math.exp(-model.lam * toxicity.DRIFT) - 1) < 1e-6
+    for i, text, _ in docs[:40]:
+        words = text.lower().split()
+        scores = [max([weights[f][0] for f in (w, *(w[:k] + "*" for k in range(3, 7) if len(w) >= k)) if f in weights], default=-toxicity.DRIFT) for w in words]
+        excess = sum(max(0.0, model.lam * s - math.log(model.k * len(words))) for *_, s in brute_segments(scores))
+        want = 1 / (1 + math.exp(-(model.intercept + model.slope * math.log1p(excess))))
+        found = toxicity.Scanner(model).scan(text)
+        assert abs(model.score(model.excess(found[1], found[0])) - want) < 1e-6
+
+
+def test_repeated_rows_count_but_are_not_collected(spark):
+    docs, labels = toxic_corpus(60)
+    d = spark.createDataFrame(docs * 4, "doc_id long, text string, score string")
+    l = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert toxicity.fit(d, l, max_train=60, max_features=None, least_count=1, repeats=None).weights
+
+
 # -- html -------------------------------------------------------------------------------------------
 
 
@@ -203,6 +271,63 @@ def test_quality_held_out_and_shrinkage(spark):
     assert {r["predicted"] for r in quality.classified(d.limit(9), l.limit(0), F.col("source"), F.col("lang")).collect()} == {1}
 
 
+def test_posteriors_against_plain_sums(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(16)
+    docs = [(i if i % 9 else None, " ".join(rng.choice(["alpha", "beta!!", "###", "Gamma."]) for _ in range(rng.randrange(1, 30))), rng.choice(["a", "b", "", None]), rng.choice(["en", "de", None])) for i in range(200)]
+    docs += docs[:5]  # repeated rows
+    labels = [(i, rng.randrange(2), 0) for i in range(0, 200, 3)]
+    d = spark.createDataFrame([(*r, 1.5, "x") for r in docs], "doc_id long, text string, source string, lang string, s double, prior string").repartition(3)
+    l = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality.classified(d, l, F.col("source"), F.col("lang")).collect()
+    known = {i: y for i, y, _ in labels}
+    rows = [(r["host"], r["path"], r["document"], known.get(r["doc_id"], r["document"])) for r in got]
+    prior = (sum(v for *_, v in rows) + 1) / (len(rows) + 2)
+
+    def site(key):
+        out = {}
+        for r in rows:
+            n, s = out.get(key(r), (0, 0.0))
+            out[key(r)] = n + 1, s + r[3]
+        return out
+
+    def strength(sites, prior_of):
+        within = [prior_of(k) * (1 - prior_of(k)) for k in sites]
+        total = sum(n for n, _ in sites.values())
+        spread = sum(n * (s / n - prior_of(k)) ** 2 for k, (n, s) in sites.items()) - sum(within)
+        between = spread / max(total - sum(n * n for n, _ in sites.values()) / total, 1e-9)
+        return min(1e9, sum(within) / len(within) / max(between, 1e-9))
+
+    hosts, paths = site(lambda r: r[0]), site(lambda r: r[:2])
+    kh = strength(hosts, lambda _: prior)
+    kp = strength(paths, lambda k: (hosts[k[0]][1] + kh * prior) / (hosts[k[0]][0] + kh))
+    assert len(got) == len(docs) and len({r["host"] for r in got}) == 4
+    for r, (host, path, p, value) in zip(got, rows, strict=True):
+        hp = (hosts[host][1] - (value - p) + kh * prior) / (hosts[host][0] + kh)
+        pp = (paths[host, path][1] - (value - p) + kp * hp) / (paths[host, path][0] + kp)
+        total = math.log(p / (1 - p)) + math.log(pp / (1 - pp)) - math.log(prior / (1 - prior))
+        assert abs(r["host_posterior"] - hp) < 1e-9 and abs(r["path_posterior"] - pp) < 1e-9 and abs(r["score"] - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_quality_held_out_on_the_given_table(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no table")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    scored = quality.classified(docs, labels.where(~held), F.col("source"), F.col("lang"))
+    right = scored.join(labels.where(held), "doc_id").agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0]
+    print("held out:", right)
+    assert right >= 0.95
+
+
 # -- chat -------------------------------------------------------------------------------------------
 
 
