@@ -8,7 +8,8 @@ from lakeglean.llm import mixing, packing
 
 
 def check_pack(lengths, caps):
-    bins, offsets, sizes = packing.pack(lengths, caps)
+    bins, offsets, sizes, opened = packing.pack(lengths, caps)
+    assert all(a <= b for a, b in zip(sizes, opened, strict=True))
     spans = defaultdict(list)
     for n, b, o in zip(lengths, bins, offsets, strict=True):
         spans[b].append((o, o + n))
@@ -28,12 +29,72 @@ def test_pack_is_valid_and_tight(seed):
 
 
 def test_pack_edges():
-    assert packing.pack([]) == ([], [], [])
+    assert packing.pack([]) == ([], [], [], [])
     assert packing.pack([4096])[2] == [4096]
     assert packing.pack([1])[2] == [512]
     check_pack([512] * 9, (512, 1024, 2048, 4096))
 
 
+def total(sizes, **model):
+    return sum(packing.cost(c, **model) for c in sizes)
+
+
+def best_total(lengths, caps, **model):
+    """The least cost of any packing: every piece in every bin that has room, or in a new one."""
+    best = [float("inf")]
+
+    def place(i, bins):
+        if i == len(lengths):
+            best[0] = min(best[0], total([min(c for c in caps if c >= u) for u in bins], **model))
+            return
+        for b in range(len(bins)):
+            if bins[b] + lengths[i] <= max(caps) and bins[b] not in bins[:b]:
+                place(i + 1, [*bins[:b], bins[b] + lengths[i], *bins[b + 1 :]])
+        place(i + 1, [*bins, lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_cost_is_near_the_optimum_of_small_cases():
+    rng = random.Random(7)
+    model, ratios = {"overhead": 3.0, "quadratic": 60.0}, []
+    for _ in range(150):
+        lengths = [rng.randrange(1, 33) for _ in range(rng.randrange(1, 8))]
+        caps = (8, 16, 32)
+        sizes = packing.pack(lengths, caps, **model)[2]
+        ratios.append(total(sizes, **model) / best_total(lengths, caps, **model))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) <= 1.35 and sum(ratios) / len(ratios) <= 1.06
+
+
+@pytest.mark.parametrize("kind", ["short", "spread", "mixed"])
+def test_capacities_are_chosen_jointly(kind):
+    rng = random.Random(2)
+    draw = {"short": lambda: rng.randrange(100, 700), "spread": lambda: min(4096, int(rng.expovariate(1 / 600)) + 1), "mixed": lambda: rng.choice([rng.randrange(1, 300), rng.randrange(900, 1100), rng.randrange(2500, 4097)])}[kind]
+    lengths = [draw() for _ in range(4000)]
+    _, _, sizes, opened = packing.pack(lengths)
+    assert len(set(opened)) >= (3 if kind == "spread" else 2) and max(opened.count(c) for c in set(opened)) < 0.9 * len(opened)
+    assert total(sizes) < total(packing.pack(lengths, (4096,))[2])
+    bins, _, _, _ = packing.pack(lengths, (4096,))
+    used = defaultdict(int)
+    for n, b in zip(lengths, bins, strict=True):
+        used[b] += n
+    shrunk = [min(c for c in packing.CAPACITIES if c >= u) for u in used.values()]
+    assert total(sizes) < total(shrunk)  # fixed capacity, downsized
+    assert sum(sizes) <= 1.02 * sum(lengths) + 4096
+
+
+def test_many_equal_rows_are_dealt_to_all_shards(spark):
+    df = spark.range(3000).selectExpr("7L AS doc_id", "'a b c' AS text", "1 AS row", "2 AS many").unionByName(spark.range(500).selectExpr("id AS doc_id", "repeat('w ', 20) AS text", "1 AS row", "2 AS many"))
+    got = packing.packed(df, mixing.word_count(F.col("text")), shard_rows=500).collect()
+    shards = defaultdict(int)
+    for r in got:
+        shards[r["bin_id"].split(":")[0]] += 1
+    assert len(got) == 3500 and len(shards) == 7 and max(shards.values()) < 700
+    one = packing.packed(df, mixing.word_count(F.col("text")), shard_rows=None).collect()
+    assert len(one) == 3500 and {r["bin_id"].split(":")[0] for r in one} == {"0"}
+
+
 def test_packed_table_round_trip(spark):
     rows = [(i, "w " * n, "x") for i, n in enumerate([0, 1, 511, 4096, 4097, 20000, 3])] + [(None, "a b", "y"), (6, "w w w", "z"), (9, None, "q")]
     df = spark.createDataFrame(rows, "doc_id long, text string, shard string")
