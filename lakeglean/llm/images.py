@@ -10,16 +10,21 @@ enough matches agree on one.
 Images with equal bytes are one class before any join, so thousands of copies meet once.  Keys
 grow with the number of points (1.5 times its logarithm in bits), so that chance matches of a query stay as
 few in a large table as in a small one.  The number of tables grows with the keys, so that a point with
-one bit in ten changed is found as often at any width (0.96 by the binomial law).
+one bit in ten changed is found as often at any width (``FOUND``, by the binomial law); a copy has
+several times the points that the consensus needs.
 They are looked up a few at a time: only keys that a fixed-size Bloom filter of the queries' keys lets
 through leave a task, and only pairs within the Hamming threshold are written.  Keys whose bits are
-nearly all equal are not looked up: they are flat patches, and a copy has others.
+nearly all equal are not looked up: they are flat patches, and a copy has others (``flat`` = 0 looks
+up all).
 
-The number of keypoints follows the image's area, so a small crop of a large image keeps its share.
+Scales are a quarter apart, so a resized copy has its corners at a scale that is at most an eighth off.
+The number of keypoints follows the image's area, so a small crop of a large image keeps its share;
+``keypoints`` sets it.
 
 Images are raw grey-scale rasters: two little-endian 16-bit sizes (height, width), then the pixels.
-Defined cases: null, unreadable or flat images have no keypoints and match only equal bytes; repeated
-rows are copies; extra columns are ignored.
+Defined cases: null, unreadable, tiny or flat images have no keypoints and match only equal bytes; repeated
+rows are copies; rows of one id with different images are images of their own, answered under that id;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,10 +40,17 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 #: Keypoints of an image of 72 x 72 pixels, and the least of any; larger ones have more by their area.
-KEYPOINTS = 40
-SCALES = (1.0, 1.5, 2.25)
+KEYPOINTS = 64
+SCALES = (1.0, 1.25, 1.5625, 1.953125, 2.44140625)
 BANDS = 16
 CONSENSUS = 5
+#: Bits of 256 in which two descriptors may differ, and the share of points found if one in ten does.
+NEAR = 44
+FOUND = 0.75
+#: A key with fewer bits of one kind is that of a flat patch.
+FLAT = 3
+#: Corners that are described at a time.
+CHUNK = 4096
 _RNG = np.random.Generator(np.random.PCG64(9))
 #: Each test compares a place with one close by: such tests depend on one another the least.
 _PLACES = _RNG.uniform(-7, 7, (256, 2))
@@ -75,12 +87,34 @@ def _blur(img: np.ndarray) -> np.ndarray:
     return sum(k[i] * rows[:, i : i + img.shape[1]] for i in range(5))
 
 
-def describe(img: np.ndarray | None, most: int | None = None) -> list[tuple[float, float, float, float, bytes]]:
+_DISC = np.stack([m[np.hypot(*np.mgrid[-_REACH + 1 : _REACH, -_REACH + 1 : _REACH]) < _REACH] for m in np.mgrid[-_REACH + 1 : _REACH, -_REACH + 1 : _REACH]])
+
+
+def _patches(im: np.ndarray, soft: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Orientation and packed tests of the patches around (xs, ys)."""
+    (h, w), (yy, xx) = im.shape, _DISC
+    patch = im[ys[:, None] + yy, xs[:, None] + xx]
+    patch = patch - patch.mean(1, keepdims=True)
+    my, mx = patch @ yy.astype(np.float32), patch @ xx.astype(np.float32)
+    angle = np.arctan2(my, mx)
+    # tests look at what is left without the patch's slope, which the orientation tells already
+    sx, sy = (mx / (xx * xx).sum())[:, None], (my / (yy * yy).sum())[:, None]
+    cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
+
+    def at(px, py):
+        dx, dy = np.rint(px * cos - py * sin).astype(int), np.rint(px * sin + py * cos).astype(int)
+        x, y = np.clip(xs[:, None] + dx, 0, w - 1), np.clip(ys[:, None] + dy, 0, h - 1)
+        return soft[y, x] - sx * (x - xs[:, None]) - sy * (y - ys[:, None])
+
+    return angle, np.packbits(at(_PAIRS[:, 0], _PAIRS[:, 1]) < at(_PAIRS[:, 2], _PAIRS[:, 3]), axis=1)
+
+
+def describe(img: np.ndarray | None, keypoints: int = KEYPOINTS) -> list[tuple[float, float, float, float, bytes]]:
     """(x, y, scale, angle, descriptor of 32 bytes) of the strongest corners, in image pixels."""
     found = []
     if img is None or min(img.shape) < 2 * _REACH + 4:
         return []
-    most = most or max(KEYPOINTS, KEYPOINTS * img.size // 72**2)
+    most = max(keypoints, keypoints * img.size // 72**2)
     for scale in SCALES:
         h, w = int(img.shape[0] / scale), int(img.shape[1] / scale)
         if min(h, w) < 2 * _REACH + 4:
@@ -102,34 +136,26 @@ def describe(img: np.ndarray | None, most: int | None = None) -> list[tuple[floa
             continue
         best = np.argsort(-inner[ys, xs], kind="stable")[:most]
         ys, xs, strength = ys[best] + _REACH, xs[best] + _REACH, inner[ys[best], xs[best]]
-        yy, xx = np.mgrid[-_REACH + 1 : _REACH, -_REACH + 1 : _REACH]
-        disc = (yy * yy + xx * xx) < _REACH * _REACH
-        yy, xx = yy[disc], xx[disc]
-        patch = im[ys[:, None] + yy, xs[:, None] + xx]
-        patch = patch - patch.mean(1, keepdims=True)
-        my, mx = (patch * yy).sum(1), (patch * xx).sum(1)
-        angle = np.arctan2(my, mx)
-        # tests look at what is left without the patch's slope, which the orientation tells already
-        sx, sy = (mx / (xx * xx).sum())[:, None], (my / (yy * yy).sum())[:, None]
-        cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
-
         soft = _blur(im)
-
-        def at(px, py, im=soft, xs=xs, ys=ys, cos=cos, sin=sin, h=h, w=w, sx=sx, sy=sy):
-            x = np.clip(np.rint(xs[:, None] + px * cos - py * sin).astype(int), 0, w - 1)
-            y = np.clip(np.rint(ys[:, None] + px * sin + py * cos).astype(int), 0, h - 1)
-            return im[y, x] - sx * (x - xs[:, None]) - sy * (y - ys[:, None])
-
-        bits = at(_PAIRS[:, 0], _PAIRS[:, 1]) < at(_PAIRS[:, 2], _PAIRS[:, 3])
-        packed = np.packbits(bits, axis=1)
         fx, fy = img.shape[1] / w, img.shape[0] / h
-        found += [(float(s), float(x * fx), float(y * fy), scale, float(t), d.tobytes()) for s, x, y, t, d in zip(strength, xs, ys, angle, packed, strict=True)]
+        for i in range(0, len(xs), CHUNK):
+            x, y = xs[i : i + CHUNK], ys[i : i + CHUNK]
+            angle, packed = _patches(im, soft, x, y)
+            found += zip(strength[i : i + CHUNK].tolist(), (x * fx).tolist(), (y * fy).tolist(), [scale] * len(x), angle.tolist(), map(bytes, packed), strict=True)
     found.sort(key=lambda f: (-f[0], f[1], f[2], f[3]))
     return [f[1:] for f in found[:most]]
 
 
-def _described(batches):
+def _described(keypoints: int):
     """(id, image) to (id, sha, keypoints)."""
+
+    def run(batches):
+        yield from _describe_all(batches, keypoints)
+
+    return run
+
+
+def _describe_all(batches, keypoints: int):
     import hashlib
 
     kind = pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32()), ("scale", pa.float32()), ("angle", pa.float32()), ("bits", pa.binary())]))
@@ -139,14 +165,15 @@ def _described(batches):
         for raw in batch.column(1).to_pylist():
             sha = hashlib.sha256(raw or b"").digest()
             if sha not in known:
-                known[sha] = [dict(zip(("x", "y", "scale", "angle", "bits"), p, strict=True)) for p in describe(decode(raw))]
+                known[sha] = [dict(zip(("x", "y", "scale", "angle", "bits"), p, strict=True)) for p in describe(decode(raw), keypoints)]
             shas.append(sha.hex())
             points.append(known[sha])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas), pa.array(points, kind)], names=["id", "sha", "points"])
 
 
-def consensus(ax, ay, a_scale, a_angle, bx, by, b_scale, b_angle) -> int:
-    """How many matches agree on one similarity transform: the best of each match's own vote."""
+def consensus(ax, ay, a_scale, a_angle, bx, by, b_scale, b_angle, enough: int | None = None) -> int:
+    """How many matches agree on one similarity transform: the best of each match's own vote, or the
+    first that is ``enough``."""
     n = len(ax)
     best = 0
     ratio = b_scale / a_scale
@@ -158,28 +185,34 @@ def consensus(ax, ay, a_scale, a_angle, bx, by, b_scale, b_angle) -> int:
         good = (np.hypot(x - bx, y - by) < 4) & (np.abs(np.log(ratio / s)) < 0.6) & (np.abs((turn - turn[i] + np.pi) % (2 * np.pi) - np.pi) < 0.5)
         if good.any():
             best = max(best, len({(round(float(u)), round(float(v))) for u, v in zip(ax[good], ay[good], strict=True)}))
+        if enough and best >= enough:
+            break
     return best
 
 
-def _verify(part):
+def _verify(needed: int):
     """Matches of one pair of classes to its consensus."""
-    import pandas as pd
 
-    cols = [part[c].to_numpy(float) for c in ("ax", "ay", "as_", "aa", "bx", "by", "bs", "ba")]
-    return pd.DataFrame({"a": [part["a"].iloc[0]], "b": [part["b"].iloc[0]], "inliers": [consensus(*cols)]})
+    def run(part):
+        import pandas as pd
+
+        cols = [part[c].to_numpy(float) for c in ("ax", "ay", "as_", "aa", "bx", "by", "bs", "ba")]
+        return pd.DataFrame({"a": [part["a"].iloc[0]], "b": [part["b"].iloc[0]], "inliers": [consensus(*cols, enough=needed)]})
+
+    return run
 
 
 def bit_tables(width: int) -> list[np.ndarray]:
-    """The bits of each table: as many tables as find 0.96 of points with one bit in ten changed, or ``BANDS``."""
+    """The bits of each table: as many tables as find ``FOUND`` of points with one bit in ten changed, or ``BANDS``."""
     changed = np.arange(257 - width)
     odds = np.array([comb(256, k) * 0.1**k * 0.9 ** (256 - k) for k in changed.tolist()])
     free = np.array([comb(256 - k, width) / comb(256, width) for k in changed.tolist()])
     low, count = BANDS - 1, BANDS
-    while (odds * (1 - free) ** count).sum() > 0.04:
+    while (odds * (1 - free) ** count).sum() > 1 - FOUND:
         low, count = count, 2 * count
     while count - low > 1:
         mid = (low + count) // 2
-        low, count = (mid, count) if (odds * (1 - free) ** mid).sum() > 0.04 else (low, mid)
+        low, count = (mid, count) if (odds * (1 - free) ** mid).sum() > 1 - FOUND else (low, mid)
     rng = np.random.Generator(np.random.PCG64([9, width]))
     out: list[np.ndarray] = []
     while len(out) < count:
@@ -204,8 +237,8 @@ def _slots(keys: np.ndarray, band: np.ndarray) -> np.ndarray:
     return ((keys << 10 | band).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
 
 
-def _entries(tables: list[np.ndarray], bloom: bytes | None):
-    """(class_id, points) to (band, key, class_id, k, d0, ..., d3), where d is the descriptor; with
+def _entries(tables: list[np.ndarray], bloom: bytes | None, flat: int):
+    """(class, points) to (band, key, class, k, d0, ..., d3), where d is the descriptor; with
     ``bloom`` only keys that may be asked for."""
 
     def run(batches):
@@ -223,60 +256,68 @@ def _entries(tables: list[np.ndarray], bloom: bytes | None):
                 here = slice(lo, lo + (1 << 15))
                 keys = table_keys(bits[here], tables)
                 ones = np.bitwise_count(keys)
-                at = (ones >= 3) & (ones <= width - 3)  # nearly equal bits: a flat patch, like any other
+                at = (ones >= flat) & (ones <= width - flat)  # nearly equal bits: a flat patch, like any other
                 if wanted is not None:
                     at &= wanted[_slots(keys, bands)]
                 row, band = np.nonzero(at)
                 d = np.ascontiguousarray(bits[here][row]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(band.astype(np.int32)), pa.array(keys[row, band]), pa.array(owner[here][row]), pa.array(k[here][row].astype(np.int32)), *[pa.array(d[:, j]) for j in range(4)]],
-                    names=["band", "key", "class_id", "k", "d0", "d1", "d2", "d3"],
+                    names=["band", "key", "class", "k", "d0", "d1", "d2", "d3"],
                 )
 
     return run
 
 
-def copies(images: DataFrame, query: str = "id % 20 = 0", needed: int = CONSENSUS, width: int | None = None) -> DataFrame:
+def copies(images: DataFrame, query: str = "id % 20 = 0", needed: int = CONSENSUS, width: int | None = None, keypoints: int = KEYPOINTS, near: int = NEAR, flat: int = FLAT) -> DataFrame:
     """(id, class_id, n_points, is_query, matches): for each image its class of equal bytes, and for
     the queries the classes found (smallest id of each), ascending."""
     spark = images.sparkSession
     scratch = Scratch(spark, "images")
     rows = images.select(F.col("id").cast("long").alias("id"), F.col("image").cast("binary").alias("image"))
-    described = scratch.cut(rows.mapInArrow(_described, "id long, sha string, points array<struct<x: float, y: float, scale: float, angle: float, bits: binary>>"), "described")
+    described = scratch.cut(rows.mapInArrow(_described(keypoints), "id long, sha string, points array<struct<x: float, y: float, scale: float, angle: float, bits: binary>>"), "described")
     asked = F.coalesce(F.expr(query), F.lit(False))
     first = F.min_by("points", F.coalesce("id", F.lit(-1).cast("long")))
-    classes = scratch.cut(described.groupBy("sha").agg(F.min("id").alias("class_id"), F.max(asked).alias("asked"), first.alias("points")).where("class_id IS NOT NULL"), "classes")
-    points = classes.agg(F.sum(F.size("points"))).first()[0] or 0
+    members = scratch.cut(described.select("id", "sha", F.size("points").alias("n_points")), "members")
+    classes = described.groupBy("sha").agg(F.min("id").alias("first_id"), F.max(asked).alias("asked"), first.alias("points")).where("first_id IS NOT NULL")
+    # a class is known by its hash: rows of one id may have different images
+    classes = scratch.cut(classes.select(F.xxhash64("sha").alias("class"), "sha", F.col("first_id"), "asked", "points"), "classes")
+    scratch.drop("described")
+    some = classes.agg(F.sum(F.size("points")).alias("all"), F.sum(F.when(F.col("asked"), F.size("points"))).alias("asked")).first()
     # chance matches of a key stay few however many points there are
-    width = width or min(40, max(16, int(np.ceil(1.5 * np.log2(max(2, points)))) - 1))
-    schema = "band int, key long, class_id long, k int, d0 long, d1 long, d2 long, d3 long"
+    width = width or min(40, max(16, int(np.ceil(1.5 * np.log2(max(2, some["all"] or 0)))) - 1))
+    schema = "band int, key long, class long, k int, d0 long, d1 long, d2 long, d3 long"
     tables = bit_tables(width)
-    queried = classes.where("asked").select("class_id", "points")
+    keyed = classes.select("class", "points")
+    queried = classes.where("asked").select("class", "points")
     # so many tables at a time that the queries' keys leave most of the Bloom filter empty
-    step = min(BANDS, max(1, (1 << 24) // 12 // max(1, queried.agg(F.sum(F.size("points"))).first()[0] or 0)))
+    step = min(BANDS, max(1, (1 << 24) // 12 // max(1, some["asked"] or 0)))
     pairs = None
     for i in range(0, len(tables), step):
-        some = tables[i : i + step]
-        q = scratch.cut(queried.mapInArrow(_entries(some, None), schema), f"asked-{i}")
-        t = classes.select("class_id", "points").mapInArrow(_entries(some, _bloom(q)), schema)
-        a = q.select("band", "key", F.col("class_id").alias("a"), F.col("k").alias("ak"), *[F.col(f"d{j}").alias(f"a{j}") for j in range(4)])
-        b = t.select("band", "key", F.col("class_id").alias("b"), F.col("k").alias("bk"), *[F.col(f"d{j}").alias(f"b{j}") for j in range(4)])
+        part = tables[i : i + step]
+        q = scratch.cut(queried.mapInArrow(_entries(part, None, flat), schema), f"asked-{i}")
+        t = keyed.mapInArrow(_entries(part, _bloom(q), flat), schema)
+        a = q.select("band", "key", F.col("class").alias("a"), F.col("k").alias("ak"), *[F.col(f"d{j}").alias(f"a{j}") for j in range(4)])
+        b = t.select("band", "key", F.col("class").alias("b"), F.col("k").alias("bk"), *[F.col(f"d{j}").alias(f"b{j}") for j in range(4)])
         words = [F.bit_count(F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}"))) for j in range(4)]
-        near = a.join(b, ["band", "key"]).where(F.col("a") != F.col("b")).where(sum(words[1:], words[0]) < 56)
-        near = scratch.cut(near.select("a", "ak", "b", "bk").distinct(), f"near-{i}")
+        found = a.join(b, ["band", "key"]).where(F.col("a") != F.col("b")).where(sum(words[1:], words[0]) < near)
+        found = scratch.cut(found.select("a", "ak", "b", "bk").distinct(), f"near-{i}")
         scratch.drop(f"asked-{i}")
-        pairs = near if pairs is None else pairs.unionByName(near)
+        pairs = found if pairs is None else pairs.unionByName(found)
     pairs = scratch.cut(pairs.distinct(), "pairs")
-    enough = pairs.groupBy("a", "b").agg(F.countDistinct("ak").alias("n")).where(F.col("n") >= needed).select("a", "b")
+    scratch.drop(*[f"near-{i}" for i in range(0, len(tables), step)])
+    enough = scratch.cut(pairs.groupBy("a", "b").agg(F.countDistinct("ak").alias("n")).where(F.col("n") >= needed).select("a", "b"), "enough")
     likely = pairs.join(enough, ["a", "b"])
-    point = classes.select("class_id", F.posexplode("points").alias("k", "p")).select("class_id", "k", "p.*")
-    left = point.select(F.col("class_id").alias("a"), F.col("k").alias("ak"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("scale").alias("as_"), F.col("angle").alias("aa"))
-    right = point.select(F.col("class_id").alias("b"), F.col("k").alias("bk"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("scale").alias("bs"), F.col("angle").alias("ba"))
+    wanted = enough.select(F.col("a").alias("class")).unionByName(enough.select(F.col("b").alias("class"))).distinct()
+    point = classes.join(wanted, "class", "left_semi").select("class", F.posexplode("points").alias("k", "p")).select("class", "k", "p.x", "p.y", "p.scale", "p.angle")
+    left = point.select(F.col("class").alias("a"), F.col("k").alias("ak"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("scale").alias("as_"), F.col("angle").alias("aa"))
+    right = point.select(F.col("class").alias("b"), F.col("k").alias("bk"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("scale").alias("bs"), F.col("angle").alias("ba"))
     matched = likely.join(left, ["a", "ak"]).join(right, ["b", "bk"])
-    checked = matched.groupBy("a", "b").applyInPandas(_verify, "a long, b long, inliers int").where(F.col("inliers") >= needed)
-    found = checked.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("matches"))
-    out = described.select("id", "sha", F.size("points").alias("n_points")).join(classes.select("sha", "class_id"), "sha", "left")
-    out = out.join(found, F.col("class_id") == F.col("a"), "left")
+    checked = matched.groupBy("a", "b").applyInPandas(_verify(needed), "a long, b long, inliers int").where(F.col("inliers") >= needed)
+    firsts = classes.select(F.col("class").alias("b"), "first_id")
+    found = checked.join(firsts, "b").groupBy("a").agg(F.array_sort(F.collect_set("first_id")).alias("matches"))
+    out = members.join(classes.select("sha", "class", F.col("first_id").alias("class_id")), "sha", "left")
+    out = out.join(found, F.col("class") == F.col("a"), "left")
     return out.select("id", F.coalesce("class_id", "id").alias("class_id"), "n_points", asked.alias("is_query"), F.when(asked, F.coalesce("matches", F.array().cast("array<long>"))).alias("matches"))
 
 
@@ -301,8 +342,8 @@ def _bloom(entries: DataFrame) -> bytes:
 def drawn(vectors: DataFrame, side: int = 72) -> DataFrame:
     """(id, image): each vector drawn as a picture, so that a table without media has some.
 
-    Equal vectors give equal pictures.  Every tenth id's picture comes a second time, edited, under the
-    id ``-10 - id``, so half of these edits are queries and half are to be found by one.  The
+    Equal vectors give equal pictures.  Every tenth id's picture comes a second time, edited (see
+    ``edited``), under the id ``-10 - id``, so half of these edits are queries and half are to be found by one.  The
     edits of ids 100, 300, 500, ... are all of the smallest id's picture: a large group of near copies.
     """
     one = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("v"))
@@ -327,17 +368,23 @@ def drawn(vectors: DataFrame, side: int = 72) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("v")).mapInArrow(run, "id long, image binary")
 
 
+EDITS = 7
+
+
 def edited(img: np.ndarray, seed: int) -> np.ndarray:
-    """An image cropped, dimmed, noisy or turned, by ``seed``."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    if seed // 2 % 4 == 0:
-        h, w = (n - n // 8 for n in img.shape)
-        y, x = (int(rng.integers(0, n // 8 + 1)) for n in img.shape)
+    """An image cropped (by an eighth, or to half its area), resized (0.75 or 1.25), dimmed, noisy or
+    turned, by ``seed``."""
+    rng, kind = np.random.Generator(np.random.PCG64(seed)), seed // 2 % EDITS
+    if kind < 2:
+        h, w = (round(n * (0.875, 0.71)[kind]) for n in img.shape)
+        y, x = (int(rng.integers(0, n - m + 1)) for n, m in zip(img.shape, (h, w), strict=True))
         return img[y : y + h, x : x + w]
-    if seed // 2 % 4 == 1:
+    if kind < 4:
+        return resize(img, *(round(n * (0.75, 1.25)[kind - 2]) for n in img.shape))
+    if kind == 4:
         return img * rng.uniform(0.7, 0.9) + rng.uniform(5, 25)
-    if seed // 2 % 4 == 2:
-        return img + rng.normal(0, 4, img.shape)
+    if kind == 5:
+        return img + rng.normal(0, 8, img.shape)
     return np.rot90(img, int(rng.integers(1, 4)))
 
 
