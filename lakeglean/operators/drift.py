@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranking import running
+from .ranking import quantiles, running
 
 EPSILON = 1e-6
 MODERATE, SIGNIFICANT = 0.10, 0.25
@@ -21,9 +21,8 @@ class DriftError(ValueError):
 
 def reference_edges(ref: DataFrame, value: str, bins: int = BINS) -> list[float]:
     """Inner edges of the reference's quantile bins; none for a constant column.  Runs one job."""
-    q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(i / bins) for i in range(bins + 1)]))
-    edges, n = ref.agg(q, F.count(value)).first()
-    if not n:
+    edges = quantiles(ref, {"q": F.col(value)}, [i / bins for i in range(bins + 1)]).first()["q"]
+    if edges is None:
         raise DriftError("the reference is empty")
     return sorted(set(edges))[1:-1]
 

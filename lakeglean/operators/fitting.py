@@ -1,6 +1,6 @@
 """Statistics learned on one table and applied to another.
 
-A fit is one aggregation that gives one row; ``apply`` takes that row (as a DataFrame, broadcast: it is
+A fit gives one row; ``apply`` takes that row (as a DataFrame, broadcast: it is
 one row whatever the input) or the parameters read from it.  All percentiles are exact, with linear
 interpolation.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import cap
 from . import panel
+from .ranking import quantiles
 
 CLIP_AT = 99.5
 CLIPPED = tuple(f"PAYMENT_RATIO_M{m}" for m in panel.RATIO_MONTHS)
@@ -38,7 +39,8 @@ def clip_bounds(df: DataFrame, columns=CLIPPED, percent: float = CLIP_AT) -> Dat
     """One row: the bound of each column; infinity where nothing is known."""
     if not 0 <= percent <= 100:
         raise ValueError("a percentile lies between 0 and 100")
-    return df.agg(*[F.coalesce(F.percentile(c, percent / 100), F.lit(float("inf"))).alias(c) for c in columns])
+    q = quantiles(df, {c: F.col(c) for c in columns}, [percent / 100])
+    return q.select(*[F.coalesce(F.col(c)[0], F.lit(float("inf"))).alias(c) for c in columns])
 
 
 def clip(df: DataFrame, bounds: dict[str, float]) -> DataFrame:
@@ -57,19 +59,16 @@ class Preparation:
 
     @classmethod
     def fit(cls, df: DataFrame, clipped=CLIPPED, categorical=CATEGORICAL, numeric=NUMERIC) -> Preparation:
-        """Two jobs, each one aggregation: bounds and levels and medians, then scales of imputed values."""
+        """One row at a time: bounds, levels, medians of clipped values, scales of imputed ones."""
         out = cls()
-        first = df.agg(
-            *[F.coalesce(F.percentile(c, CLIP_AT / 100), F.lit(float("inf"))).alias(f"b_{c}") for c in clipped],
-            *[F.array_sort(F.collect_set(c)).alias(f"l_{c}") for c in categorical],
-        ).first()
-        out.bounds = {c: first[f"b_{c}"] for c in clipped}
-        out.levels = {c: list(first[f"l_{c}"]) for c in categorical}
+        out.bounds = clip_bounds(df, clipped).first().asDict()
+        levels = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in categorical]).first()
+        out.levels = {c: list(levels[c]) for c in categorical}
         cut = clip(df, out.bounds)
-        second = cut.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in numeric]).first()
-        out.medians = second.asDict()
+        second = quantiles(cut, {c: F.col(c) for c in numeric}, [0.5]).first()
+        out.medians = {c: second[c] and second[c][0] for c in numeric}
         filled = cut.select(*[F.coalesce(F.col(c).cast("double"), F.lit(out.medians[c])).alias(c) for c in numeric])
-        third = filled.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in numeric]).first()
+        third = quantiles(filled, {c: F.col(c) for c in numeric}, [0.25, 0.5, 0.75]).first()
         for c in numeric:
             low, mid, high = third[c] or (0.0, 0.0, 0.0)
             out.centres[c], out.widths[c] = mid, (high - low) or 1.0
@@ -95,14 +94,13 @@ def one_hot(column: str, levels: list[int]) -> list[Column]:
 
 def impute(df: DataFrame, columns: list[str]) -> DataFrame:
     """Unknown values become the column's median over ``df`` (one broadcast row)."""
-    medians = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(f"__m_{c}") for c in columns])
-    return df.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}")) for c in columns}).drop(*[f"__m_{c}" for c in columns])
+    medians = quantiles(df, {f"__m_{c}": F.col(c) for c in columns}, [0.5])
+    return df.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}")[0]) for c in columns}).drop(*[f"__m_{c}" for c in columns])
 
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - median) / (q75 - q25) over ``df``; a width of zero counts as 1 (one broadcast row)."""
-    q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    stats = df.agg(*[F.percentile(F.col(c).cast("double"), q).alias(f"__q_{c}") for c in columns])
+    stats = quantiles(df, {f"__q_{c}": F.col(c) for c in columns}, [0.25, 0.5, 0.75])
     scaled = {}
     for c in columns:
         s = F.col(f"__q_{c}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import numeric as N
-from .ranking import running
+from .ranking import quantiles, running
 
 AGE_EDGES = [20, 29, 39, 49, 120]
 AGE_LABELS = ["21-29", "30-39", "40-49", "50-120"]
@@ -20,19 +20,22 @@ def share(test: Column) -> Column:
 
 def amount_profile(df: DataFrame, code: str, amount: str, target: str) -> DataFrame:
     """Per code and in all (code null, is_total 1): rows, share of the table, target rate, quantiles."""
-    q = F.percentile(F.col(amount).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     out = df.rollup(code).agg(
         F.grouping(code).cast("int").alias("is_total"),
         F.count("*").alias("rows"),
         F.avg(target).alias("rate"),
         F.min(amount).alias("least"),
-        q.alias("q"),
         F.max(amount).alias("greatest"),
         share(F.col(amount) == 0).alias("share_zero"),
         share(F.col(amount) <= 0).alias("share_not_positive"),
     )
     total = F.max(F.when(F.col("is_total") == 1, F.col("rows"))).over(Window.partitionBy())
-    return out.withColumn("share", F.col("rows") / total).withColumns({"p25": F.col("q")[0], "p50": F.col("q")[1], "p75": F.col("q")[2]}).drop("q")
+    thirds, value = [0.25, 0.5, 0.75], {"q": F.col(amount)}
+    each = quantiles(df, value, thirds, (code,)).select(F.col(code).alias("__code"), F.lit(0).alias("__total"), "q")
+    every = quantiles(df, value, thirds).select(F.lit(None).cast(df.schema[code].dataType).alias("__code"), F.lit(1).alias("__total"), "q")
+    q = each.unionByName(every)
+    out = out.withColumn("share", F.col("rows") / total).join(q, F.col(code).eqNullSafe(F.col("__code")) & (F.col("is_total") == F.col("__total")), "left").drop("__code", "__total")
+    return out.withColumns({"p25": F.col("q")[0], "p50": F.col("q")[1], "p75": F.col("q")[2]}).drop("q")
 
 
 def coverage(df: DataFrame, code: str, paid: str, billed: str) -> DataFrame:
@@ -41,7 +44,9 @@ def coverage(df: DataFrame, code: str, paid: str, billed: str) -> DataFrame:
     The floor here is 0, not the features' 100.
     """
     ratio = F.when(F.col(billed) > 0, F.col(paid).cast("double") / F.col(billed))
-    return df.groupBy(code).agg(F.median(ratio).alias("median_coverage"), share(F.col(billed) <= 0).alias("excluded_share"), F.count("*").alias("rows"))
+    median = quantiles(df, {"q": ratio}, [0.5], (code,)).select(F.col(code).alias("__code"), F.col("q")[0].alias("median_coverage"))
+    out = df.groupBy(code).agg(share(F.col(billed) <= 0).alias("excluded_share"), F.count("*").alias("rows"))
+    return out.join(median, F.col(code).eqNullSafe(F.col("__code")), "left").select(code, "median_coverage", "excluded_share", "rows")
 
 
 def code_month_matrix(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -94,9 +99,10 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     aggs = []
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
-        aggs += [F.count(x).cast("double").alias(f"n{i}"), F.skewness(x).alias(f"g{i}"), F.kurtosis(x).alias(f"k{i}"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}"), F.stddev_pop(x).alias(f"s{i}")]
+        aggs += [F.count(x).cast("double").alias(f"n{i}"), F.skewness(x).alias(f"g{i}"), F.kurtosis(x).alias(f"k{i}"), F.stddev_pop(x).alias(f"s{i}")]
     parts = ", ".join(f"'{c}', n{i}, g{i}, k{i}, q{i}, s{i}" for i, c in enumerate(columns))
-    one = df.agg(*aggs).select(F.expr(f"stack({len(columns)}, {parts}) AS (column, n, g, k, q, s)"))
+    q = quantiles(df, {f"q{i}": F.col(c) for i, c in enumerate(columns)}, [0.25, 0.75])
+    one = df.agg(*aggs).crossJoin(F.broadcast(q)).select(F.expr(f"stack({len(columns)}, {parts}) AS (column, n, g, k, q, s)"))  # one row each
     n = F.col("n")
     skew = F.when(n > 2, F.col("g") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("k") + 6))
@@ -114,9 +120,8 @@ def correlated_pairs(df: DataFrame, columns: list[str], least: float = 0.9) -> D
 
 def quantile_edges(df: DataFrame, value: str, bins: int, by: str | None = None) -> DataFrame:
     """One row (edges) a group: distinct linear quantiles, ascending."""
-    q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(i / bins) for i in range(bins + 1)]))
-    grouped = df.groupBy(by) if by else df.groupBy()
-    return grouped.agg(F.array_distinct(q).alias("edges"))
+    q = quantiles(df, {"__q": F.col(value)}, [i / bins for i in range(bins + 1)], (by,) if by else ())
+    return q.select(*([by] if by else []), F.coalesce(F.array_distinct("__q"), F.array().cast("array<double>")).alias("edges"))
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int, by: str | None = None) -> DataFrame:
@@ -139,9 +144,11 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     aggs = []
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"), F.max(x).alias(f"x{i}")]
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.max(x).alias(f"x{i}")]
     parts = ", ".join(f"'{c}', n{i}, m{i}, q{i}, x{i}" for i, c in enumerate(columns))
-    return df.agg(*aggs).select(F.expr(f"stack({len(columns)}, {parts}) AS (column, n, mean, q, greatest)")).select("column", "n", "mean", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "greatest")
+    q = quantiles(df, {f"q{i}": F.col(c) for i, c in enumerate(columns)}, [0.25, 0.5, 0.75])
+    one = df.agg(*aggs).crossJoin(F.broadcast(q))  # one row each
+    return one.select(F.expr(f"stack({len(columns)}, {parts}) AS (column, n, mean, q, greatest)")).select("column", "n", "mean", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "greatest")
 
 
 def top_overlap(df: DataFrame, key: str, a: str, b: str, percent: int = 10) -> DataFrame:
@@ -157,7 +164,7 @@ def top_overlap(df: DataFrame, key: str, a: str, b: str, percent: int = 10) -> D
 def rank_shift(df: DataFrame, a: str, b: str) -> DataFrame:
     """Median of |average rank by a - average rank by b|."""
     ranked = average_ranks(average_ranks(df.select(a, b), a, "__ra", many=True), b, "__rb", many=True)
-    return ranked.agg(F.median(F.abs(F.col("__ra") - F.col("__rb"))).alias("median_shift"))
+    return quantiles(ranked, {"q": F.abs(F.col("__ra") - F.col("__rb"))}, [0.5]).select(F.col("q")[0].alias("median_shift"))
 
 
 def group_outcomes(df: DataFrame, group: str, y: str, refused: str, least: int = MIN_GROUP) -> DataFrame:

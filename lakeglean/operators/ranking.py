@@ -23,12 +23,55 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return ranged.withColumn("__n", F.row_number().over(within)).join(F.broadcast(sums), "__part").withColumn(name, F.col("__before") + F.col("__n") - 1).drop("__part", "__n", "__before")
 
 
-def running(df: DataFrame, order: str, sums: dict[str, str], ranges: int = 64) -> DataFrame:
+def _ranges(df: DataFrame) -> int:
+    """How many ranges of a column are worked on side by side: as many as a shuffle has partitions."""
+    return min(1024, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def quantiles(df: DataFrame, columns: dict[str, Column], fractions: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(``by``, an array of exact, linearly interpolated quantiles a name); null where no value is known.
+
+    Without ``by`` there is always one row; with it one for each group that has a value.  Values are
+    counted first; ranges of the distinct ones, bounded by approximate quantiles, are ordered side by
+    side, and a quantile is read off where the running count passes its position.
+    """
+    values = df.select(*by, *[c.cast("double").alias(f"__v{i}") for i, c in enumerate(columns.values())])
+    parts = ", ".join(f"{i}, __v{i}" for i in range(len(columns)))
+    long = values.select(*by, F.expr(f"stack({len(columns)}, {parts}) AS (__i, __v)")).where("__v IS NOT NULL")
+    # a struct as the key: nulls in it are equal to each other
+    counts = long.groupBy(F.struct(*by, "__i").alias("__k"), "__v").agg(F.count("*").alias("__n"))
+    ranges = _ranges(df)
+    inner = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    bounds = counts.groupBy("__k").agg(F.percentile_approx("__v", inner, F.lit(max(1000, 10 * ranges))).alias("__bounds"), F.sum("__n").alias("__total"))
+    parted = counts.join(bounds if by else F.broadcast(bounds), "__k")  # a row a column
+    parted = parted.withColumn("__part", F.size(F.filter("__bounds", lambda b: b < F.col("__v")))).drop("__bounds")
+    earlier = Window.partitionBy("__k").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parted.groupBy("__k", "__part").agg(F.sum("__n").alias("__s"))
+    offsets = offsets.select("__k", "__part", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__before"))  # a row a range
+    within = Window.partitionBy("__k", "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = parted.withColumn("__upto", F.sum("__n").over(within)).join(offsets, ["__k", "__part"]).withColumn("__upto", F.col("__upto") + F.col("__before"))
+    first = F.col("__upto") - F.col("__n")
+    places = [(F.col("__total") - 1) * F.lit(float(f)) for f in fractions]
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("__upto") > place) & (first <= place), F.col("__v")))
+
+    found = placed.groupBy("__k", "__total").agg(*[at(F.floor(p)).alias(f"__l{j}") for j, p in enumerate(places)], *[at(F.ceil(p)).alias(f"__h{j}") for j, p in enumerate(places)])
+    q = [
+        F.when(F.col(f"__l{j}") == F.col(f"__h{j}"), F.col(f"__l{j}")).otherwise((F.ceil(p) - p) * F.col(f"__l{j}") + (p - F.floor(p)) * F.col(f"__h{j}"))
+        for j, p in enumerate(places)
+    ]
+    each = found.select(*[F.col(f"__k.{c}").alias(c) for c in by], F.col("__k.__i").alias("__i"), F.array(*q).alias("__q"))
+    return each.groupBy(*by).agg(*[F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(name) for i, name in enumerate(columns)])
+
+
+def running(df: DataFrame, order: str, sums: dict[str, str], ranges: int | None = None) -> DataFrame:
     """``df`` with running sums (new name: column) in ascending order of a numeric column of distinct values.
 
     Ranges of that column, bounded by its approximate quantiles (one broadcast row), are summed
     first; a window then runs within ranges only, so no task sees the whole table.
     """
+    ranges = ranges or _ranges(df)
     q = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     bounds = df.agg(F.percentile_approx(order, q, F.lit(1000)).alias("__bounds"))
     parted = df.crossJoin(F.broadcast(bounds)).withColumn("__part", F.size(F.filter(F.coalesce("__bounds", F.array()), lambda b: b < F.col(order)))).drop("__bounds")

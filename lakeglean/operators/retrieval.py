@@ -21,9 +21,11 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
 
 
-def top_k(queries: DataFrame, passages: DataFrame, k: int = DEPTH, documents: list[int] | None = None, dims: int = 64) -> DataFrame:
+def top_k(queries: DataFrame, passages: DataFrame, k: int = DEPTH, documents: list[int] | None = None, dims: int = 64, others: bool = False) -> DataFrame:
     """(query_id, passage_id, document, score, rank) by cosine; ties go to the smaller id.
 
+    With ``others`` a query doesn't find the passage of its own id.
+
     A stated query set against all passages: queries are broadcast in blocks of a checked size, every
     task keeps the k best of each query (a window group limit below the shuffle), and only those move.
     """
@@ -38,7 +40,8 @@ def top_k(queries: DataFrame, passages: DataFrame, k: int = DEPTH, documents: li
     out = None
     for b in range(blocks):
         part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q
-        scores = p.crossJoin(F.broadcast(part)).select("query_id", "passage_id", "document", F.round(dot(F.col("qv"), F.col("pv")), 9).alias("score"))
+        met = p.crossJoin(F.broadcast(part))
+        scores = (met.where("query_id <> passage_id") if others else met).select("query_id", "passage_id", "document", F.round(dot(F.col("qv"), F.col("pv")), 9).alias("score"))
         ranked = scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         out = ranked if out is None else out.unionByName(ranked)
     return out

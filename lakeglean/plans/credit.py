@@ -33,13 +33,13 @@ def scan_parquet(spark, d):
     return t.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_linenumber").cast("bigint").alias("lines"))
 
 
-@query("scan_raw", f"WITH {V.PANEL} SELECT * FROM panel WHERE ID % 3 = 0")
+@query("scan_raw", f"WITH {V.PANEL} SELECT * FROM panel")
 def scan_raw(spark, d):
     """The panel in raw spelling through CSV and back under the contract's schema."""
     path = f"{shared_dir(spark)}/raw-csv-{uuid.uuid4().hex[:12]}"
     spelling = {v: k for k, v in C.RAW_NAMES.items()}
     V.panel(spark, d).withColumnsRenamed(spelling).write.mode("overwrite").option("header", True).csv(path)
-    return C.canonical(tables.read_raw(spark, path), drop_id=False).where("ID % 3 = 0")
+    return C.canonical(tables.read_raw(spark, path), drop_id=False)
 
 
 @query("load_canonical", f"WITH {V.PANEL} SELECT * EXCLUDE (ID) FROM panel")
@@ -50,10 +50,10 @@ def load_canonical(spark, d):
 
 @query(
     "json_applicants",
-    f"WITH {V.PANEL} SELECT ID, LIMIT_BAL, AGE, CAST(NULL AS BIGINT) AS EDUCATION, 1 AS n_extras FROM panel WHERE ID % 5 = 0",
+    f"WITH {V.PANEL} SELECT ID, LIMIT_BAL, AGE, CAST(NULL AS BIGINT) AS EDUCATION, 1 AS n_extras FROM panel",
 )
 def json_applicants(spark, d):
-    p = V.panel(spark, d).where("ID % 5 = 0")
+    p = V.panel(spark, d)
     text = p.select("ID", F.to_json(F.struct("LIMIT_BAL", "AGE", F.lit("x").alias("unknown_field"))).alias("j"))
     out = tables.applicants_from_text(text, "j")
     return out.select("ID", "applicant.LIMIT_BAL", "applicant.AGE", "applicant.EDUCATION", F.size("extras").alias("n_extras"))

@@ -8,6 +8,7 @@ from ..operators import contract as C
 from ..operators import metrics as M
 from ..operators import profiles as P
 from ..operators import trace
+from ..operators.ranking import quantiles
 from . import views as V
 from .registry import query
 
@@ -126,7 +127,8 @@ def describe_exact(spark, d):
 
 @query("median_by_class", f"WITH {V.PANEL} SELECT {T}, round(median(LIMIT_BAL), 6) AS limit_median, round(median(BILL_AMT1), 6) AS bill_median FROM panel GROUP BY 1")
 def median_by_class(spark, d):
-    return rounded(V.panel(spark, d).groupBy(T).agg(F.median("LIMIT_BAL").alias("limit_median"), F.median("BILL_AMT1").alias("bill_median")))
+    q = quantiles(V.panel(spark, d), {"limit": F.col("LIMIT_BAL"), "bill": F.col("BILL_AMT1")}, [0.5], (T,))
+    return rounded(q.select(T, F.col("limit")[0].alias("limit_median"), F.col("bill")[0].alias("bill_median")))
 
 
 @query(
@@ -214,14 +216,16 @@ def _pick(value: str, table: str, fractions: dict) -> str:
 @query("length_summary", f"WITH {_pick('n_chars', 'documents', {'p25': 0.25, 'p75': 0.75})} SELECT count(*) AS n, min(n_chars) AS least, max(n_chars) AS greatest, round(avg(n_chars), 6) AS mean, round(median(n_chars), 6) AS p50, any_value(picked.p25) AS p25, any_value(picked.p75) AS p75 FROM documents, picked")
 def length_summary(spark, d):
     df = V.table(spark, d, "documents")
-    x = df.agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("greatest"), F.avg("n_chars").alias("mean"), F.median("n_chars").alias("p50"))
+    x = df.agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("greatest"), F.avg("n_chars").alias("mean"))
+    x = x.crossJoin(F.broadcast(quantiles(df, {"q": F.col("n_chars")}, [0.5]).select(F.col("q")[0].alias("p50"))))  # one row each
     return rounded(x.crossJoin(P.order_statistics(df, "n_chars", {"p25": 0.25, "p75": 0.75})))  # one row each
 
 
 @query("score_summary", f"WITH {V.SCORED}, {_pick('s', 'scored', {'p25': 0.25, 'p75': 0.75})} SELECT min(s) AS least, any_value(picked.p25) AS p25, round(median(s), 6) AS p50, any_value(picked.p75) AS p75, max(s) AS greatest, round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS pstdev FROM scored, picked")
 def score_summary(spark, d):
     df = V.scored(spark, d)
-    x = df.agg(F.min("s").alias("least"), F.median("s").alias("p50"), F.max("s").alias("greatest"), F.avg("s").alias("mean"), F.stddev_pop("s").alias("pstdev"))
+    x = df.agg(F.min("s").alias("least"), F.max("s").alias("greatest"), F.avg("s").alias("mean"), F.stddev_pop("s").alias("pstdev"))
+    x = x.crossJoin(F.broadcast(quantiles(df, {"q": F.col("s")}, [0.5]).select(F.col("q")[0].alias("p50"))))  # one row each
     return rounded(x.crossJoin(P.order_statistics(df, "s", {"p25": 0.25, "p75": 0.75})))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators.ranking import quantiles
 from . import views as V
 from .profiles import rounded
 from .registry import query
@@ -13,7 +14,7 @@ from .registry import query
 def ranked(spark, d, k: int = 10, documents=None):
     q, p = V.query_set(spark, d)
     gold = q.select(F.col("id").alias("query_id"), F.col("document").alias("gold"))
-    return R.top_k(q, p, k, documents).join(gold, "query_id")
+    return R.top_k(q, p, k, documents, others=True).join(gold, "query_id")
 
 
 _TOP = f"WITH {V.VECTORS}, top AS (SELECT * FROM ranked WHERE rank <= 10)"
@@ -101,10 +102,10 @@ def threshold_separability(spark, d):
     return rounded(R.separability(tops))
 
 
-@query("annotation_antijoin", "SELECT CAST(vec_id AS BIGINT) AS question, CAST(vec_id * 2 AS BIGINT) AS gold FROM embeddings e WHERE vec_id % 50 = 0 AND NOT EXISTS (SELECT 1 FROM embeddings p WHERE p.vec_id = e.vec_id * 2)")
+@query("annotation_antijoin", "SELECT CAST(vec_id AS BIGINT) AS question, CAST(vec_id * 2 AS BIGINT) AS gold FROM embeddings e WHERE vec_id % 20 = 0 AND NOT EXISTS (SELECT 1 FROM embeddings p WHERE p.vec_id = e.vec_id * 2)")
 def annotation_antijoin(spark, d):
     e = V.table(spark, d, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"))
-    q = e.where("id % 50 = 0").select(F.col("id").alias("question"), F.array(F.col("id"), F.col("id") * 2).alias("gold"))
+    q = e.where("id % 20 = 0").select(F.col("id").alias("question"), F.array(F.col("id"), F.col("id") * 2).alias("gold"))
     return R.unknown_gold(q, e)
 
 
@@ -115,7 +116,9 @@ def annotation_antijoin(spark, d):
 def overlap_by_document(spark, d):
     """Mean, median, maximum and number of a measure by gold document (here: lengths by source)."""
     g = V.table(spark, d, "documents").select("source", F.col("n_chars").cast("double").alias("x"))
-    return rounded(g.groupBy("source").agg(F.avg("x").alias("mean"), F.median("x").alias("p50"), F.max("x").alias("greatest"), F.count("*").alias("n")))
+    p50 = quantiles(g, {"q": F.col("x")}, [0.5], ("source",)).select(F.col("source").alias("s"), F.col("q")[0].alias("p50"))
+    out = g.groupBy("source").agg(F.avg("x").alias("mean"), F.max("x").alias("greatest"), F.count("*").alias("n"))
+    return rounded(out.join(p50, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "mean", "p50", "greatest", "n"))
 
 
 @query(

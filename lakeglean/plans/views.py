@@ -129,11 +129,11 @@ REQUESTS = """requests AS (SELECT event_id AS request_id, ts, user_id, value AS
 
 
 def query_set(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(queries, passages) of the embeddings: each (id, document, v); every 50th is a query."""
+    """(queries, passages) of the embeddings: each (id, document, v); every 20th is a query, all are passages."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("document"), F.col("embedding").alias("v"))
-    return v.where("id % 50 = 0"), v.where("id % 50 <> 0")
+    return v.where("id % 20 = 0"), v
 
 
 VECTORS = """unit AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS document, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings),
-  hits AS (SELECT q.id AS query_id, q.document AS gold, p.id AS passage_id, p.document, round(list_dot_product(q.v, p.v), 9) AS score FROM unit q, unit p WHERE q.id % 50 = 0 AND p.id % 50 <> 0),
+  hits AS (SELECT q.id AS query_id, q.document AS gold, p.id AS passage_id, p.document, round(list_dot_product(q.v, p.v), 9) AS score FROM unit q, unit p WHERE q.id % 20 = 0 AND p.id <> q.id),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM hits)"""

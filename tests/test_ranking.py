@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lakeglean.operators import profiles as P
@@ -31,3 +32,23 @@ def test_ranks_by_ranges_equal_ranks_by_window(spark):
     df = spark.createDataFrame([(i, rng.randrange(30)) for i in range(200)] + [(900, None)], "k bigint, v bigint")
     a = {r["k"]: r["r"] for r in P.average_ranks(df, "v", "r").collect()}
     assert a == {r["k"]: r["r"] for r in P.average_ranks(df, "v", "r", many=True).collect()} and a[900] is None
+
+
+def test_quantiles_match_numpy(spark):
+    from lakeglean.operators.ranking import quantiles
+
+    rng = np.random.default_rng(3)
+    groups = [None if i % 5 == 0 else i % 3 for i in range(400)]
+    rows = [(g, float(x) if i % 7 else None, float(y)) for i, (g, x, y) in enumerate(zip(groups, rng.normal(size=400), rng.integers(0, 4, 400), strict=True))]
+    df = spark.createDataFrame([*rows, (9, None, 1.0)], "g int, x double, y double")
+    at = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = quantiles(df, {"x": F.col("x"), "y": F.col("y")}, at).first()
+    for k, name in ((1, "x"), (2, "y")):
+        known = [r[k] for r in [*rows, (9, None, 1.0)] if r[k] is not None]
+        assert np.allclose(got[name], np.quantile(known, at), atol=1e-12)
+    by = {r["g"]: r for r in quantiles(df, {"x": F.col("x"), "y": F.col("y")}, at, ("g",)).collect()}
+    assert set(by) == {None, 0, 1, 2, 9} and by[9]["x"] is None
+    for g in (None, 0, 1, 2):
+        assert np.allclose(by[g]["x"], np.quantile([r[1] for r in rows if r[0] == g and r[1] is not None], at), atol=1e-12)
+    empty = quantiles(df.limit(0), {"x": F.col("x")}, at).collect()
+    assert len(empty) == 1 and empty[0]["x"] is None
