@@ -76,6 +76,12 @@ def band(psi: Column) -> Column:
     return F.when(psi >= SIGNIFICANT, "significant").when(psi >= MODERATE, "moderate").otherwise("none")
 
 
+def summary(report: DataFrame) -> DataFrame:
+    """One row from (feature, psi): how many features, the greatest index, how many drifted, and their names."""
+    drifted = F.col("psi") >= MODERATE
+    return report.agg(F.count("*").alias("features"), F.max("psi").alias("greatest"), F.count_if(drifted).alias("drifted"), F.array_join(F.array_sort(F.collect_set(F.when(drifted, F.col("feature")))), ",").alias("names"))
+
+
 def report(ref: DataFrame, served: DataFrame, numeric: list[str], categorical: list[str], declared: dict | None = None) -> DataFrame:
     """(feature, kind, psi, band) of the shared columns, the most drifted first."""
     shared = [c for c in (*numeric, *categorical) if c in ref.columns and c in served.columns]

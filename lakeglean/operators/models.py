@@ -103,7 +103,7 @@ def null_distribution(checks: DataFrame) -> DataFrame:
 def oversampled(df: DataFrame, key: str, y: str, columns: list[str], neighbours: int = 5, seed: int = R.SEED, block: int = 2000) -> DataFrame:
     """``df`` (key, y, columns) with synthetic positives until classes are even.
 
-    Minority rows are dealt to blocks of bounded size by hash; each synthetic row lies between a
+    Minority rows are dealt to blocks of about ``block`` rows by hash of key and values; each synthetic row lies between a
     seeded minority row and one of its nearest neighbours in its block.
     """
     n, pos = df.agg(F.count("*"), F.count_if(F.col(y) == 1)).first()
@@ -111,7 +111,7 @@ def oversampled(df: DataFrame, key: str, y: str, columns: list[str], neighbours:
     if pos < 2 or need <= 0:
         return df.select(key, y, *columns)
     blocks = max(1, -(-pos // block))
-    minority = df.where(F.col(y) == 1).select(F.col(key).cast("bigint").alias(key), *[F.col(c).cast("double").alias(c) for c in columns]).withColumn("__b", F.pmod(F.xxhash64(key), F.lit(blocks)))
+    minority = df.where(F.col(y) == 1).select(F.col(key).cast("bigint").alias(key), *[F.col(c).cast("double").alias(c) for c in columns]).withColumn("__b", F.pmod(F.xxhash64(key, *columns), F.lit(blocks)))
     rate = need / pos
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -121,9 +121,12 @@ def oversampled(df: DataFrame, key: str, y: str, columns: list[str], neighbours:
         want = int(round(rate * len(x)))
         if len(x) < 2 or not want:
             return pd.DataFrame(columns=[key, *columns])
-        d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2) if len(x) <= 4000 else None
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, axis=1, kind="stable")[:, : min(neighbours, len(x) - 1)]
+        near = np.empty((len(x), min(neighbours, len(x) - 1)), np.int64)
+        step = max(1, 4_000_000 // (len(x) * max(1, len(columns))))  # rows whose distances are held at a time
+        for lo in range(0, len(x), step):
+            d = ((x[lo : lo + step, None, :] - x[None, :, :]) ** 2).sum(2)
+            d[np.arange(len(d)), np.arange(lo, lo + len(d))] = np.inf
+            near[lo : lo + step] = np.argsort(d, axis=1, kind="stable")[:, : near.shape[1]]
         at = rng.integers(0, len(x), want)
         other = near[at, rng.integers(0, near.shape[1], want)]
         out = pd.DataFrame(x[at] + rng.random((want, 1)) * (x[other] - x[at]), columns=columns)

@@ -12,6 +12,20 @@ DEPTH = 10
 QUERY_BYTES = 64 << 20
 
 
+class RetrievalError(ValueError):
+    """A search names what the index doesn't hold."""
+
+
+def known_documents(passages: DataFrame, documents: list[int]) -> DataFrame:
+    """The passages of some documents; one without a passage is an error that lists known ones.  Runs one job."""
+    found = passages.where(F.col("document").isin(documents))
+    held = {r[0] for r in found.select("document").distinct().collect()}  # at most len(documents)
+    if missing := sorted(set(documents) - held):
+        known = [r[0] for r in passages.select("document").distinct().orderBy("document").limit(20).collect()]
+        raise RetrievalError(f"no such documents: {missing}; there are {known}")
+    return found
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda m, x: m + x)
 

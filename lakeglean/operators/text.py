@@ -104,6 +104,29 @@ def parse_corpus(files: DataFrame) -> DataFrame:
     return files.select("text").mapInPandas(run, "document_id string, title string, language string, is_synthetic boolean, unit_id string, heading_path array<string>, body string")
 
 
+def repeated_ids(files: DataFrame, key: str = "document_id") -> DataFrame:
+    """(key, n) of ids that more than one file has: one aggregation of partial counts."""
+    return files.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def document_ids(files: DataFrame) -> DataFrame:
+    """(document_id) of each whole file (text), read from its front matter by expressions only."""
+    block = F.regexp_extract(F.col("text"), r"(?s)^---[ \t]*\n(.*?)\n---[ \t]*(\n|$)", 1)
+    return files.select(F.trim(F.regexp_extract(block, r"(?m)^[ \t]*document_id[ \t]*:(.*)$", 1)).alias("document_id"))
+
+
+def checked_corpus(files: DataFrame) -> DataFrame:
+    """``parse_corpus``, but an id that two files share is an error.  Runs one job of counts."""
+    if twice := [r[0] for r in repeated_ids(document_ids(files)).orderBy("document_id").limit(20).collect()]:
+        raise CorpusError(f"repeated document ids: {twice}")
+    return parse_corpus(files)
+
+
+def flat_metadata(values: Column) -> Column:
+    """A map without its null values."""
+    return F.map_filter(values, lambda _k, v: v.isNotNull())
+
+
 def segments(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, unit, heading, body): lines between heading lines, for documents without front matter.
 

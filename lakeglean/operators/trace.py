@@ -63,9 +63,9 @@ def decimals(text: Column) -> Column:
 
 def unbacked_bands(asserted: DataFrame, evidence: DataFrame) -> DataFrame:
     """Assertions (run, band, spoken) without evidence (run, band, probability) of the same band that
-    rounds, half to even, to the spoken number at its own places."""
+    rounds, half to even, to the spoken number at its own places (from 15 on: all that a double has)."""
     places = decimals(F.col("spoken"))
-    rounded = F.element_at(F.array(*[F.bround(F.col("probability"), k) for k in range(7)]), F.least(places, F.lit(6)) + 1)
+    rounded = F.element_at(F.array(*[F.bround(F.col("probability"), k) for k in range(16)]), F.least(places, F.lit(15)) + 1)
     e = evidence.withColumnRenamed("band", "e_band").withColumnRenamed("run", "e_run")
     return asserted.join(e, (F.col("run") == F.col("e_run")) & (F.col("band") == F.col("e_band")) & (rounded == F.col("spoken").cast("double")), "left_anti")
 

@@ -183,3 +183,12 @@ def _banded(x: str) -> str:
 )
 def drift_report(spark, d):
     return rounded(D.report(*halves(spark, d), ["value"], ["event_type"]))
+
+
+@query(
+    "drift_summary",
+    f"""WITH r AS (SELECT 'value' AS feature, psi FROM ({_psi_num('value')} SELECT sum((b - a) * ln(b / a)) AS psi FROM p) UNION ALL SELECT 'event_type', psi FROM ({_PSI_CAT} SELECT sum((b - a) * ln(b / a)) AS psi FROM p))
+  SELECT count(*) AS features, round(max(psi), 6) AS greatest, count(*) FILTER (psi >= 0.1) AS drifted, coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (psi >= 0.1), '') AS names FROM r""",
+)
+def drift_summary(spark, d):
+    return rounded(D.summary(D.report(*halves(spark, d), ["value"], ["event_type"])))

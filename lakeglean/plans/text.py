@@ -38,6 +38,20 @@ def kv_parse(spark, d):
     return m.select("doc_id", F.col("m")["lang"].alias("k_lang"), F.col("m")["source"].alias("k_source"), F.col("m")["n"].alias("k_n"))
 
 
+@query("repeated_ids", "SELECT 'doc-' || md5(text) AS document_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def repeated_ids(spark, d):
+    """Whole files whose id is a hash of their text: the ids that copies share."""
+    head = F.concat(F.lit("---\ntitle: T\ndocument_id: doc-"), F.md5(F.col("text").cast("binary")), F.lit("\n---\n## Part\n"), "text")
+    return X.repeated_ids(X.document_ids(docs(spark, d).select(head.alias("text"))))
+
+
+@query("metadata_flatten", "SELECT doc_id, CAST(1 + (lang <> 'en')::INT + (n_chars > 500)::INT AS INTEGER) AS n, CASE WHEN n_chars > 500 THEN source END AS k_source FROM documents")
+def metadata_flatten(spark, d):
+    m = F.create_map(F.lit("id"), F.col("doc_id").cast("string"), F.lit("lang"), F.when(F.col("lang") != "en", F.col("lang")), F.lit("source"), F.when(F.col("n_chars") > 500, F.col("source")))
+    flat = docs(spark, d).select("doc_id", X.flat_metadata(m).alias("m"))
+    return flat.select("doc_id", F.size("m").alias("n"), F.col("m")["source"].alias("k_source"))
+
+
 @query("segment_units", None)
 def segment_units(spark, d):
     marked = docs(spark, d).withColumn("text", F.regexp_replace("text", "\n", "\n## unit\n"))

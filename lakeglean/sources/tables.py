@@ -79,13 +79,23 @@ def by_id(df: DataFrame, ids: list[int], key: str = "ID") -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of the Markdown files of a folder."""
+    """(path, text) of the Markdown files of a folder; a folder without any is an error."""
     if not exists(spark, path):
         raise SourceError(f"{path} is missing")
     df = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path)
+    if df.isEmpty():
+        raise SourceError(f"{path} has no Markdown file")
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def read_artefact(spark: SparkSession, path: str) -> DataFrame:
+    """A report's CSV file as a table of strings; its first column is the index and comes first as ``index``."""
+    if not exists(spark, path):
+        raise SourceError(f"{path} is missing")
+    df = spark.read.option("header", True).csv(path)
+    return df.withColumnRenamed(df.columns[0], "index")
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
@@ -121,8 +131,11 @@ def redact(uri: str) -> str:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A bounded table as padded Markdown."""
-    rows = [list(map(str, df.columns)), *[["" if v is None else (f"{v:,.4f}" if isinstance(v, float) else str(v)) for v in r] for r in df.limit(most).collect()]]
+    """A bounded table as padded Markdown; one of more than ``most`` rows is an error."""
+    got = df.limit(most + 1).collect()
+    if len(got) > most:
+        raise SourceError(f"more than {most} rows")
+    rows = [list(map(str, df.columns)), *[["" if v is None else (f"{v:,.4f}" if isinstance(v, float) else str(v)) for v in r] for r in got]]
     widths = [max(len(r[i]) for r in rows) for i in range(len(df.columns))]
     lines = ["| " + " | ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)) + " |" for r in rows]
     return "\n".join([lines[0], "|" + "|".join("-" * (w + 2) for w in widths) + "|", *lines[1:]])

@@ -403,3 +403,36 @@ def test_arms_search_and_round_trip(spark, tmp_path):
         L.check_names(model, ["b", "a"])
     assert L.forest_of(model).numClasses == 2 and L.round_trip(model, df, "k", f"{tmp_path}/m") == 0
     assert L.blind(["SEX_1", "AGE", "a"], ["SEX", "AGE"]) == ["a"]
+
+
+def test_reports_corpora_and_searches_refuse_what_they_cannot_hold(spark, tmp_path):
+    with pytest.raises(tables.SourceError):
+        tables.markdown(spark.range(5), most=4)
+    with pytest.raises(tables.SourceError):
+        tables.read_corpus(spark, str(tmp_path))
+    head = "---\ndocument_id: {}\ntitle: T\nissuer: I\ncitation_prefix: P\nlanguage: en\nis_synthetic: false\nsource_url: u\nretrieved_at: now\n---\n## One\ntext\n"
+    files = spark.createDataFrame([(head.format(i),) for i in ("a", "b", "a")], "text string")
+    assert [tuple(r) for r in X.repeated_ids(X.document_ids(files)).collect()] == [("a", 2)]
+    with pytest.raises(X.CorpusError):
+        X.checked_corpus(files)
+    assert X.checked_corpus(files.distinct()).count() == 2
+    passages = spark.createDataFrame([(1, 7), (2, 8)], "id int, document int")
+    assert RT.known_documents(passages, [7]).count() == 1
+    with pytest.raises(RT.RetrievalError):
+        RT.known_documents(passages, [7, 9])
+
+
+def test_spoken_numbers_of_many_places(spark):
+    a = spark.createDataFrame([(1, "D", "0.12345678"), (2, "D", "0.12345678")], "run int, band string, spoken string")
+    e = spark.createDataFrame([(1, "D", 0.123456781), (2, "D", 0.123456791)], "run int, band string, probability double")
+    assert [r["run"] for r in T.unbacked_bands(a, e).collect()] == [2]
+
+
+def test_oversampling_holds_large_blocks_of_one_key(spark):
+    rows = [(1, 1, float(i % 50), float(i)) for i in range(4100)] + [(i, 0, 0.0, 0.0) for i in range(2, 8300)]
+    df = spark.createDataFrame(rows, "k bigint, y int, a double, b double")
+    got = L.oversampled(df, "k", "y", ["a", "b"], block=5000)
+    counts = {r["y"]: r["count"] for r in got.groupBy("y").count().collect()}
+    assert counts[0] == 8298 and abs(counts[1] - 8298) <= 2
+    made = got.where("k < 0").toPandas()
+    assert made["a"].between(0, 49).all() and made["b"].between(0, 4099).all()
