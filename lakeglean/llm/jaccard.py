@@ -29,6 +29,7 @@ are copies.  A null ``doc_id`` counts as larger than all others.  Extra columns
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -360,11 +361,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, label): the smallest node reachable, for every node of ``edges`` (a, b).
 
     Alternating large-star and small-star steps; each round is written, and the rounds end when
-    one changes nothing.
+    one changes nothing, however many they are.
     """
     e = scratch.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-0")
     state = None
-    for k in range(1, 60):
+    for k in itertools.count(1):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
