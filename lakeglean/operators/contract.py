@@ -186,8 +186,8 @@ def validate_or_raise(df: DataFrame, contract: Contract = CONTRACT) -> DataFrame
     return found
 
 
-def reject_reason(columns: list[str], contract: Contract = CONTRACT) -> Column:
-    """First offence of a row, or null: a code that isn't known, else a value out of its closed range."""
+def _offences(columns: list[str], contract: Contract) -> list[Column]:
+    """A text or null for each column: a code that isn't known, else a value out of its closed range."""
     tests = []
     for c in columns:
         if c in contract.declared:
@@ -199,7 +199,19 @@ def reject_reason(columns: list[str], contract: Contract = CONTRACT) -> Column:
             bad = bad | (F.col(c) < lo) if lo is not None else bad
             bad = bad | (F.col(c) > hi) if hi is not None else bad
             tests.append(F.when(bad, F.lit(f"{c}: out of range")))
-    return F.coalesce(*tests)
+    return tests
+
+
+def reject_reason(columns: list[str], contract: Contract = CONTRACT) -> Column:
+    """First offence of a row, or null."""
+    return F.coalesce(*_offences(columns, contract))
+
+
+def reject_reasons(columns: list[str], contract: Contract = CONTRACT) -> tuple[Column, Column]:
+    """(fields, reasons) of all offences of a row: arrays without repeats, in the order of ``columns``."""
+    every = F.array_compact(F.array(*_offences(columns, contract)))
+    fields = F.array_distinct(F.transform(every, lambda x: F.split_part(x, F.lit(": "), F.lit(1))))
+    return fields, F.array_distinct(F.transform(every, lambda x: F.split_part(x, F.lit(": "), F.lit(2))))
 
 
 def strict_batch(df: DataFrame, contract: Contract = CONTRACT) -> DataFrame:

@@ -6,6 +6,8 @@ block; month 1 is read by its own features only.
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -84,6 +86,21 @@ def decision(probability: Column, threshold: float = THRESHOLD) -> Column:
     return F.when(probability >= threshold, F.lit("refuse")).otherwise(F.lit("approve"))
 
 
+def month_of(column: str) -> int:
+    """The month that a column's name ends with."""
+    found = re.search(r"(\d+)$", column)
+    if not found:
+        raise ValueError(f"{column} names no month")
+    return int(found[1])
+
+
+def split_target(df: DataFrame, target: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(features, labels): ``df`` without the target, and (key, target), which rows are matched by."""
+    if missing := [c for c in (target, key) if c not in df.columns]:
+        raise ValueError(f"columns are missing: {missing}")
+    return df.drop(target), df.select(key, target)
+
+
 def resolve_source(column: str, sources: list[str]) -> str:
     """The source that a matrix column belongs to: its exact name, else the only prefix ``source_``."""
     if column in sources:

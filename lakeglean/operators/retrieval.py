@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,6 +26,21 @@ def known_documents(passages: DataFrame, documents: list[int]) -> DataFrame:
     return found
 
 
+def build_index(chunks: DataFrame, path: str) -> None:
+    """Write (id, document, shown, v) as the index at ``path``, in place of what is there.
+
+    What is shown and the vector of what was embedded lie side by side.  Files are by document, so a
+    search within documents reads theirs only.  No chunks is an error, and leaves the old index.
+    """
+    if chunks.isEmpty():
+        raise RetrievalError("an index needs chunks")
+    chunks.select("id", "document", "shown", "v").repartition("document").write.mode("overwrite").partitionBy("document").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id bigint, shown string, v array<float>, document bigint").parquet(path)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda m, x: m + x)
 

@@ -4,12 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Lower edges of the policy bands; an upper edge belongs to the next band.
 BANDS = (("A", 0.0), ("B", 0.060), ("C", 0.120), ("D", 0.160), ("E", 0.300))
 
 
+def replay(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """The records of a transcript's lines of JSON, as columns of ``schema``, and ``damaged``.
+
+    A line that isn't a record, such as the last one of a run that was killed, is damaged and null in
+    all columns.
+    """
+    parsed = lines.select(F.from_json(column, f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"}).alias("r"))
+    damaged = F.col("r").isNull() | F.col("r.__bad").isNotNull()
+    names = [f.name for f in T.StructType.fromDDL(schema)]
+    return parsed.select(*[F.when(~damaged, F.col(f"r.{n}")).alias(n) for n in names], damaged.alias("damaged"))
+
+
 def band(p: Column) -> Column:
     """Policy band of a probability; null outside of [0, 1]."""
     out = F.lit(None).cast("string")

@@ -12,7 +12,7 @@ from ..operators import fitting, panel
 from ..sources import tables
 from ..sources.shared import shared_dir
 from . import views as V
-from .registry import query
+from .registry import SQL, query
 
 LO, HI = "lo", "hi"
 _LONG = ", ".join(f"('{c}')" for c in C.CANONICAL)
@@ -123,7 +123,7 @@ def dup_ignoring_key(spark, d):
     return C.duplicate_rows(V.table(spark, d, "documents"), ignoring=("doc_id",))
 
 
-def _reject_sql() -> str:
+def _reject_tests() -> list[str]:
     tests = []
     for c in C.PREDICTORS:
         if c in C.DECLARED:
@@ -131,7 +131,15 @@ def _reject_sql() -> str:
         else:
             lo, hi = C.RANGES[c]
             tests.append(f"WHEN {c} IS NULL OR {c} NOT BETWEEN {lo} AND {hi} THEN '{c}: out of range'")
-    return "CASE " + " ".join(tests) + " END"
+    return tests
+
+
+def _reject_cases() -> list[str]:
+    return [f"CASE {t} END" for t in _reject_tests()]
+
+
+def _reject_sql() -> str:
+    return f"CASE {' '.join(_reject_tests())} END"
 
 
 @query("row_admissibility", f"WITH {V.DIRTY} SELECT ID, {_reject_sql()} AS reject_reason FROM dirty")
@@ -146,10 +154,64 @@ def batch_gate(spark, d):
     return df.where("reject_reason IS NOT NULL").groupBy("reject_reason").agg(F.count("*").alias("n"))
 
 
-@query("validate", None)
+def _validate_sql() -> str:
+    cells = [f for f in C.CANONICAL]
+
+    def part(check: str, severity: str, source: str, column: str = '"column"', message: str = "''", key: str = '"column"', n: str = "n") -> str:
+        return f'SELECT \'{check}\' AS "check", \'{severity}\' AS severity, {column} AS "column", {message} AS message, {key} AS "key", CAST({n} AS BIGINT) AS n FROM ({source})'
+
+    nulls = f"WITH {V.DIRTY} " + " UNION ALL ".join(f"SELECT '{c}' AS column, count(*) FILTER ({c} IS NULL) AS n FROM dirty" for c in cells)
+    ranges = _range_sql()
+    observed = "'observed ' || least || ' to ' || greatest"
+    copies = [(f"duplicate_rows{suffix}", severity, [c for c in cells if c not in without]) for suffix, severity, without in (("", C.BLOCKING, ()), ("_ignoring_id", C.INFORMATIVE, ("ID",)))]
+    return " UNION ALL ".join(
+        [
+            part("null_values", C.BLOCKING, f"SELECT * FROM ({nulls}) WHERE n > 0", message="'null values'"),
+            part("unknown_category", C.BLOCKING, SQL["validate_categories"], message="'unknown codes'", key="CAST(value AS VARCHAR)"),
+            part("accepted_undocumented_category", C.INFORMATIVE, SQL["validate_accepted"], message="meaning", key="meaning"),
+            *[part("out_of_range", C.BLOCKING, f"SELECT * FROM ({ranges}) WHERE below + above > 0", message=observed, key=f"'{side}'", n=side) for side in ("below", "above")],
+            *[
+                part(name, severity, f"SELECT * FROM (WITH {V.DIRTY} SELECT count(*) - count(DISTINCT ({', '.join(columns)})) AS n FROM dirty) WHERE n > 0", column="CAST(NULL AS VARCHAR)", message="'equal rows'", key="'rows'")
+                for name, severity, columns in copies
+            ],
+        ]
+    )
+
+
+@query("validate", _validate_sql())
 def validate(spark, d):
-    """All findings at once; maps have no SQL counterpart here."""
-    return C.validate(V.dirty(spark, d))
+    """All findings at once, a row for each count."""
+    found = C.validate(V.dirty(spark, d))
+    return found.select("check", "severity", "column", "message", F.explode_outer("counts").alias("key", "n"))
+
+
+_REASONS = f"list_filter([{', '.join(_reject_cases())}], lambda x: x IS NOT NULL)"
+
+
+@query(
+    "error_fields",
+    f"""WITH {V.DIRTY}, r AS (SELECT ID, {_REASONS} AS why FROM dirty)
+  SELECT ID, array_to_string(list_transform(why, lambda x: split_part(x, ': ', 1)), ',') AS fields,
+  concat_ws(',', CASE WHEN list_contains(list_transform(why, lambda x: split_part(x, ': ', 2)), 'unknown code') AND split_part(why[1], ': ', 2) = 'unknown code' THEN 'unknown code' END,
+    CASE WHEN list_contains(list_transform(why, lambda x: split_part(x, ': ', 2)), 'out of range') THEN 'out of range' END,
+    CASE WHEN list_contains(list_transform(why, lambda x: split_part(x, ': ', 2)), 'unknown code') AND split_part(why[1], ': ', 2) <> 'unknown code' THEN 'unknown code' END) AS reasons
+  FROM r WHERE len(why) > 0""",
+)
+def error_fields(spark, d):
+    fields, reasons = C.reject_reasons(list(C.PREDICTORS))
+    df = V.dirty(spark, d).select("ID", fields.alias("f"), reasons.alias("r"))
+    return df.where(F.size("f") > 0).select("ID", F.array_join("f", ",").alias("fields"), F.array_join("r", ",").alias("reasons"))
+
+
+@query("month_columns", f"WITH {V.PANEL}, c AS (SELECT unnest(json_keys(to_json(p))) AS c FROM (SELECT * FROM panel LIMIT 1) p) SELECT c AS column, CAST(regexp_extract(c, '(\\d+)$', 1) AS BIGINT) AS month FROM c WHERE regexp_matches(c, '\\d$')")
+def month_columns(spark, d):
+    rows = [(c, panel.month_of(c)) for c in V.panel(spark, d).columns if c[-1].isdigit()]
+    return spark.createDataFrame(rows, "column string, month bigint")
+
+
+@query("split_features", f"WITH {V.PANEL} SELECT * EXCLUDE (DEFAULT_PAYMENT_NEXT_MONTH) FROM panel")
+def split_features(spark, d):
+    return panel.split_target(V.panel(spark, d), "DEFAULT_PAYMENT_NEXT_MONTH", "ID")[0]
 
 
 # -- panel features ---------------------------------------------------------------------------------
