@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprint, htmltext, images, jaccard, mixing, packing, quality, secrets, toxicity
+from . import alignment, chat, fingerprint, htmltext, images, jaccard, mixing, packing, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_media_copies": images.op9_media_copies,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
     }
 
 
