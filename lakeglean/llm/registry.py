@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, chat, fingerprint, htmltext, images, jaccard, mixing, packing, quality, secrets, toxicity
+from . import alignment, chat, fingerprint, htmltext, images, jaccard, mixing, packing, quality, repair, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op9_media_copies": images.op9_media_copies,
         "op10_mix_sources": mixing.op10_mix_sources,
         "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
+        "op12_conversation_repair": repair.op12_conversation_repair,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_ngram_jaccard_join": jaccard.ORACLE,
         "op7_secret_scan": secrets.oracle(),
         "op10_mix_sources": mixing.ORACLE,
+        "op12_conversation_repair": repair.ORACLE,
     }
