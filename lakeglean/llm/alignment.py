@@ -25,6 +25,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, islice
 from operator import itemgetter
 
@@ -42,7 +43,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 #: How the byte-level vocabulary splits a text before its merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Segments of a block, segments remembered, pairs that are broadcast.
-BLOCK, REMEMBERED, FREQUENT = 1 << 16, 300_000, 1 << 18
+BLOCK, REMEMBERED, FREQUENT = 1 << 14, 150_000, 1 << 18
 #: Groups with more links than this are multiplied out over distinct tokens.
 LARGE = 4096
 
@@ -242,6 +243,12 @@ class Aligner:
         return (counts, digest.hexdigest(), code, times) if good else nothing()
 
 
+@lru_cache(maxsize=1)
+def loaded(folder: str) -> Aligner:
+    """One aligner a worker process: later tasks of the worker use it again."""
+    return Aligner(folder)
+
+
 def nothing() -> tuple:
     return np.zeros(4, np.int64), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -278,7 +285,7 @@ def aligned(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """``ALIGNED`` of each row of ``docs`` (row, doc_id, text): codes of its distinct linked pairs and how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(folder)
+        aligner = loaded(folder)
         schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()), ("codes", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
         for batch in batches:
             step = 512
