@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, chat, fingerprint, htmltext, images, jaccard, mixing, packing, quality, repair, secrets, toxicity
+from . import alignment, chat, fingerprint, htmltext, images, jaccard, mixing, packing, quality, repair, secrets, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op10_mix_sources": mixing.op10_mix_sources,
         "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
         "op12_conversation_repair": repair.op12_conversation_repair,
+        "op13_sharding": sharding.op13_sharding,
     }
 
 
