@@ -67,6 +67,20 @@ def test_cost_is_near_the_optimum_of_small_cases():
     assert min(ratios) >= 1 - 1e-9 and max(ratios) <= 1.35 and sum(ratios) / len(ratios) <= 1.06
 
 
+def least_padding(lengths):
+    """Room that no packing fills: a piece above 2048 has a bin of 4096 alone but for one piece above 800 (two don't fit) and the small ones."""
+    rooms = sorted((4096 - n for n in lengths if n > 2048), reverse=True)
+    middle = sorted(n for n in lengths if 800 < n <= 2048)
+    assert max(rooms, default=0) < 2 * 800
+    filled = 0
+    for room in rooms:  # narrow rooms last: each takes the largest piece that fits
+        while middle and middle[-1] > room:
+            middle.pop()
+        if middle:
+            filled += middle.pop()
+    return max(0, sum(rooms) - filled - sum(n for n in lengths if n <= 800))
+
+
 @pytest.mark.parametrize("kind", ["short", "spread", "mixed"])
 def test_capacities_are_chosen_jointly(kind):
     rng = random.Random(2)
@@ -81,7 +95,10 @@ def test_capacities_are_chosen_jointly(kind):
         used[b] += n
     shrunk = [min(c for c in packing.CAPACITIES if c >= u) for u in used.values()]
     assert total(sizes) < total(shrunk)  # fixed capacity, downsized
-    assert sum(sizes) <= 1.02 * sum(lengths) + 4096
+    if kind == "mixed":
+        assert sum(sizes) <= 1.01 * (sum(lengths) + least_padding(lengths)) + 4096
+    else:
+        assert sum(sizes) <= 1.02 * sum(lengths) + 4096
 
 
 def test_many_equal_rows_are_dealt_to_all_shards(spark):
