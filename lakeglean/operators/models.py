@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -16,12 +17,14 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from . import metrics as M
 from . import resample as R
+from .neighbours import nearest_rows
+from .ranking import numbered
 
 ROC_TOLERANCE, PR_TOLERANCE = 0.020, 0.015
 
@@ -101,41 +104,35 @@ def null_distribution(checks: DataFrame) -> DataFrame:
 
 
 def oversampled(df: DataFrame, key: str, y: str, columns: list[str], neighbours: int = 5, seed: int = R.SEED, block: int = 2000) -> DataFrame:
-    """``df`` (key, y, columns) with synthetic positives until classes are even.
+    """``df`` (key, y, columns) with synthetic positives until classes are even.  Runs jobs.
 
-    Minority rows are dealt to blocks of about ``block`` rows by hash of key and values; each synthetic row lies between a
-    seeded minority row and one of its nearest neighbours in its block.
+    The minority rows stand in seeded order; each gets its share of the missing rows, the first ones one more.  A synthetic
+    row lies between its row and one of that row's exact nearest neighbours in the whole minority
+    (ties to the earlier place), both drawn by hashes of seed, place and number: the result is the same
+    at any ``block`` and in any engine.  Its key is negative.  Fewer than two positives, or enough of them: ``df`` as it is.
     """
     n, pos = df.agg(F.count("*"), F.count_if(F.col(y) == 1)).first()
     need = n - 2 * pos
     if pos < 2 or need <= 0:
         return df.select(key, y, *columns)
-    blocks = max(1, -(-pos // block))
-    minority = df.where(F.col(y) == 1).select(F.col(key).cast("bigint").alias(key), *[F.col(c).cast("double").alias(c) for c in columns]).withColumn("__b", F.pmod(F.xxhash64(key, *columns), F.lit(blocks)))
-    rate = need / pos
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        x = pdf[columns].to_numpy(float)
-        rng = np.random.default_rng([seed, int(pdf["__b"].iloc[0])])
-        want = int(round(rate * len(x)))
-        if len(x) < 2 or not want:
-            return pd.DataFrame(columns=[key, *columns])
-        near = np.empty((len(x), min(neighbours, len(x) - 1)), np.int64)
-        step = max(1, 4_000_000 // (len(x) * max(1, len(columns))))  # rows whose distances are held at a time
-        for lo in range(0, len(x), step):
-            d = ((x[lo : lo + step, None, :] - x[None, :, :]) ** 2).sum(2)
-            d[np.arange(len(d)), np.arange(lo, lo + len(d))] = np.inf
-            near[lo : lo + step] = np.argsort(d, axis=1, kind="stable")[:, : near.shape[1]]
-        at = rng.integers(0, len(x), want)
-        other = near[at, rng.integers(0, near.shape[1], want)]
-        out = pd.DataFrame(x[at] + rng.random((want, 1)) * (x[other] - x[at]), columns=columns)
-        out.insert(0, key, -1 - np.arange(want) - (int(pdf["__b"].iloc[0]) << 32))
-        return out
-
-    schema = ", ".join([f"`{key}` bigint", *[f"`{c}` double" for c in columns]])
-    made = minority.groupBy("__b").applyInPandas(run, schema).withColumn(y, F.lit(1).cast(df.schema[y].dataType))
-    return df.select(key, y, *columns).unionByName(made.select(key, y, *columns))
+    minority = df.where(F.col(y) == 1).select(F.col(key).cast("bigint").alias(key), *[F.col(c).cast("double").alias(c) for c in columns])
+    placed = written(numbered(minority, [R.draw(key, seed), F.col(key), *[F.col(c) for c in columns]], "__place"), "minority")
+    near = nearest_rows(placed, "__place", columns, min(neighbours, pos - 1), block=block)
+    k = min(neighbours, pos - 1)
+    times = need // pos + F.when(F.col("__place") < need % pos, 1).otherwise(0)
+    wanted = placed.select("__place", times.cast("int").alias("__times"), F.array(*columns).alias("__a")).where("__times > 0")
+    wanted = wanted.select("__place", "__a", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)).alias("__i"))
+
+    def drawn(name: str) -> Column:
+        h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__place").cast("string"), F.col("__i").cast("string"), F.lit(name)).cast("binary"))
+        return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
+
+    wanted = wanted.withColumns({"__rank": (drawn("row") % k + 1).cast("int"), "__u": drawn("part") / 2.0**32})
+    chosen = wanted.join(near.select(F.col("key").alias("__place"), F.col("rank").alias("__rank"), F.col("other").alias("__other")), ["__place", "__rank"])
+    made = chosen.join(placed.select(F.col("__place").alias("__other"), F.array(*columns).alias("__b")), "__other")
+    values = [(F.col("__a")[j] + F.col("__u") * (F.col("__b")[j] - F.col("__a")[j])).alias(c) for j, c in enumerate(columns)]
+    made = made.select((-1 - F.col("__place") - F.col("__i") * F.lit(pos)).cast(df.schema[key].dataType).alias(key), F.lit(1).cast(df.schema[y].dataType).alias(y), *values)
+    return df.select(key, y, *columns).unionByName(made)
 
 
 def sigmoid_map(scored: DataFrame, y: str = "y", s: str = "s") -> tuple[float, float]:
@@ -202,65 +199,88 @@ def expected(tree: dict[str, np.ndarray], i: int = 0) -> float:
     return (expected(tree, a) * tree["cover"][a] + expected(tree, b) * tree["cover"][b]) / tree["cover"][i]
 
 
-def shapley(tree: dict[str, np.ndarray], x: np.ndarray, features: int) -> np.ndarray:
-    """Shapley values of one tree's output for x, missing features following the training cover.
+def paths(tree: dict[str, np.ndarray]) -> dict[int, tuple[np.ndarray, ...]]:
+    """Leaves by the number m of features on their path: (features, low, high, zeros: each (leaves, m); value: (leaves)).
 
-    For each leaf, the features on its path form a product game; its Shapley values come from the
-    polynomial of path weights, in the number of path features squared.
+    A row goes to the leaf if low < x <= high for every feature; ``zeros`` is the share of the training rows
+    that go on along the feature's splits.
     """
-    phi = np.zeros(features)
-
-    def leaf(i: int, path: dict[int, tuple[float, float]]) -> None:
-        names = list(path)
-        n = len(names)
-        if not n:
-            return
-        ones = np.array([path[f][0] for f in names])
-        zeros = np.array([path[f][1] for f in names])
-        for k in range(n):
-            # coefficients over the number of present features among the others
-            poly = np.ones(1)
-            for j in range(n):
-                if j != k:
-                    poly = np.convolve(poly, [zeros[j], ones[j]])
-            weight = np.array([1.0 / (n * _choose(n - 1, s)) for s in range(n)])
-            phi[names[k]] += (ones[k] - zeros[k]) * float((poly * weight).sum()) * float(tree["value"][i])
-
-    def walk(i: int, path: dict[int, tuple[float, float]]) -> None:
+    found: dict[int, list] = {}
+    stack = [(0, {})]
+    while stack:
+        i, path = stack.pop()
         f = int(tree["feature"][i])
         if f < 0:
-            leaf(i, path)
-            return
-        hot = int(tree["left"][i] if x[f] <= tree["threshold"][i] else tree["right"][i])
-        for child in (int(tree["left"][i]), int(tree["right"][i])):
-            one, zero = path.get(f, (1.0, 1.0))
-            walk(child, {**path, f: (one * (child == hot), zero * tree["cover"][child] / tree["cover"][i])})
-
-    walk(0, {})
+            found.setdefault(len(path), []).append((path, float(tree["value"][i])))
+            continue
+        low, high, zero = path.get(f, (-np.inf, np.inf, 1.0))
+        t = float(tree["threshold"][i])
+        for child, bounds in ((int(tree["left"][i]), (low, min(high, t))), (int(tree["right"][i]), (max(low, t), high))):
+            stack.append((child, {**path, f: (*bounds, zero * tree["cover"][child] / tree["cover"][i])}))
+    out = {}
+    for m, leaves in found.items():
+        parts = [np.array([[p[f][j] for f in p] for p, _ in leaves]).reshape(len(leaves), m) for j in range(3)]
+        out[m] = (np.array([list(p) for p, _ in leaves], dtype=np.int64).reshape(len(leaves), m), *parts, np.array([v for _, v in leaves]))
+    return out
+
+
+def shapley_rows(leaves: dict[int, tuple[np.ndarray, ...]], x: np.ndarray) -> np.ndarray:
+    """Shapley values of one tree's output for all rows of ``x`` at once, missing features following the training cover.
+
+    The features on a leaf's path form a product game: feature k gets value * (one_k - zero_k) times the sum, over the
+    number s of the others that are present, of the coefficient of t^s in prod(zero_j + one_j t), divided by m * C(m - 1, s).
+    """
+    phi = np.zeros(x.shape)
+    for m, (features, low, high, zeros, value) in leaves.items():
+        if not m:
+            continue
+        at = x[:, features]  # (rows, leaves, m)
+        one = ((at > low) & (at <= high)).astype(float)
+        weight = np.array([1.0 / (m * comb(m - 1, s)) for s in range(m)])
+        for k in range(m):
+            poly = np.ones((*one.shape[:2], 1))
+            for j in range(m):
+                if j != k:
+                    longer = np.zeros((*one.shape[:2], poly.shape[2] + 1))
+                    longer[..., :-1] = poly * zeros[:, j, None]
+                    longer[..., 1:] += poly * one[..., j, None]
+                    poly = longer
+            part = (one[..., k] - zeros[:, k]) * (poly @ weight) * value
+            for f in np.unique(features[:, k]):
+                phi[:, f] += part[:, features[:, k] == f].sum(1)
     return phi
 
 
-def _choose(n: int, k: int) -> int:
-    from math import comb
+def shapley(tree: dict[str, np.ndarray], x: np.ndarray, features: int) -> np.ndarray:
+    """Shapley values of one tree's output for one row."""
+    return shapley_rows(paths(tree), np.asarray(x, dtype=float).reshape(1, features))[0]
+
 
-    return comb(n, k)
+#: Row-leaf pairs of a step: what is held at a time is that many times the longest path.
+STEP = 1 << 18
 
 
 def attribution(model: PipelineModel, df: DataFrame, key: str, features: list[str], top: int | None = None) -> DataFrame:
     """(key, feature, phi, direction, base, score, place): contributions to the forest's score.
 
-    base plus all contributions of a row is the forest's score.
+    base plus all contributions of a row is the forest's score.  All rows of an Arrow batch go through a tree at once.
     """
     trees = exported(model.stages[-1])
     base = float(np.mean([expected(t) for t in trees]))
+    shared = df.sparkSession.sparkContext.broadcast([paths(t) for t in trees])  # as large as the model
+    most = max(sum(len(part[-1]) for part in leaves.values()) for leaves in shared.value)
 
     def run(parts):
         for pdf in parts:
-            rows = []
-            for k, x in zip(pdf[key], pdf[features].to_numpy(float), strict=True):
-                phi = np.mean([shapley(t, x, len(features)) for t in trees], axis=0)
-                rows += [(k, f, float(p), base, base + float(phi.sum())) for f, p in zip(features, phi, strict=True)]
-            yield pd.DataFrame(rows, columns=[key, "feature", "phi", "base", "score"])
+            x = pdf[features].to_numpy(float)
+            phi = np.zeros(x.shape)
+            step = max(1, STEP // most)
+            for lo in range(0, len(x), step):
+                for leaves in shared.value:
+                    phi[lo : lo + step] += shapley_rows(leaves, x[lo : lo + step])
+            phi /= len(shared.value)
+            many = len(features)
+            yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), many), "feature": np.tile(np.array(features, dtype=object), len(x)), "phi": phi.ravel(), "base": base, "score": np.repeat(base + phi.sum(1), many)})
 
     out = df.select(F.col(key).cast("bigint").alias(key), *[F.col(f).cast("double").alias(f) for f in features]).mapInPandas(run, f"{key} bigint, feature string, phi double, base double, score double")
     from .trace import rank_in_group

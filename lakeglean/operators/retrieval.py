@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .neighbours import unit_rows
+
 CUTOFFS = (1, 3, 5)
 DEPTH = 10
 #: Most bytes of query vectors that are broadcast; more queries go in blocks.
@@ -29,12 +33,14 @@ def known_documents(passages: DataFrame, documents: list[int]) -> DataFrame:
 def build_index(chunks: DataFrame, path: str) -> None:
     """Write (id, document, shown, v) as the index at ``path``, in place of what is there.
 
-    What is shown and the vector of what was embedded lie side by side.  Files are by document, so a
-    search within documents reads theirs only.  No chunks is an error, and leaves the old index.
+    What is shown and the vector of what was embedded lie side by side.  Rows are sorted by ranges of (document, id), so a
+    search within documents skips the row groups of others by their bounds; a document of any size is
+    spread over files, and there is no folder a document.  No chunks is an error, and leaves the old index.
     """
     if chunks.isEmpty():
         raise RetrievalError("an index needs chunks")
-    chunks.select("id", "document", "shown", "v").repartition("document").write.mode("overwrite").partitionBy("document").parquet(path)
+    rows = chunks.select("id", "document", "shown", "v").repartitionByRange("document", "id")
+    rows.sortWithinPartitions("document", "id").write.mode("overwrite").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -56,26 +62,67 @@ def top_k(queries: DataFrame, passages: DataFrame, k: int = DEPTH, documents: li
     With ``others`` a query doesn't find the passage of its own id.
 
     A stated query set against all passages: queries are broadcast in blocks of a checked size, every
-    task keeps the k best of each query (a window group limit below the shuffle), and only those move.
+    task multiplies them with its passages and keeps the k best of each query, and only those move.
+    Vectors hold no nulls and are of one length.  Runs jobs.
     """
     if documents is not None:
         if not documents:
             raise ValueError("an empty filter finds nothing")
         passages = passages.where(F.col("document").isin(documents))
-    q = queries.select(F.col("id").alias("query_id"), unit(F.col("v")).alias("qv"))
+    q = queries.select(F.col("id").cast("bigint").alias("query_id"), unit_rows(queries, "v").alias("qv"))
     blocks = max(1, -(-queries.count() * dims * 8 // QUERY_BYTES))
-    p = passages.select(F.col("id").alias("passage_id"), "document", unit(F.col("v")).alias("pv"))
+    p = passages.select(F.col("id").cast("bigint").alias("passage_id"), F.col("document").cast("bigint").alias("document"), unit_rows(passages, "v").alias("pv"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "passage_id")
     out = None
     for b in range(blocks):
         part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q
-        met = p.crossJoin(F.broadcast(part))
-        scores = (met.where("query_id <> passage_id") if others else met).select("query_id", "passage_id", "document", F.round(dot(F.col("qv"), F.col("pv")), 9).alias("score"))
-        ranked = scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        found = _best_of_task(p, part.toArrow(), k, others)
+        ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         out = ranked if out is None else out.unionByName(ranked)
     return out
 
 
+#: Query-passage products of a step.
+PRODUCTS = 1 << 21
+
+
+def _best_of_task(passages: DataFrame, asked, k: int, others: bool) -> DataFrame:
+    """(query_id, passage_id, document, score): each task's ``k`` best passages of every query, by matrix products.
+
+    ``asked`` is a table of at most ``QUERY_BYTES``; a task holds k candidates a query besides.
+    """
+    ids = asked.column("query_id").to_numpy()
+    matrix = np.array(asked.column("qv").combine_chunks().flatten()).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+    shared = passages.sparkSession.sparkContext.broadcast((ids, matrix))
+
+    def run(batches):
+        ids, matrix = shared.value
+        at, pid, doc, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            step = max(1, PRODUCTS // len(ids))
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                p_ids, docs = (part.column(c).to_numpy(zero_copy_only=False) for c in ("passage_id", "document"))
+                s = np.round(matrix @ np.array(part.column("pv").flatten()).reshape(part.num_rows, -1).T, 9)
+                if others:
+                    s[ids[:, None] == p_ids[None, :]] = -np.inf
+                if s.shape[1] > k:
+                    bar = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                    q, j = np.nonzero((s >= bar[:, None]) & np.isfinite(s))
+                else:
+                    q, j = np.nonzero(np.isfinite(s))
+                at, pid, doc, score = (np.concatenate(x) for x in ((at, q), (pid, p_ids[j]), (doc, docs[j]), (score, s[q, j])))
+                order = np.lexsort((pid, -score, at))
+                at, pid, doc, score = at[order], pid[order], doc[order], score[order]
+                keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+                at, pid, doc, score = at[keep], pid[keep], doc[keep], score[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at] if len(at) else at, pa.int64()), pa.array(pid), pa.array(doc), pa.array(score)], names=["query_id", "passage_id", "document", "score"])
+
+    return passages.mapInArrow(run, "query_id bigint, passage_id bigint, document bigint, score double")
+
+
 def first_rank(ranked: DataFrame, hit: Column) -> DataFrame:
     """(query_id, first_rank): rank of the first hit, 0 if there is none."""
     return ranked.groupBy("query_id").agg(F.coalesce(F.min(F.when(hit, F.col("rank"))), F.lit(0)).cast("bigint").alias("first_rank"))

@@ -10,6 +10,7 @@ from ..operators import panel
 from ..operators import resample as R
 from ..sources.shared import written
 from . import views as V
+from .profiles import rounded
 from .registry import query
 
 FEATURES = ["LIMIT_BAL", "AGE", "BILL_AMT2", "PAY_AMT2", "PAY_STATUS_2", "MAX_DELINQUENCY", "MONTHS_WITHOUT_PAYMENT", "DELINQUENCY_STREAK"]
@@ -62,9 +63,31 @@ def calibrate(spark, d):
     return L.calibrated(L.calibrated(oof, "sigmoid", name="sigmoid"), "isotonic", name="isotonic")
 
 
-@query("smote", None)
+SMOTED = {"LIMIT_BAL": 1e4, "AGE": 50.0, "BILL_AMT2": 1e5, "PAY_AMT2": 1e5, "PAY_STATUS_2": 1.0}
+_DISTANCE = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in SMOTED)
+
+
+def _drawn(name: str) -> str:
+    return f"CAST('0x' || left(md5('42:' || w.place || ':' || w.i || ':{name}'), 8) AS BIGINT)"
+
+
+_SMOTE = f"""WITH {V.PANEL}, t AS (SELECT ID, CAST((ID * 7919) % 100 < CASE WHEN PAY_STATUS_2 >= 0 THEN 60 WHEN LIMIT_BAL < 2000 THEN 35 ELSE 10 END AS BIGINT) AS y,
+  {", ".join(f"CAST({c} AS DOUBLE) / {s}::DOUBLE AS {c}" for c, s in SMOTED.items())} FROM panel),
+  m AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || ID), ID) - 1 AS place FROM t WHERE y = 1),
+  c AS (SELECT count(*) - 2 * sum(y) AS need, sum(y) AS pos FROM t),
+  near AS (SELECT a.place, b.place AS other, row_number() OVER (PARTITION BY a.place ORDER BY round(sqrt({_DISTANCE}), 9), b.place) AS rank FROM m a JOIN m b ON a.place <> b.place),
+  w AS (SELECT m.*, unnest(range(0, CAST(need // pos + CASE WHEN place < need % pos THEN 1 ELSE 0 END AS BIGINT))) AS i, pos FROM m, c),
+  made AS (SELECT -1 - w.place - w.i * pos AS ID, 1 AS y, {", ".join(f"w.{c} + {_drawn('part')} / 4294967296.0::DOUBLE * (o.{c} - w.{c}) AS {c}" for c in SMOTED)}
+    FROM w JOIN near n ON n.place = w.place AND n.rank = {_drawn('row')} % 5 + 1 JOIN m o ON o.place = n.other)
+SELECT CAST(ID AS BIGINT) AS ID, CAST(y AS BIGINT) AS y, {", ".join(f"round({c}, 6) AS {c}" for c in SMOTED)} FROM (SELECT ID, y, {", ".join(SMOTED)} FROM t UNION ALL SELECT ID, y, {", ".join(SMOTED)} FROM made)"""
+
+
+@query("smote", _SMOTE)
 def smote(spark, d):
-    return L.oversampled(table(spark, d), "ID", "y", FEATURES)
+    p = V.panel(spark, d)
+    chance = F.when(F.col("PAY_STATUS_2") >= 0, 60).when(F.col("LIMIT_BAL") < 2000, 35).otherwise(10)
+    df = p.select("ID", ((F.col("ID") * 7919) % 100 < chance).cast("bigint").alias("y"), *[(F.col(c).cast("double") / s).alias(c) for c, s in SMOTED.items()])
+    return rounded(L.oversampled(written(df, "smote"), "ID", "y", list(SMOTED)))
 
 
 @query(

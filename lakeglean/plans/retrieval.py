@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import neighbours as N
 from ..operators import retrieval as R
 from ..operators.ranking import quantiles
+from ..sources.shared import shared_dir
 from . import views as V
 from .profiles import rounded
 from .registry import query
@@ -35,6 +39,36 @@ def vector_topk(spark, d):
     return rounded(ranked(spark, d))
 
 
+def inverted(spark, d):
+    """An index of all passages, built in the shared folder, and the query set."""
+    q, p = V.query_set(spark, d)
+    chunks = p.withColumn("shown", F.concat(F.lit("chunk "), F.col("id").cast("string")))
+    return N.build_inverted_file(chunks, f"{shared_dir(spark)}/inverted-{uuid.uuid4().hex[:12]}"), q
+
+
+@query("ivf_topk", None)
+def ivf_topk(spark, d):
+    index, q = inverted(spark, d)
+    return rounded(index.search(q, 10, others=True))
+
+
+@query("ivf_exact", f"{_TOP} SELECT query_id, passage_id, document, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM top")
+def ivf_exact(spark, d):
+    """The same index with every cell visited."""
+    index, q = inverted(spark, d)
+    return rounded(index.search(q, 10, exact=True, others=True))
+
+
+@query("ivf_recall", None)
+def ivf_recall(spark, d):
+    """One row: the share of the exact neighbours that the index finds, and the share of query-row pairs that it compares."""
+    index, q = inverted(spark, d)
+    truth = R.top_k(q, V.query_set(spark, d)[1], 10, others=True).select("query_id", "passage_id")
+    found = index.search(q, 10, others=True).select("query_id", "passage_id", F.lit(1).alias("hit"))
+    recall = truth.join(found, ["query_id", "passage_id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("recall_at_10"))
+    return rounded(recall.crossJoin(F.broadcast(index.scanned_share(q))))  # one row each
+
+
 @query(
     "vector_topk_filtered",
     f"WITH {V.VECTORS}, f AS (SELECT query_id, passage_id, document, score, gold, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM hits WHERE document IN (1, 4)) SELECT query_id, passage_id, document, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank, gold FROM f WHERE rank <= 5",
