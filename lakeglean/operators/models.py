@@ -13,7 +13,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from . import boosting as boosts
 from . import metrics as M
 from . import resample as R
 from .neighbours import nearest_rows
@@ -46,11 +47,6 @@ def forest(features: list[str], y: str = "y", trees: int = 300, depth: int = 10,
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), rf])
 
 
-def boosting(features: list[str], y: str = "y", rounds: int = 300, rate: float = 0.05, depth: int = 5, seed: int = R.SEED) -> Pipeline:
-    gbt = GBTClassifier(labelCol=y, maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), gbt])
-
-
 def positive(model: PipelineModel, df: DataFrame, name: str = "s") -> DataFrame:
     """``df`` with the probability of class 1."""
     out = model.transform(df).withColumn(name, vector_to_array("probability")[1])
@@ -70,6 +66,11 @@ def fitted(pipeline: Callable[[], Pipeline], score: str = "s") -> Factory:
     return fit
 
 
+def boosting(features: list[str], y: str = "y", settings: boosts.Settings | None = None, score: str = "s") -> Factory:
+    """A factory of histogram boosting."""
+    return lambda train: (lambda df: boosts.fit(train, features, y, settings).score(df, score))
+
+
 def out_of_fold(df: DataFrame, fit: Factory, fold: str = "fold") -> DataFrame:
     """Every row scored once, by the model that didn't see it."""
     folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]

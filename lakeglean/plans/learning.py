@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import contract as C
+from ..operators import metrics as M
 from ..operators import models as L
 from ..operators import panel
 from ..operators import resample as R
+from ..operators.boosting import Settings
 from ..sources.shared import written
 from . import views as V
 from .profiles import rounded
@@ -63,6 +65,20 @@ def calibrate(spark, d):
     return L.calibrated(L.calibrated(oof, "sigmoid", name="sigmoid"), "isotonic", name="isotonic")
 
 
+def hgb():
+    return L.boosting(FEATURES, settings=Settings(rounds=3, rate=0.3))
+
+
+@query("boosting_metrics", None)
+def boosting_metrics(spark, d):
+    """One row: average precision and Brier score of rows of a fold that the model didn't see, beside those of the base rate."""
+    df = table(spark, d)
+    held = written(hgb()(df.where("fold > 1"))(df.where("fold = 1")).select("y", "s"), "held")
+    rate = df.where("fold > 1").agg(F.avg(F.col("y").cast("double")).alias("rate"))
+    floor = held.crossJoin(F.broadcast(rate)).agg(F.avg(F.pow(F.col("y") - F.col("rate"), 2)).alias("brier_of_rate"), F.avg(F.col("y").cast("double")).alias("share"))
+    return M.all_metrics(held, "y", "s").select("pr_auc", "roc_auc", "brier").crossJoin(F.broadcast(floor))  # one row each
+
+
 SMOTED = {"LIMIT_BAL": 1e4, "AGE": 50.0, "BILL_AMT2": 1e5, "PAY_AMT2": 1e5, "PAY_STATUS_2": 1.0}
 _DISTANCE = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in SMOTED)
 
