@@ -85,7 +85,8 @@ def propagate(rows: DataFrame, links: DataFrame, quota: int, shards: int = SHARD
             F.sort_array(F.collect_list(F.when(F.lit(k % 2 == 1) | (F.col("room") > 0), entry))).alias("open"),
         )
         need = F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(quota))).cast("int")
-        homes = homes.select("hub", "counts", F.slice("open", F.lit(1), need).alias("homes"))
+        # written, so that the join below may split a large hub
+        homes = scratch.cut(homes.select("hub", "counts", F.slice("open", F.lit(1), need).alias("homes")), f"homes-{k}")
         asks = member.join(homes, "hub").where(F.size("homes") > 0)
         # of several homes, one by the row's hash in this round
         at = F.element_at("homes", F.pmod(F.xxhash64("row", F.lit(k)), F.size("homes").cast("long")).cast("int") + 1)
