@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from ..operators import contract as C
@@ -9,8 +13,11 @@ from ..operators import metrics as M
 from ..operators import models as L
 from ..operators import panel
 from ..operators import resample as R
+from ..operators import search as TPE
+from ..operators import stages as ST
 from ..operators.boosting import Settings
-from ..sources.shared import written
+from ..operators.search import Choice, Number
+from ..sources.shared import shared_dir, written
 from . import views as V
 from .profiles import rounded
 from .registry import query
@@ -79,6 +86,25 @@ def boosting_metrics(spark, d):
     return M.all_metrics(held, "y", "s").select("pr_auc", "roc_auc", "brier").crossJoin(F.broadcast(floor))  # one row each
 
 
+@query("nested_search", None)
+def nested_search(spark, d):
+    """Outer scores of forests whose depth and leaves a nested search chose."""
+    space = {"depth": Number(2, 6, step=1), "leaf": Number(1, 80, step=1, log=True), "subset": Choice(("sqrt", "log2", "0.3"))}
+    df = table(spark, d).drop("fold")
+    out = TPE.nested_search(df, "ID", "y", lambda p: L.fitted(lambda: L.forest(FEATURES, trees=5, **p)), space, 3, f"{shared_dir(spark)}/trials-{uuid.uuid4().hex[:12]}", outer=2, inner=2, startup=2)
+    return out.select(F.col("fold").cast("bigint").alias("fold"), "params", "inner_best", "pr_auc", "roc_auc", "brier")
+
+
+@query("stage_scores", None)
+def stage_scores(spark, d):
+    """(ID, s) by a pipeline of panel features, matrix and forest that was saved and loaded again."""
+    p = V.panel(spark, d)
+    stages = [ST.PanelFeatures(), ST.MatrixEstimator(), RandomForestClassifier(labelCol=C.TARGET, numTrees=10, maxDepth=4, seed=R.SEED)]
+    path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex[:12]}"
+    Pipeline(stages=stages).fit(p).write().save(path)
+    return L.positive(PipelineModel.load(path), p).select("ID", "s")
+
+
 SMOTED = {"LIMIT_BAL": 1e4, "AGE": 50.0, "BILL_AMT2": 1e5, "PAY_AMT2": 1e5, "PAY_STATUS_2": 1.0}
 _DISTANCE = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in SMOTED)
 
