@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import credit, learning, metrics, profiles, reports, retrieval, text, traces  # noqa: F401
+from . import credit, learning, metrics, profiles, reports, retrieval, text, tools, traces  # noqa: F401
 from .registry import QUERIES, SQL
 
 
