@@ -85,8 +85,7 @@ def propagate(rows: DataFrame, links: DataFrame, quota: int, shards: int = SHARD
             F.sort_array(F.collect_list(F.when(F.lit(k % 2 == 1) | (F.col("room") > 0), entry))).alias("open"),
         )
         need = F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(quota))).cast("int")
-        # written, so that the join below may split a large hub
-        homes = scratch.cut(homes.select("hub", "counts", F.slice("open", F.lit(1), need).alias("homes")), f"homes-{k}")
+        homes = homes.select("hub", "counts", F.slice("open", F.lit(1), need).alias("homes"))
         asks = member.join(homes, "hub").where(F.size("homes") > 0)
         # of several homes, one by the row's hash in this round
         at = F.element_at("homes", F.pmod(F.xxhash64("row", F.lit(k)), F.size("homes").cast("long")).cast("int") + 1)
@@ -96,22 +95,20 @@ def propagate(rows: DataFrame, links: DataFrame, quota: int, shards: int = SHARD
         ballot = votes.groupBy("row", "size", "shard", F.col("v.to").alias("to")).agg(F.sum("v.n").alias("n"), F.min("v.tie").alias("tie"), F.min("hub").alias("hub"))
         wish = ballot.groupBy("row", "size", "shard").agg(F.min(F.struct((-F.col("n")).alias("order"), "tie", "to", "hub")).alias("best")).select("row", "size", "shard", "best.to", "best.hub").where("to <> shard")
         key = turn("hub", HUB_RANGES) * ROW_RANGES + turn("row", ROW_RANGES)
-        wish = scratch.cut(wish.withColumns({"pair": F.col("shard") * shards + F.col("to"), "back": F.col("to") * shards + F.col("shard")}), f"wishes-{k}")
         if k % 2 == 0:
             by, limit = "to", room.withColumnRenamed("shard", "to").withColumnRenamed("room", "limit")
         else:  # two shards swap as much as both want to
+            wish = scratch.cut(wish.withColumns({"pair": F.col("shard") * shards + F.col("to"), "back": F.col("to") * shards + F.col("shard")}), f"wishes-{k}")
             flows = wish.groupBy("pair", "back").agg(F.sum("size").alias("flow"))  # at most shards squared
             back = flows.select(F.col("pair").alias("back"), F.col("flow").alias("other"))
             by, limit = "pair", flows.join(back, "back").select("pair", F.least("flow", "other").alias("limit"))
         moves = upto(wish.select("row", "size", by, "hub", *({"to"} - {by})), by, key, ["hub", "row"], "size").join(limit, by).where("upto <= limit").select("row", "to")
-        moves = scratch.cut(moves, f"moves-{k}")
-        if moves.isEmpty():
-            still += 1
-            if still == 2:
-                break
-            continue
-        still = 0
-        now = scratch.cut(now.join(moves, "row", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to"), f"labels-{k + 1}")
+        moved = now.join(moves, "row", "left").withColumn("shard", F.coalesce("to", "shard")).withColumn("moved", F.col("to").isNotNull()).drop("to")
+        moved = scratch.cut(moved, f"labels-{k + 1}")
+        now = moved.drop("moved")
+        still = still + 1 if moved.where("moved").isEmpty() else 0
+        if still == 2:
+            break
     return now
 
 
