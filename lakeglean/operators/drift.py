@@ -63,8 +63,20 @@ def ks_two_sample(ref: DataFrame, served: DataFrame, value: str) -> DataFrame:
     return w.agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("ks"), F.max("na").alias("n_ref"), F.max("nb").alias("n_served"))
 
 
-def ks_p_value(ks: float, n: int, m: int, terms: int = 100) -> float:
-    """Asymptotic two-sided p-value (Kolmogorov's series)."""
+#: Samples whose sizes multiply to no more than this get the exact p-value.
+EXACT_UP_TO = 10_000
+
+
+def ks_p_value(ks: float, n: int, m: int, terms: int = 100, exact_up_to: int = EXACT_UP_TO) -> float:
+    """Two-sided p-value of the statistic of samples of n and m rows.
+
+    Exact where n * m <= ``exact_up_to`` and no value is tied: of all orders of the two samples, which are paths on a
+    lattice, the share that is somewhere as far from the diagonal.  Else asymptotic, by Kolmogorov's series.
+    """
+    if n < 1 or m < 1:
+        raise DriftError("a sample is empty")
+    if n * m <= exact_up_to:
+        return exact_p_value(round(ks * n * m), n, m)
     root = math.sqrt(n * m / (n + m))
     x = (root + 0.12 + 0.11 / root) * ks
     if x < 0.2:
@@ -72,6 +84,29 @@ def ks_p_value(ks: float, n: int, m: int, terms: int = 100) -> float:
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, terms + 1))))
 
 
+def exact_p_value(gap: int, n: int, m: int) -> float:
+    """Share of the lattice paths from (0, 0) to (n, m) that reach a point (i, j) with |i m - j n| >= ``gap``: whole numbers, row by row."""
+    if gap <= 0:
+        return 1.0
+    inside = [int(j * n < gap) for j in range(m + 1)]
+    for j in range(1, m + 1):
+        inside[j] &= inside[j - 1]
+    for i in range(1, n + 1):
+        for j in range(m + 1):
+            inside[j] = (inside[j] + (inside[j - 1] if j else 0)) if abs(i * m - j * n) < gap else 0
+    paths = math.comb(n + m, n)
+    return (paths - inside[m]) / paths
+
+
+def ks_test(ref: DataFrame, served: DataFrame, value: str) -> DataFrame:
+    """One row (ks, n_ref, n_served, p_value).  Runs a job that ends in one row."""
+    row = ks_two_sample(ref, served, value).first()
+    if not row["n_ref"] or not row["n_served"]:
+        raise DriftError("a sample is empty")
+    p = ks_p_value(row["ks"], row["n_ref"], row["n_served"])
+    return ref.sparkSession.createDataFrame([(row["ks"], row["n_ref"], row["n_served"], p)], "ks double, n_ref bigint, n_served bigint, p_value double")
+
+
 def band(psi: Column) -> Column:
     return F.when(psi >= SIGNIFICANT, "significant").when(psi >= MODERATE, "moderate").otherwise("none")
 
@@ -89,10 +124,45 @@ def report(ref: DataFrame, served: DataFrame, numeric: list[str], categorical: l
         raise DriftError("no shared column")
     if ref.isEmpty() or served.isEmpty():
         raise DriftError("a sample is empty")
+    numbers = [c for c in shared if c in numeric]
+    names = [c for c in shared if c not in numeric]
+    counts = []
+    if numbers:
+        # edges of all features in one call, bins of all features in one pass
+        edges = quantiles(ref, {c: F.col(c) for c in numbers}, [i / BINS for i in range(BINS + 1)]).first()
+        if empty := [c for c in numbers if edges[c] is None]:
+            raise DriftError(f"the reference is empty: {', '.join(empty)}")
+        inner = {c: sorted(set(edges[c]))[1:-1] for c in numbers}
+        at = {c: sum([(F.col(c) >= F.lit(e)).cast("int") for e in inner[c]], F.when(F.col(c).isNotNull(), 0)) for c in numbers}
+        grid = ref.sparkSession.createDataFrame([(c, str(i)) for c in numbers for i in range(len(inner[c]) + 1)], "feature string, bin string")
+        counts.append(_both(ref, served, {c: x.cast("string") for c, x in at.items()}, grid))
+    if names:
+        counts.append(_both(ref, served, {c: F.col(c).cast("string") for c in names}, None, declared or {}))
     out = None
-    for c in shared:
-        kind = "numeric" if c in numeric else "categorical"
-        one = psi_numeric(ref, served, c) if kind == "numeric" else psi_categorical(ref, served, c, (declared or {}).get(c, ()))
-        one = one.select(F.lit(c).alias("feature"), F.lit(kind).alias("kind"), "psi", band(F.col("psi")).alias("band"))
+    for kind, part in zip(["numeric"] * bool(numbers) + ["categorical"] * bool(names), counts, strict=True):
+        one = part.select("feature", F.lit(kind).alias("kind"), "psi", band(F.col("psi")).alias("band"))
         out = one if out is None else out.unionByName(one)
     return out.orderBy(F.desc("psi"), "feature")
+
+
+def _both(ref: DataFrame, served: DataFrame, bins: dict[str, Column], grid: DataFrame | None, declared: dict | None = None) -> DataFrame:
+    """(feature, psi) from one pass over both samples; bins are those of ``grid``, or the reference's levels and the declared ones."""
+
+    def long(df: DataFrame, r: int) -> DataFrame:
+        entries = F.array(*[F.struct(F.lit(c).alias("feature"), x.alias("bin")) for c, x in bins.items()])
+        return df.select(F.explode(entries).alias("e"), F.lit(r).alias("r")).select("e.feature", "e.bin", "r").where("bin IS NOT NULL")
+
+    counts = long(ref, 1).unionByName(long(served, 0)).groupBy("feature", "bin").agg(F.sum("r").alias("ref"), F.count_if(F.col("r") == 0).alias("served"))
+    if grid is not None:
+        counts = F.broadcast(grid).join(counts, ["feature", "bin"], "left").na.fill(0, ["ref", "served"])
+    else:
+        more = [(c, str(v)) for c, values in declared.items() if c in bins for v in values]
+        if more:
+            extra = ref.sparkSession.createDataFrame(more, "feature string, bin string").select("feature", "bin", F.lit(0).cast("bigint").alias("ref"), F.lit(0).cast("bigint").alias("served"), F.lit(True).alias("told"))
+            counts = counts.withColumn("told", F.lit(False)).unionByName(extra).groupBy("feature", "bin").agg(F.sum("ref").alias("ref"), F.sum("served").alias("served"), F.bool_or("told").alias("told"))
+            counts = counts.where("ref > 0 OR told").drop("told")
+        else:
+            counts = counts.where("ref > 0")
+    every = Window.partitionBy("feature")  # a row a bin
+    a, b = (F.greatest(F.coalesce(F.try_divide(F.col(c), F.sum(c).over(every)), F.lit(0.0)), F.lit(EPSILON)) for c in ("ref", "served"))
+    return counts.withColumns({"a": a, "b": b}).groupBy("feature").agg(F.sum((F.col("b") - F.col("a")) * F.log(F.col("b") / F.col("a"))).alias("psi"))

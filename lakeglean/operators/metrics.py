@@ -38,11 +38,11 @@ def check_scored(df: DataFrame, y: str = "y", s: str = "s") -> None:
 def curve(df: DataFrame, y: str = "y", s: str = "s", by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., s, pos, n, cp, cn, tp, tn, tot): counts at each distinct score and from the highest down."""
     g = df.groupBy(*by, F.col(s).alias("s")).agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.count("*").alias("n"), F.sum(F.pow(F.col(s) - F.col(y), F.lit(2.0))).alias("sq"))
-    extent = g.groupBy(*by).agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.sum("pos").alias("tp"), F.sum("n").alias("tot"))
+    # ranges of the distinct scores, bounded by their approximate quantiles: as even for skewed scores as for others
+    inner = [i / RANGES for i in range(1, RANGES)]
+    extent = g.groupBy(*by).agg(F.percentile_approx("s", inner, F.lit(1000)).alias("bounds"), F.sum("pos").alias("tp"), F.sum("n").alias("tot"))
     g = g.join(extent, list(by)) if by else g.crossJoin(F.broadcast(extent))  # one row
-    width = F.col("hi") - F.col("lo")
-    part = F.when(width > 0, F.floor((F.col("hi") - F.col("s")) / width * RANGES)).otherwise(F.lit(0))
-    g = g.withColumn("part", F.least(part, F.lit(RANGES - 1)).cast("int")).drop("lo", "hi")
+    g = g.withColumn("part", F.size(F.filter("bounds", lambda b: b > F.col("s")))).drop("bounds")
     sums = g.groupBy(*by, "part").agg(F.sum("pos").alias("bp"), F.sum("n").alias("bn"))
     earlier = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "part", F.coalesce(F.sum("bp").over(earlier), F.lit(0)).alias("op"), F.coalesce(F.sum("bn").over(earlier), F.lit(0)).alias("on_"))

@@ -94,6 +94,15 @@ def month_of(column: str) -> int:
     return int(found[1])
 
 
+def by_month(df: DataFrame, key: str) -> DataFrame:
+    """(key, column, month, value): a row for each column whose name ends with a month, of every row; an error without any."""
+    columns = [c for c in df.columns if c != key and re.search(r"\d$", c)]
+    if not columns:
+        raise ValueError("no column names a month")
+    long = df.unpivot(key, columns, "column", "value")
+    return long.select(key, "column", F.regexp_extract("column", r"(\d+)$", 1).cast("bigint").alias("month"), "value")
+
+
 def split_target(df: DataFrame, target: str, key: str) -> tuple[DataFrame, DataFrame]:
     """(features, labels): ``df`` without the target, and (key, target), which rows are matched by."""
     if missing := [c for c in (target, key) if c not in df.columns]:

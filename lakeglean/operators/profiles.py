@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import numeric as N
+from ..sources.shared import written
 from .ranking import quantiles, running
 
 AGE_EDGES = [20, 29, 39, 49, 120]
@@ -77,12 +78,30 @@ def average_ranks(df: DataFrame, value: str, name: str, many: bool = False) -> D
     return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
 
 
+#: Distinct values, of all columns together, whose ranks are broadcast.
+LEVELS = 1000
+
+
 def spearman(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(a, b, rho): Pearson correlation of average ranks of each pair of columns."""
+    """(a, b, rho): Pearson correlation of average ranks of each pair of columns.  Runs a job.
+
+    Values of all columns are counted in one pass.  Codes have few: their ranks become one broadcast row, and a
+    second pass correlates.  Beyond ``LEVELS`` values each column's ranks are made in ranges and joined.
+    """
     columns = sorted({c for p in pairs for c in p})
-    ranked = df.select(*columns)
-    for c in columns:
-        ranked = average_ranks(ranked, c, f"__r_{c}")
+    entries = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])
+    counts = df.select(F.explode(entries).alias("e")).select("e.c", "e.v").where("v IS NOT NULL").groupBy("c", "v").agg(F.count("*").alias("n"))
+    counts = written(counts, "levels")
+    if counts.count() > LEVELS:
+        ranked = df.select(*columns)
+        for c in columns:
+            ranked = average_ranks(ranked, c, f"__r_{c}", many=True)
+    else:
+        upto = F.sum("n").over(Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))  # the levels of a column
+        ranks = counts.select("c", F.struct("v", (upto - (F.col("n") - 1) / 2.0).alias("rank")).alias("e"))
+        maps = ranks.agg(*[F.map_from_entries(F.collect_list(F.when(F.col("c") == c, F.col("e")))).alias(f"__m_{i}") for i, c in enumerate(columns)])
+        ranked = df.select(*columns).crossJoin(F.broadcast(maps))  # one row
+        ranked = ranked.select(*[F.try_element_at(F.col(f"__m_{i}"), F.col(c).cast("double")).alias(f"__r_{c}") for i, c in enumerate(columns)])
     one = ranked.agg(*[F.corr(f"__r_{a}", f"__r_{b}").alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     parts = ", ".join(f"'{a}', '{b}', c{i}" for i, (a, b) in enumerate(pairs))
     return one.select(F.expr(f"stack({len(pairs)}, {parts}) AS (a, b, rho)"))

@@ -30,6 +30,13 @@ def known_documents(passages: DataFrame, documents: list[int]) -> DataFrame:
     return found
 
 
+def by_ids(fragments: DataFrame, ids: list[int], key: str = "id") -> DataFrame:
+    """A row for each asked id in any order: the fragment's columns, null where there is none, and ``found``."""
+    asked = fragments.sparkSession.createDataFrame([(int(i),) for i in sorted(set(ids))], f"{key} bigint")
+    held = fragments.where(F.col(key).isin(ids)).withColumn("found", F.lit(True))  # reaches the scan
+    return asked.join(held, key, "left").na.fill(False, ["found"])
+
+
 def build_index(chunks: DataFrame, path: str) -> None:
     """Write (id, document, shown, v) as the index at ``path``, in place of what is there.
 

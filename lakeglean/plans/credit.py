@@ -203,10 +203,10 @@ def error_fields(spark, d):
     return df.where(F.size("f") > 0).select("ID", F.array_join("f", ",").alias("fields"), F.array_join("r", ",").alias("reasons"))
 
 
-@query("month_columns", f"WITH {V.PANEL}, c AS (SELECT unnest(json_keys(to_json(p))) AS c FROM (SELECT * FROM panel LIMIT 1) p) SELECT c AS column, CAST(regexp_extract(c, '(\\d+)$', 1) AS BIGINT) AS month FROM c WHERE regexp_matches(c, '\\d$')")
+@query("month_columns", f"WITH {V.PANEL}, l AS (FROM panel UNPIVOT (value FOR name IN (COLUMNS('[0-9]$')))) SELECT name AS column, CAST(regexp_extract(name, '([0-9]+)$', 1) AS BIGINT) AS month, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM l GROUP BY name")
 def month_columns(spark, d):
-    rows = [(c, panel.month_of(c)) for c in V.panel(spark, d).columns if c[-1].isdigit()]
-    return spark.createDataFrame(rows, "column string, month bigint")
+    long = panel.by_month(V.panel(spark, d), "ID")
+    return long.groupBy("column", "month").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 @query("split_features", f"WITH {V.PANEL} SELECT * EXCLUDE (DEFAULT_PAYMENT_NEXT_MONTH) FROM panel")
@@ -373,21 +373,32 @@ def matrix(spark, d):
     return prep.matrix(df, keep=("ID",))
 
 
+_LEARNED = ["LIMIT_BAL", "AGE", *C.BILLS, *C.PAYMENTS, *(f"UTILIZATION_M{m}" for m in panel.BLOCK), *_R]
+
+
 @query(
     "learned_params",
     f"""WITH {V.PANEL_WIDE}, b AS (SELECT {', '.join(f'quantile_cont({c}, 0.995) AS b{i}' for i, c in enumerate(_R))} FROM wide),
-  c AS (SELECT {', '.join(f'CASE WHEN {c} > b{i} THEN b{i} ELSE {c} END AS {c}' for i, c in enumerate(_R))} FROM wide, b)
+  c AS (SELECT {', '.join(f'CASE WHEN {c} > b{_R.index(c)} THEN b{_R.index(c)} ELSE {c} END AS {c}' if c in _R else f'CAST({c} AS DOUBLE) AS {c}' for c in _LEARNED)} FROM wide, b),
+  m AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS m{i}' for i, c in enumerate(_LEARNED))} FROM c),
+  q AS (SELECT {', '.join(f'quantile_cont(coalesce({c}, m{i}), [0.25, 0.5, 0.75]) AS q{i}' for i, c in enumerate(_LEARNED))} FROM c, m)
   """
     + " UNION ALL ".join(f"SELECT 'clip' AS parameter, '{c}' AS column, round(b{i}, 6) AS value FROM b" for i, c in enumerate(_R))
     + " UNION ALL "
-    + " UNION ALL ".join(f"SELECT 'median' AS parameter, '{c}' AS column, round(quantile_cont({c}, 0.5), 6) AS value FROM c" for c in _R),
+    + " UNION ALL ".join(
+        f"SELECT 'median', '{c}', round(m{i}, 6) FROM m UNION ALL SELECT 'centre', '{c}', round(q{i}[2], 6) FROM q UNION ALL SELECT 'width', '{c}', round(CASE WHEN q{i}[3] = q{i}[1] THEN 1 ELSE q{i}[3] - q{i}[1] END, 6) FROM q"
+        for i, c in enumerate(_LEARNED)
+    ),
 )
 def learned_params(spark, d):
     _df, prep = prepared(spark, d)
-    return prep.report(spark).where(F.col("parameter").isin("clip", "median") & F.col("column").isin(_R)).withColumn("value", F.round("value", 6))
+    return prep.report(spark).where(F.col("column").isin(_LEARNED)).withColumn("value", F.round("value", 6))
+
+
+_CONSTANT = " UNION ALL ".join(f"SELECT '{c}' AS column FROM t HAVING min({c}) IS NOT DISTINCT FROM max({c}) AND count({c}) IN (0, count(*))" for c in [*C.CANONICAL, "one", "none", "holes"])
 
 
-@query("constant_columns", f"WITH {V.PANEL} SELECT 'one' AS column UNION ALL SELECT 'none' AS column")
+@query("constant_columns", f"WITH {V.PANEL}, t AS (SELECT *, 1 AS one, CAST(NULL AS INTEGER) AS none, CASE WHEN ID % 2 = 0 THEN 3 END AS holes FROM panel) {_CONSTANT}")
 def constant_columns(spark, d):
-    df = V.panel(spark, d).select("ID", "SEX", F.lit(1).alias("one"), F.lit(None).cast("int").alias("none"))
+    df = V.panel(spark, d).select("*", F.lit(1).alias("one"), F.lit(None).cast("int").alias("none"), F.when(F.col("ID") % 2 == 0, 3).alias("holes"))
     return fitting.constant_columns(df)

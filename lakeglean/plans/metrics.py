@@ -172,6 +172,20 @@ def ks_two_sample(spark, d):
     return rounded(D.ks_two_sample(*halves(spark, d), "value"))
 
 
+_X = "((sqrt(CAST(n_ref AS DOUBLE) * n_served / (n_ref + n_served)) + 0.12::DOUBLE + 0.11::DOUBLE / sqrt(CAST(n_ref AS DOUBLE) * n_served / (n_ref + n_served))) * ks)"
+
+
+@query(
+    "ks_test",
+    f"""WITH {_HALVES}, g AS (SELECT v, sum(r) AS a, sum(s) AS b FROM (SELECT value AS v, 1 AS r, 0 AS s FROM ref UNION ALL SELECT value, 0, 1 FROM served) GROUP BY v),
+  w AS (SELECT sum(a) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) / CAST(sum(a) OVER () AS DOUBLE) AS x, sum(b) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) / CAST(sum(b) OVER () AS DOUBLE) AS y, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM g),
+  k AS (SELECT max(abs(x - y)) AS ks, CAST(max(na) AS BIGINT) AS n_ref, CAST(max(nb) AS BIGINT) AS n_served FROM w)
+  SELECT round(ks, 6) AS ks, n_ref, n_served, round(CASE WHEN {_X} < 0.2 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, 2 * list_sum(list_transform(range(1, 101), lambda k: pow(-1, k - 1) * exp(-2.0::DOUBLE * k * k * {_X} * {_X}))))) END, 6) AS p_value FROM k""",
+)
+def ks_test(spark, d):
+    return rounded(D.ks_test(*halves(spark, d), "value"))
+
+
 def _banded(x: str) -> str:
     return f"CASE WHEN {x} >= 0.25 THEN 'significant' WHEN {x} >= 0.1 THEN 'moderate' ELSE 'none' END"
 

@@ -77,9 +77,9 @@ def vector_topk_filtered(spark, d):
     return rounded(ranked(spark, d, 5, [1, 4]))
 
 
-@query("fragment_lookup", "SELECT item_id, text FROM benchmark WHERE item_id IN (1, 5, 9)")
+@query("fragment_lookup", "SELECT i.item_id, text, text IS NOT NULL AS found FROM (SELECT unnest([1, 5, 9, -4])::BIGINT AS item_id) i LEFT JOIN benchmark b ON b.item_id = i.item_id")
 def fragment_lookup(spark, d):
-    return V.table(spark, d, "benchmark").where(F.col("item_id").isin(1, 5, 9)).select("item_id", "text")
+    return R.by_ids(V.table(spark, d, "benchmark").select("item_id", "text"), [9, 1, -4, 5, 5], "item_id").select("item_id", "text", "found")
 
 
 @query("first_rank", f"{_FIRST} SELECT * FROM first")

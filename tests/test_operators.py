@@ -436,3 +436,40 @@ def test_oversampling_holds_large_blocks_of_one_key(spark):
     assert counts[0] == 8298 and abs(counts[1] - 8298) <= 2
     made = got.where("k < 0").toPandas()
     assert made["a"].between(0, 49).all() and made["b"].between(0, 4099).all()
+
+
+@pytest.mark.parametrize(("n", "m"), [(1, 1), (2, 3), (4, 4), (3, 7), (8, 8), (8, 5)])
+def test_exact_p_values_equal_enumeration(n, m):
+    gaps = []
+    for chosen in itertools.combinations(range(n + m), n):
+        i = j = worst = 0
+        for k in range(n + m):
+            i, j = (i + 1, j) if k in chosen else (i, j + 1)
+            worst = max(worst, abs(i * m - j * n))
+        gaps.append(worst)
+    for gap in sorted(set(gaps)):
+        assert D.ks_p_value(gap / (n * m), n, m) == pytest.approx(sum(g >= gap for g in gaps) / len(gaps), abs=1e-12)
+
+
+def test_exact_and_asymptotic_p_values_meet():
+    for ks in (0.1, 0.2, 0.3):
+        assert D.ks_p_value(ks, 100, 100) == pytest.approx(D.ks_p_value(ks, 100, 100, exact_up_to=0), abs=0.03)
+    with pytest.raises(D.DriftError):
+        D.ks_p_value(0.5, 0, 3)
+
+
+def test_report_agrees_with_single_features(spark):
+    ref = spark.range(900).selectExpr("id % 97 AS a", "1.0 AS b", "CASE WHEN id % 5 > 0 THEN CAST(id % 3 AS STRING) END AS c", "id % 4 AS d")
+    served = spark.range(700).selectExpr("id % 61 + 9 AS a", "2.0 AS b", "CAST(id % 4 AS STRING) AS c", "id % 3 AS d")
+    got = {r["feature"]: r["psi"] for r in D.report(ref, served, ["a", "b"], ["c", "d"], {"d": [0, 1, 2, 3, 9]}).collect()}
+    single = {c: D.psi_numeric(ref, served, c).first()[0] for c in "ab"} | {"c": D.psi_categorical(ref, served, "c").first()[0], "d": D.psi_categorical(ref, served, "d", [0, 1, 2, 3, 9]).first()[0]}
+    assert got == pytest.approx(single)
+
+
+def test_spearman_of_few_and_many_values(spark, monkeypatch):
+    df = spark.range(400).selectExpr("CASE WHEN id % 7 > 0 THEN (id * 37) % 11 END AS a", "(id * 53) % 101 AS b", "id % 2 AS c")
+    pairs = [("a", "b"), ("b", "c"), ("a", "c")]
+    few = sorted(P.spearman(df, pairs).collect())
+    monkeypatch.setattr(P, "LEVELS", 5)
+    for x, y in zip(few, sorted(P.spearman(df, pairs).collect()), strict=True):
+        assert x["a"] == y["a"] and x["rho"] == pytest.approx(y["rho"])
