@@ -79,10 +79,10 @@ def propagate(rows: DataFrame, links: DataFrame, quota: int, shards: int = SHARD
         held = member.groupBy("hub", "shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).join(room, "shard")
         entry = F.struct((-F.col("n")).alias("order"), F.xxhash64("hub", "shard").alias("tie"), "shard", "n")
         homes = held.groupBy("hub").agg(
-            F.sum("bytes").alias("bytes"),
+            F.sum(F.when(F.lit(k % 2 == 1) | (F.col("room") >= F.col("bytes") / F.col("n")), F.col("bytes"))).alias("bytes"),  # what full shards hold needs no home
             F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("counts"),  # at most as many entries as shards
             # even rounds fill shards with room, odd ones swap between full shards too
-            F.sort_array(F.collect_list(F.when(F.lit(k % 2 == 1) | (F.col("room") > 0), entry))).alias("open"),
+            F.sort_array(F.collect_list(F.when(F.lit(k % 2 == 1) | (F.col("room") >= F.col("bytes") / F.col("n")), entry))).alias("open"),
         )
         need = F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(quota))).cast("int")
         homes = homes.select("hub", "counts", F.slice("open", F.lit(1), need).alias("homes"))
