@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 from . import boosting as boosts
 from . import metrics as M
+from . import profiles as P
 from . import resample as R
 from .neighbours import nearest_rows
 from .ranking import numbered
@@ -329,6 +330,51 @@ def blind(features: list[str], protected: list[str]) -> list[str]:
     return left
 
 
+def constant(y: str = "y", score: str = "s") -> Factory:
+    """A factory of the trivial model: every row gets the share of class 1 in the training rows."""
+
+    def fit(train: DataFrame):
+        rate = train.agg(F.avg(F.col(y).cast("double"))).first()[0]
+        return lambda df: df.withColumn(score, F.lit(rate).cast("double"))
+
+    return fit
+
+
+def arm_table(folds: DataFrame, floor: str, metric: str = "pr_auc") -> DataFrame:
+    """(arm, folds, mean, std, floor, lift, lift_in_stds) of ``compare_arms``: the distance from the arm called ``floor``.
+
+    ``std`` is that of the sample of folds; a lift is null in stds where folds don't differ or there is one.
+    """
+    arms = folds.where(F.col("metric") == metric).groupBy("arm").agg(F.count("value").alias("folds"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    least = arms.where(F.col("arm") == floor).select(F.col("mean").alias("floor"))
+    out = arms.where(F.col("arm") != floor).crossJoin(F.broadcast(least)).withColumn("lift", F.col("mean") - F.col("floor"))  # one row
+    return out.withColumn("lift_in_stds", F.try_divide("lift", "std"))
+
+
+def increments(arms: DataFrame, steps: dict[str, tuple[str, str]]) -> DataFrame:
+    """(step, added, spread, in_stds, resolved): what arm ``more`` adds to arm ``less`` of each (less, more).
+
+    A step is resolved if it is larger than the spread of ``less`` between folds.
+    """
+    pairs = arms.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in steps.items()], "step string, less string, more string")
+    less, more = arms.select(F.col("arm").alias("less"), F.col("mean").alias("before"), F.col("std").alias("spread")), arms.select(F.col("arm").alias("more"), F.col("mean").alias("after"))
+    out = pairs.join(less, "less").join(more, "more").withColumn("added", F.col("after") - F.col("before"))
+    return out.select("step", "added", "spread", F.try_divide("added", "spread").alias("in_stds"), (F.abs("added") > F.col("spread")).alias("resolved"))
+
+
+def blind_gaps(df: DataFrame, make: Callable[[list[str]], Factory], features: list[str], protected: dict[str, Column], threshold: float, y: str = "y", fold: str = "fold", least: int = P.MIN_GROUP) -> DataFrame:
+    """(arm, attribute, groups, gaps, impact ratio) out of fold, with all features and without those of ``protected`` columns.
+
+    Both arms share estimator and folds; ``protected`` maps each column to its groups.
+    """
+    out = None
+    for arm, kept in (("all", features), ("blind", blind(features, list(protected)))):
+        scored = out_of_fold(df, make(kept), fold)
+        one = scored.select(F.lit(arm).alias("arm"), y, (F.col("s") >= threshold).alias("refused"), *[g.cast("string").alias(c) for c, g in protected.items()])
+        out = one if out is None else out.unionByName(one)
+    return P.attribute_gaps(written(out, "blind"), {c: F.col(c) for c in protected}, y, "refused", ("arm",), least)
+
+
 def random_search(df: DataFrame, make: Callable[[dict], Factory], space: dict[str, list], trials: int, metric: str = "pr_auc", seed: int = R.SEED) -> DataFrame:
     """(trial, params, value): seeded draws from ``space``, each scored out of fold; the best first."""
     rng = np.random.default_rng(seed)

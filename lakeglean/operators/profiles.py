@@ -207,6 +207,27 @@ def disparity(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("supports_conclusion").agg(F.count("*").alias("groups"), *gaps, ratio.alias("impact_ratio")).where("groups >= 2")
 
 
+def attribute_gaps(df: DataFrame, attributes: dict[str, Column], y: str, refused: str, by: tuple[str, ...] = (), least: int = MIN_GROUP) -> DataFrame:
+    """(*by, attribute, groups, gaps): ``disparity`` of many attributes from one aggregation.
+
+    Each row counts once for each attribute, in partial sums before the shuffle.  A null is a group like any
+    other; an attribute with fewer than two groups of ``least`` rows has no row.
+    """
+    pairs = F.array(*[F.struct(F.lit(k).alias("attribute"), v.cast("string").alias("group")) for k, v in attributes.items()])
+    p, r = F.col("__y") == 1, F.col("__r")
+    rows = df.select(*by, F.col(y).alias("__y"), F.col(refused).cast("double").alias("__r"), F.explode(pairs).alias("a"))
+    groups = rows.groupBy(*by, F.col("a.attribute").alias("attribute"), F.col("a.group").alias("group")).agg(
+        F.count("*").alias("n"),
+        F.avg(r).alias("refusal_rate"),
+        F.avg(F.col("__y").cast("double")).alias("base_rate"),
+        F.avg(F.when(~p, r)).alias("fpr"),
+        F.avg(F.when(p, r)).alias("tpr"),
+    )
+    gaps = [(F.max(c) - F.min(c)).alias(f"{c}_gap") for c in ("refusal_rate", "base_rate", "fpr", "tpr")]
+    ratio = F.min("refusal_rate") / F.nullif(F.max("refusal_rate"), F.lit(0.0))
+    return groups.where(F.col("n") >= least).groupBy(*by, "attribute").agg(F.count("*").alias("groups"), *gaps, ratio.alias("impact_ratio")).where("groups >= 2")
+
+
 def age_band(age: Column) -> Column:
     return N.right_closed(age, AGE_EDGES, AGE_LABELS, "nan")
 

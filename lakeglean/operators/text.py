@@ -255,3 +255,32 @@ def integrity_warnings(synthetic: Column, notice: Column, integrity: Column) ->
 
 def citation(prefix: Column, path: Column) -> Column:
     return F.concat_ws(", ", prefix, F.array_join(path, " > "))
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def unit_passages(chunks: DataFrame, document: str, chunk: str, unit: str, texts: dict[str, Column]) -> DataFrame:
+    """(strategy, passage_id, document, units, text): one passage a chunk and strategy, which names the text to encode.
+
+    All strategies come from one scan; the cuts are the same, so their passages compare one to one.
+    """
+    made = F.array(*[F.struct(F.lit(k).alias("strategy"), v.alias("text")) for k, v in texts.items()])
+    out = chunks.select(F.col(document).alias("document"), F.col(chunk).cast("string").alias("passage_id"), F.array(F.col(unit)).alias("units"), F.explode(made).alias("p"))
+    return out.select("p.strategy", "passage_id", "document", "units", "p.text")
+
+
+def window_passages(docs: DataFrame, units: DataFrame, key: str, text: str, strategy: str, width: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+    """The same columns for windows of fixed length over flattened texts, with the units that each covers.
+
+    ``units`` has (key, unit, start, end) in the flattened text.  Windows that only hold white space have no
+    passage, but count in the numbers of the others.  A window covers a bounded number of units, its list
+    is bounded too; a window without a covered unit has an empty one.
+    """
+    windows = fixed_windows(docs, key, text, width, overlap)
+    covered = overlapping(windows, units, key).groupBy(key, F.col("ws").alias("start")).agg(F.array_sort(F.collect_list("unit")).alias("units"))
+    out = windows.join(covered, [key, "start"], "left")
+    name = F.concat(F.col(key).cast("string"), F.lit("::win"), F.format_string("%03d", (F.col("start") / (width - overlap)).cast("bigint")))
+    none = F.array().cast(units.select(F.array("unit").alias("u")).schema["u"].dataType)
+    return out.select(F.lit(strategy).alias("strategy"), name.alias("passage_id"), F.col(key).alias("document"), F.coalesce("units", none).alias("units"), stripped(F.col("chunk")).alias("text"))

@@ -12,12 +12,14 @@ from ..operators import contract as C
 from ..operators import metrics as M
 from ..operators import models as L
 from ..operators import panel
+from ..operators import profiles as P
 from ..operators import resample as R
 from ..operators import search as TPE
 from ..operators import stages as ST
 from ..operators.boosting import Settings
 from ..operators.search import Choice, Number
 from ..sources.shared import shared_dir, written
+from ..sources.store import ModelStore
 from . import views as V
 from .profiles import rounded
 from .registry import query
@@ -26,11 +28,11 @@ FEATURES = ["LIMIT_BAL", "AGE", "BILL_AMT2", "PAY_AMT2", "PAY_STATUS_2", "MAX_DE
 SEEDS = (42, 43)
 
 
-def table(spark, d):
-    """(ID, y, fold and scaled features) of the panel; the label follows the status and the limit, with noise."""
+def table(spark, d, more=()):
+    """(ID, y, fold, scaled features and ``more``) of the panel; the label follows the status and the limit, with noise."""
     p = panel.features(V.panel(spark, d))
     scale = {"LIMIT_BAL": 1e4, "AGE": 50.0, "BILL_AMT2": 1e5, "PAY_AMT2": 1e5}
-    cols = [(F.col(c).cast("double") / scale.get(c, 1.0)).alias(c) for c in FEATURES]
+    cols = [(F.col(c).cast("double") / scale.get(c, 1.0)).alias(c) for c in (*FEATURES, *more)]
     chance = F.when(F.col("PAY_STATUS_2") >= 0, 60).when(F.col("LIMIT_BAL") < 2000, 35).otherwise(10)
     label = ((F.col("ID") * 7919) % 100 < chance).cast("bigint")
     return written(R.stratified_folds(p.select("ID", label.alias("y"), *cols), "ID", "y"), "learning")
@@ -105,6 +107,46 @@ def stage_scores(spark, d):
     return L.positive(PipelineModel.load(path), p).select("ID", "s")
 
 
+@query("store_scores", None)
+def store_scores(spark, d):
+    """(ID, s) by the version that an alias of a model store names, after two were registered and the alias was moved."""
+    df, store = table(spark, d), ModelStore(spark, f"{shared_dir(spark)}/models-{uuid.uuid4().hex[:12]}")
+    for trees in (5, 10):
+        made = store.register("risk", L.forest(FEATURES, trees=trees, depth=4).fit(df), {"trees": str(trees)})
+        store.promote("risk", "live", made.version, expected=made.version - 1 or None)
+    return L.positive(store.load("risk", "live", "RandomForestClassificationModel", FEATURES), df).select("ID", "s")
+
+
+PROTECTED = ["SEX", "EDUCATION", "MARRIAGE"]
+DEMOGRAPHY = [*PROTECTED, "AGE", "LIMIT_BAL"]
+
+
+def _arms(spark, d):
+    """The trivial model and one estimator on three groups of columns, on the same folds."""
+    behaviour = [c for c in FEATURES if c not in DEMOGRAPHY]
+    groups = {"demography-only": DEMOGRAPHY, "behaviour-only": behaviour, "all-columns": [*DEMOGRAPHY, *behaviour]}
+    arms = {k: L.fitted(lambda c=c: L.logistic(c, iterations=15)) for k, c in groups.items()}
+    return L.arm_table(L.compare_arms(table(spark, d, PROTECTED), {"trivial": L.constant(), **arms}), "trivial")
+
+
+@query("hypothesis_arms", None)
+def hypothesis_arms(spark, d):
+    return _arms(spark, d)
+
+
+@query("hypothesis_increments", None)
+def hypothesis_increments(spark, d):
+    steps = {"demography adds to behaviour": ("behaviour-only", "all-columns"), "behaviour adds to demography": ("demography-only", "all-columns")}
+    return L.increments(written(_arms(spark, d), "arms"), steps)
+
+
+@query("blind_gaps", None)
+def blind_gaps(spark, d):
+    """Gaps between groups of protected attributes, by a model that sees them and by one that doesn't."""
+    groups = {c: F.col(c).cast("bigint") for c in PROTECTED} | {"AGE": P.age_band(F.round(F.col("AGE") * 50.0))}
+    return L.blind_gaps(table(spark, d, PROTECTED), lambda c: L.fitted(lambda: L.logistic(c, iterations=15)), [*PROTECTED, *FEATURES], groups, panel.THRESHOLD, least=20)
+
+
 SMOTED = {"LIMIT_BAL": 1e4, "AGE": 50.0, "BILL_AMT2": 1e5, "PAY_AMT2": 1e5, "PAY_STATUS_2": 1.0}
 _DISTANCE = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in SMOTED)
 

@@ -172,6 +172,20 @@ def fairness_disparity(spark, d):
     return rounded(P.disparity(_outcomes(spark, d)))
 
 
+_GAPS = ", ".join(f"round(max({c}) - min({c}), 6) AS {c}_gap" for c in ("refusal_rate", "base_rate", "fpr", "tpr"))
+
+
+@query(
+    "attribute_gaps",
+    f"""WITH {V.SCORED}, u AS (SELECT 'lang' AS attribute, lang AS v, y, s FROM scored UNION ALL SELECT 'source', source, y, s FROM scored UNION ALL SELECT 'parity', CAST(doc_id % 2 AS VARCHAR), y, s FROM scored),
+  g AS (SELECT attribute, v, count(*) AS n, avg(CAST(s >= 0.5 AS DOUBLE)) AS refusal_rate, avg(CAST(y AS DOUBLE)) AS base_rate, avg(CAST(s >= 0.5 AS DOUBLE)) FILTER (y <> 1) AS fpr, avg(CAST(s >= 0.5 AS DOUBLE)) FILTER (y = 1) AS tpr FROM u GROUP BY 1, 2)
+  SELECT attribute, count(*) AS groups, {_GAPS}, round(min(refusal_rate) / nullif(max(refusal_rate), 0), 6) AS impact_ratio FROM g WHERE n >= 10 GROUP BY attribute HAVING count(*) >= 2""",
+)
+def attribute_gaps(spark, d):
+    df = V.scored(spark, d).withColumn("refused", F.col("s") >= 0.5)
+    return rounded(P.attribute_gaps(df, {"lang": F.col("lang"), "source": F.col("source"), "parity": F.col("doc_id") % 2}, "y", "refused", least=10))
+
+
 @query(
     "age_band",
     f"""WITH {V.PANEL} SELECT CASE WHEN AGE > 20 AND AGE <= 29 THEN '21-29' WHEN AGE > 29 AND AGE <= 39 THEN '30-39' WHEN AGE > 39 AND AGE <= 49 THEN '40-49' WHEN AGE > 49 AND AGE <= 120 THEN '50-120' ELSE 'nan' END AS band,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings as S
 from ..operators import text as X
+from ..operators import tokens as TK
 from . import views as V
 from .registry import query
 
@@ -127,6 +128,41 @@ def interval_overlap_join(spark, d):
     return X.overlapping(w, u, "doc_id")
 
 
+_HEAD = "'Document ' || d.doc_id || chr(10) || 'Unit ' || (i - 1)"
+_LINE = "regexp_replace(ls[i], '^\\s+|\\s+$', '', 'g')"
+_NOTICE = "CASE WHEN lang <> 'en' THEN 'Not in English: ' || lang || '.' || chr(10) || chr(10) ELSE '' END"
+
+
+@query(
+    "passage_strategies",
+    f"""WITH {_UNITS}, d AS (SELECT doc_id, lang, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents),
+  c AS (SELECT d.doc_id, i - 1 AS unit, {_LINE} AS body, {_HEAD} || chr(10) || chr(10) AS head, {_NOTICE} AS notice FROM d WHERE length({_LINE}) > 0),
+  f AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents),
+  w AS (SELECT doc_id, ws, least(ws + 700, length(t)) AS we, substr(t, ws + 1, 700) AS chunk FROM (SELECT doc_id, t, unnest(range(0, greatest(length(t) - 105, 1), 595)) AS ws FROM f)),
+  o AS (SELECT w.doc_id, ws, string_agg(unit, ' ' ORDER BY unit) AS units FROM w JOIN s ON w.doc_id = s.doc_id
+    WHERE least(we, e) - greatest(ws, e - length) >= least(120, length) AND least(we, e) - greatest(ws, e - length) > 0 GROUP BY 1, 2),
+  p AS (SELECT unnest(['A', 'B', 'D']) AS strategy, doc_id || '#' || unit AS passage_id, doc_id AS document, CAST(unit AS VARCHAR) AS units, unnest([head || body, body, notice || body]) AS text FROM c
+    UNION ALL SELECT 'C', w.doc_id || '::win' || printf('%03d', w.ws // 595), w.doc_id, coalesce(units, ''), regexp_replace(chunk, '^\\s+|\\s+$', '', 'g') FROM w LEFT JOIN o ON w.doc_id = o.doc_id AND w.ws = o.ws
+      WHERE length(regexp_replace(chunk, '\\s+', '', 'g')) > 0)
+  SELECT strategy, passage_id, document, units, md5(text) AS digest FROM p""",
+)
+def passage_strategies(spark, d):
+    """Passages of four strategies: A line with its header, B the line, C fixed windows, D line with warnings only."""
+    lines = docs(spark, d).select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("unit", "line"))
+    chunks = lines.select("doc_id", F.col("unit").cast("bigint").alias("unit"), X.stripped(F.col("line")).alias("body"), F.format_string("Document %d\nUnit %d", "doc_id", "unit").alias("head"), F.when(F.col("lang") != "en", F.concat(F.lit("Not in English: "), "lang", F.lit("."))).alias("notice")).where("body <> ''")
+    chunks = chunks.withColumn("id", F.concat_ws("#", "doc_id", "unit"))
+    texts = {"A": F.concat_ws("\n\n", "head", "body"), "B": F.col("body"), "D": F.concat_ws("\n\n", "notice", "body")}
+    flat = docs(spark, d).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    spans = X.spans(_units(spark, d), "doc_id", "unit", F.col("length"))
+    out = X.unit_passages(chunks, "doc_id", "id", "unit", texts).unionByName(X.window_passages(flat, spans, "doc_id", "text", "C"))
+    return out.select("strategy", "passage_id", "document", F.array_join("units", " ").alias("units"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("token_counts", None)
+def token_counts(spark, d):
+    return TK.token_counts(docs(spark, d), "doc_id", "text", limit=512)
+
+
 def _norm(x: str) -> str:
     return f"trim(regexp_replace({_latin(x)}, '[^a-z0-9]+', ' ', 'g'))"
 
