@@ -16,7 +16,8 @@ plain content.
 * Every message becomes one line of canonical JSON: sorted keys, no spaces, no escapes but those that
   JSON and UTF-8 need (lone surrogates).
 
-Defined cases: null text is null content; null roles are written as null; calls without a result,
+Defined cases: rows with a null conversation link with each other, as one conversation; a dependency on a
+call that isn't there is none; null text is null content; null roles are written as null; calls without a result,
 results without a call, repeated identifiers, unknown tools and unreadable arguments are kept and
 named in ``problems``; identifiers that aren't strings count as their JSON; texts that aren't strict
 JSON (``NaN``, infinite or overlong numbers, too deep nesting) are plain content; repeated rows stay; extra
@@ -175,14 +176,14 @@ def _places(edges):
             if not missing[y]:
                 free.append(y)
     names = list(place)
-    return pd.DataFrame({"conv_id": edges["conv_id"].iloc[0], "ident": names, "place_turn": [place[x][0] for x in names], "place_level": [place[x][1] for x in names], "cyclic": [missing.get(x, 0) > 0 for x in names]})
+    return pd.DataFrame({"conv": edges["conv"].iloc[0], "ident": names, "place_turn": [place[x][0] for x in names], "place_level": [place[x][1] for x in names], "cyclic": [missing.get(x, 0) > 0 for x in names]})
 
 
 def _peeled(edges: DataFrame, scratch) -> DataFrame:
     """``_places`` by joins: each round takes the calls whose dependencies all have a place."""
-    node = ["conv_id", "ident"]
+    node = ["conv", "ident"]
     before = F.col("before").alias("ident")
-    nodes = edges.select(*node, F.col("call_turn").alias("turn")).unionByName(edges.select("conv_id", before, F.col("before_turn").alias("turn"))).distinct()
+    nodes = edges.select(*node, F.col("call_turn").alias("turn")).unionByName(edges.select("conv", before, F.col("before_turn").alias("turn"))).distinct()
     open_ = scratch.cut(nodes.join(edges.groupBy(*node).agg(F.count("*").alias("missing")), node, "left").select(*node, "turn", F.coalesce("missing", F.lit(0)).alias("missing"), F.struct(F.col("turn").alias("turn"), F.lit(0).alias("level")).alias("place")), "open-0")
     done, k = None, 0
     while True:
@@ -190,7 +191,7 @@ def _peeled(edges: DataFrame, scratch) -> DataFrame:
         if free.isEmpty():
             break
         done = free if done is None else done.unionByName(free)
-        freed = edges.join(free.select("conv_id", F.col("ident").alias("before"), "place"), ["conv_id", "before"])
+        freed = edges.join(free.select("conv", F.col("ident").alias("before"), "place"), ["conv", "before"])
         freed = freed.groupBy(*node).agg(F.count("*").alias("n"), F.max(F.struct(F.col("place.turn").alias("turn"), (F.col("place.level") + 1).alias("level"))).alias("behind"))
         rest = open_.where("missing > 0").join(freed, node, "left")
         k += 1
@@ -207,30 +208,30 @@ def formatted(messages: DataFrame, tools: dict = TOOLS, gather: int = GATHER) ->
     scratch = Scratch(messages.sparkSession, "chat")
     rows = messages.select(*(F.col(c).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))))
     schema = "conv_id long, turn long, kind string, ident string, after array<string>, body string, problems array<string>"
-    events = scratch.cut(rows.mapInArrow(_events(tools), schema), "events")
-    calls = events.where("kind = 'call' AND ident IS NOT NULL").groupBy("conv_id", "ident").agg(F.min("turn").alias("call_turn"), F.count("*").alias("call_n"))
-    results = events.where("kind = 'message' AND ident IS NOT NULL").groupBy("conv_id", "ident").agg(F.count("*").alias("result_n"))
-    linked = scratch.cut(calls.join(results, ["conv_id", "ident"], "full"), "linked")
+    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv")  # a null conversation is one of its own
+    events = scratch.cut(rows.mapInArrow(_events(tools), schema).select("*", conv), "events")
+    calls = events.where("kind = 'call' AND ident IS NOT NULL").groupBy("conv", "ident").agg(F.min("turn").alias("call_turn"), F.count("*").alias("call_n"))
+    results = events.where("kind = 'message' AND ident IS NOT NULL").groupBy("conv", "ident").agg(F.count("*").alias("result_n"))
+    linked = scratch.cut(calls.join(results, ["conv", "ident"], "full"), "linked")
 
     # longest chains of dependencies; the turn that an event has at least comes along
-    known = linked.where("call_turn IS NOT NULL").select("conv_id", "ident", "call_turn")
-    edges = events.where("kind = 'call' AND ident IS NOT NULL").select("conv_id", "ident", F.explode("after").alias("before")).distinct()
-    edges = edges.join(known.select("conv_id", F.col("ident").alias("before"), F.col("call_turn").alias("before_turn")), ["conv_id", "before"]).join(known, ["conv_id", "ident"])
+    known = linked.where("call_turn IS NOT NULL").select("conv", "ident", "call_turn")
+    edges = events.where("kind = 'call' AND ident IS NOT NULL").select("conv", "ident", F.explode("after").alias("before")).distinct()
+    edges = edges.join(known.select("conv", F.col("ident").alias("before"), F.col("call_turn").alias("before_turn")), ["conv", "before"]).join(known, ["conv", "ident"])
     edges = scratch.cut(edges, "edges")
-    large = scratch.cut(edges.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > gather).select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("large")), "large")
+    large = scratch.cut(edges.groupBy("conv").agg(F.count("*").alias("n")).where(F.col("n") > gather).select("conv"), "large")
     if large.isEmpty():
         few, many = edges, None
     else:
-        same = F.coalesce(F.col("conv_id").cast("string"), F.lit("")) == F.col("large")
-        few, many = edges.join(large, same, "left_anti"), scratch.cut(edges.join(large, same, "left_semi"), "many")
-    found = few.groupBy("conv_id").applyInPandas(_places, "conv_id long, ident string, place_turn long, place_level int, cyclic boolean")
+        few, many = edges.join(large, "conv", "left_anti"), scratch.cut(edges.join(large, "conv", "left_semi"), "many")
+    found = few.groupBy("conv").applyInPandas(_places, "conv string, ident string, place_turn long, place_level int, cyclic boolean")
     if many is not None:
         found = found.unionByName(_peeled(many, scratch))
-    place = known.join(found, ["conv_id", "ident"], "left")
-    place = place.select("conv_id", "ident", F.coalesce("place_turn", "call_turn").alias("order_turn"), F.coalesce("place_level", F.lit(0)).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+    place = known.join(found, ["conv", "ident"], "left")
+    place = place.select("conv", "ident", F.coalesce("place_turn", "call_turn").alias("order_turn"), F.coalesce("place_level", F.lit(0)).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
     # events without identifier join nothing, so they don't move at all
-    some = events.where("ident IS NOT NULL").join(linked, ["conv_id", "ident"], "left").join(place, ["conv_id", "ident"], "left")
+    some = events.where("ident IS NOT NULL").join(linked, ["conv", "ident"], "left").join(place, ["conv", "ident"], "left")
     out = some.unionByName(events.where("ident IS NULL"), allowMissingColumns=True)
     call = F.col("kind") == "call"
     notes = F.array_compact(
@@ -249,5 +250,35 @@ def formatted(messages: DataFrame, tools: dict = TOOLS, gather: int = GATHER) ->
     )
 
 
+def drawn(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text): ``messages`` with calls and results, for tables that have none.
+
+    Every assistant's text that isn't JSON becomes the content of a message with one call, and tool messages
+    answer it.  A hash of (conversation, turn) decides the tool, and where something is wrong: arguments,
+    tool, identifier, a call behind itself, and results that are missing, repeated or strangers.
+    """
+    h = F.crc32(F.concat_ws(":", "conv_id", "turn").cast("binary"))
+    rows = messages.select("conv_id", "turn", "role", "text").withColumn("h", h).withColumn("calls", F.coalesce((F.col("role") == "assistant") & ~F.coalesce(F.startswith(F.ltrim("text"), F.lit("{")), F.lit(False)), F.lit(False)))
+    own, earlier = F.concat(F.lit("c"), F.col("turn").cast("string")), F.concat(F.lit("c"), (F.col("turn") - 2).cast("string"))
+
+    def each(n: int, then, other):
+        return F.when(F.col("h") % n == 0, then).otherwise(other)
+
+    kind = F.floor(F.col("h") / 64) % 4
+    search = F.to_json(F.struct(own.alias("query"), each(5, F.lit("many"), F.lit(None)).alias("limit")))
+    lookup = F.to_json(F.struct(each(6, F.lit(None), F.col("conv_id")).alias("id"), F.array(F.lit("text"), F.col("role")).alias("fields")))
+    arguments = F.when(kind == 0, lookup).when(kind == 1, each(7, F.lit("{1 + "), F.to_json(F.struct(own.alias("expression"))))).otherwise(search)
+    name = F.when(kind == 0, F.lit("lookup")).when(kind == 1, F.lit("calculate")).otherwise(each(9, F.lit("fetch"), F.lit("search")))
+    ident = each(37, F.lit(None), each(31, earlier, own))
+    after = F.when(F.col("h") % 29 == 0, F.array(own)).when(F.col("turn") >= 2, F.array(earlier)).otherwise(F.array().cast("array<string>"))
+    call = F.struct(ident.alias("id"), name.alias("name"), arguments.alias("arguments"), after.alias("after"))
+    asked = F.struct(F.col("role"), F.when(F.col("calls"), F.to_json(F.struct(F.col("text").alias("content"), F.array(call).alias("tool_calls")))).otherwise(F.col("text")).alias("text"))
+    answer = F.struct(F.lit("tool").alias("role"), F.to_json(F.struct(each(17, F.concat(F.lit("x"), own), own).alias("tool_call_id"), F.concat(F.lit("result of "), own).alias("content"))).alias("text"))
+    times = F.when(~F.col("calls") | (F.col("h") % 11 == 0), 0).otherwise(each(13, F.lit(2), F.lit(1)))
+    out = rows.select("conv_id", "turn", F.explode(F.concat(F.array(asked), F.array_repeat(answer, times))).alias("m"))
+    return out.select("conv_id", "turn", "m.role", "m.text")
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """All conversations, with the calls and results of ``drawn``: the table itself has none."""
+    return formatted(drawn(spark.read.parquet(f"{sf_dir}/conversations.parquet")))

@@ -1,5 +1,6 @@
 import json
 import random
+from collections import Counter, defaultdict
 
 from lakeglean.llm import chat
 
@@ -80,3 +81,75 @@ def test_order_matches_brute_force_gathered_and_peeled(spark):
     acyclic = lambda rs: sorted(str(r) for r in rs if "cycle" not in r["problems"])
     assert acyclic(peeled) == acyclic(r for r in once if r["conv_id"] < 2)
     assert sorted((r["conv_id"], r["ident"]) for r in peeled if "cycle" in r["problems"]) == sorted((r["conv_id"], r["ident"]) for r in once if r["conv_id"] < 2 and "cycle" in r["problems"])
+
+
+def test_null_conversations_link_like_any_other(spark):
+    rows = [(turn, role, json.dumps(x)) for turn, role, x in [(0, "assistant", {"tool_calls": [call("a")]}), (1, "tool", {"tool_call_id": "a", "content": "r"}), (2, "assistant", {"tool_calls": [call("b", ["a"])]}), (3, "tool", {"tool_call_id": "b"})]]
+    got = chat.formatted(spark.createDataFrame([(c, *r) for c in (None, 1) for r in rows], SCHEMA))
+    by = defaultdict(list)
+    for r in got.collect():
+        by[r["conv_id"]].append((r["turn"], r["order_turn"], r["level"], r["kind"], r["ident"], r["json"], r["problems"]))
+    assert sorted(by[None], key=str) == sorted(by[1], key=str) and len(by[1]) == 6
+    assert all(p[-1] == [] for p in by[None]) and ("b", 1) in {(p[4], p[2]) for p in by[None]}
+    few = chat.formatted(spark.createDataFrame([(None, *r) for r in rows], SCHEMA), gather=0).collect()
+    assert sorted((r["turn"], r["level"], r["ident"] or "") for r in few) == sorted((p[0], p[2], p[4] or "") for p in by[None])
+
+
+def plainly(rows):
+    """Links, places and problems of drawn rows by dictionaries: (conv, turn, kind, ident, order_turn, level, problems)."""
+    events, calls, results, behind = [], defaultdict(list), Counter(), defaultdict(lambda: defaultdict(set))
+    for conv, turn, text in rows:
+        value = json.loads(text) if text and text.startswith("{") else {}
+        events.append((conv, turn, "message", value.get("tool_call_id"), []))
+        if (i := value.get("tool_call_id")) is not None:
+            results[conv, i] += 1
+        for c in value.get("tool_calls", []):
+            problems = []
+            try:
+                arguments = json.loads(c["arguments"])
+            except ValueError:
+                problems = ["arguments: not JSON"]
+            else:
+                if c["name"] == "fetch":
+                    problems = ["name: unknown tool fetch"]
+                elif c["name"] == "lookup" and "id" not in arguments:
+                    problems = ["$.id: missing"]
+                elif c["name"] == "search":
+                    problems = [f"$.{k}: {x}" for k, x, bad in (("query", "missing", "query" not in arguments), ("limit", "not integer", "limit" in arguments)) if bad]
+            i = c.get("id")
+            events.append((conv, turn, "call", i, problems if i is not None else [*problems, "id: missing"]))
+            if i is not None:
+                calls[conv, i].append(turn)
+                behind[conv][i] |= set(c["after"])
+    place = {}
+    for conv, after in behind.items():
+        turns = {i: min(calls[conv, i]) for i in after}
+        for i, p in brute_places(turns, {i: {b for b in bs if b in after} for i, bs in after.items()}).items():
+            place[conv, i] = p
+    out = []
+    for conv, turn, kind, i, problems in events:
+        key = (conv, i)
+        p = place.get(key) if i is not None else None
+        cyclic = i is not None and key in place and p is None
+        notes = [n for n, on in (
+            ("call without result", kind == "call" and not results[key]), ("result without call", kind == "message" and i is not None and key not in calls),
+            ("repeated call id", i is not None and len(calls.get(key, ())) > 1), ("repeated result", i is not None and results[key] > 1), ("cycle", cyclic)) if on]
+        level = None if cyclic else (p[1] if p else 0) + (kind == "message" and i is not None)
+        out.append((conv, turn, kind, i, None if cyclic else max(turn, p[0] if p else turn), level, [*problems, *notes]))
+    return out
+
+
+def test_drawn_calls_link_as_plain_dictionaries_say(spark):
+    rng = random.Random(8)
+    rows = [(c if c < 148 else None, t, ("user", "assistant")[t % 2], rng.choice(["plain", 'a "quoted"\nline', "", None, "ça"])) for c in range(149) for t in range(rng.randrange(1, 14))]
+    rows += [(7, 3, "assistant", json.dumps({"tool_calls": []})), (7, 4, None, "x"), (7, 0, "system", "s")]
+    table = chat.drawn(spark.createDataFrame([(*r, 0) for r in rows], SCHEMA + ", h int")).cache()
+    drawn = [(r["conv_id"], r["turn"], r["text"]) for r in table.collect()]
+    want = plainly(drawn)
+    got = [(r["conv_id"], r["turn"], r["kind"], r["ident"], *((None, None) if "cycle" in r["problems"] else (r["order_turn"], r["level"])), r["problems"]) for r in chat.formatted(table).collect()]
+    assert Counter(map(str, got)) == Counter(map(str, want))
+    kinds = {p for r in want for p in r[-1]}
+    assert kinds >= {"call without result", "result without call", "repeated call id", "repeated result", "cycle", "id: missing", "arguments: not JSON", "name: unknown tool fetch", "$.limit: not integer", "$.id: missing"}
+    # every message is there once, with its own content
+    content = Counter((c, t, json.loads(x).get("content") if x and x.startswith("{") else x) for c, t, x in drawn if not (x or "").startswith('{"tool_call_id"'))
+    assert content == Counter((c, t, None if x and x.startswith("{") else x) for c, t, _, x in rows)
