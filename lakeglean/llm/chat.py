@@ -158,12 +158,10 @@ def _events(tools: dict):
     return run
 
 
-def _places(edges):
-    """Dependencies of one conversation to the place (turn, level) of each call in them."""
-    import pandas as pd
-
+def _places(edges: list[tuple]) -> list[tuple]:
+    """Dependencies (ident, before, turns of both) of one conversation to (ident, turn, level, cyclic) of each call in them."""
     place, behind, missing = {}, {}, {}
-    for ident, before, turn, before_turn in zip(edges["ident"], edges["before"], edges["call_turn"], edges["before_turn"], strict=True):
+    for ident, before, turn, before_turn in edges:
         place[ident], place[before] = (turn, 0), (before_turn, 0)
         behind.setdefault(before, []).append(ident)
         missing[ident] = missing.get(ident, 0) + 1
@@ -175,8 +173,31 @@ def _places(edges):
             missing[y] -= 1
             if not missing[y]:
                 free.append(y)
-    names = list(place)
-    return pd.DataFrame({"conv": edges["conv"].iloc[0], "ident": names, "place_turn": [place[x][0] for x in names], "place_level": [place[x][1] for x in names], "cyclic": [missing.get(x, 0) > 0 for x in names]})
+    return [(x, *place[x], missing.get(x, 0) > 0) for x in place]
+
+
+_PLACES = pa.schema([("conv", pa.string()), ("ident", pa.string()), ("place_turn", pa.int64()), ("place_level", pa.int32()), ("cyclic", pa.bool_())])
+
+
+def _all_places(batches):
+    """``_places`` of conversations whose dependencies follow each other; one of them is held at a time."""
+
+    def out(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PLACES, strict=True)], schema=_PLACES)
+
+    now, edges, rows = None, [], []
+    for batch in batches:
+        for conv, *edge in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if conv != now:
+                rows += [(now, *r) for r in _places(edges)]
+                now, edges = conv, []
+                if len(rows) > 10_000:
+                    yield out(rows)
+                    rows = []
+            edges.append(edge)
+    rows += [(now, *r) for r in _places(edges)]
+    if rows:
+        yield out(rows)
 
 
 def _peeled(edges: DataFrame, scratch) -> DataFrame:
@@ -224,7 +245,8 @@ def formatted(messages: DataFrame, tools: dict = TOOLS, gather: int = GATHER) ->
         few, many = edges, None
     else:
         few, many = edges.join(large, "conv", "left_anti"), scratch.cut(edges.join(large, "conv", "left_semi"), "many")
-    found = few.groupBy("conv").applyInPandas(_places, "conv string, ident string, place_turn long, place_level int, cyclic boolean")
+    few = few.select("conv", "ident", "before", "call_turn", "before_turn").repartition("conv").sortWithinPartitions("conv")
+    found = few.mapInArrow(_all_places, "conv string, ident string, place_turn long, place_level int, cyclic boolean")
     if many is not None:
         found = found.unionByName(_peeled(many, scratch))
     place = known.join(found, ["conv", "ident"], "left")
