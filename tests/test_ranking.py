@@ -52,3 +52,34 @@ def test_quantiles_match_numpy(spark):
         assert np.allclose(by[g]["x"], np.quantile([r[1] for r in rows if r[0] == g and r[1] is not None], at), atol=1e-12)
     empty = quantiles(df.limit(0), {"x": F.col("x")}, at).collect()
     assert len(empty) == 1 and empty[0]["x"] is None
+
+
+def test_quantiles_hold_where_bounds_miss_them(spark, monkeypatch):
+    from lakeglean.operators import ranking
+
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=3000)
+    df = spark.createDataFrame([(i % 2, float(x) if i % 9 else None, float(i % 4 > 0)) for i, x in enumerate(values)], "g int, x double, y double").repartition(7)
+    at = [0.0, 0.1, 0.5, 0.93, 1.0]
+    held = [r["x"] for r in df.collect() if r["x"] is not None]
+    calls = []
+    plain = ranking._ends_by_ranges
+    monkeypatch.setattr(ranking, "_ends_by_ranges", lambda *a: calls.append(1) or plain(*a))
+    for accuracy, margin, missed in ((10_000, 4, 0), (20, 4, 0), (20, -1, 1)):
+        monkeypatch.setattr(ranking, "ACCURACY", accuracy)
+        monkeypatch.setattr(ranking, "MARGIN", margin)
+        got = ranking.quantiles(df, {"x": F.col("x"), "y": F.col("y")}, at).first()
+        assert np.allclose(got["x"], np.quantile(held, at), atol=1e-12) and got["y"][0] == 0.0 and got["y"][2] == 1.0
+        by = {r["g"]: r["x"] for r in ranking.quantiles(df, {"x": F.col("x")}, at, ("g",)).collect()}
+        for g in (0, 1):
+            assert np.allclose(by[g], np.quantile([r["x"] for r in df.collect() if r["g"] == g and r["x"] is not None], at), atol=1e-12)
+        assert bool(calls) == bool(missed)
+
+
+def test_approximate_bounds_are_not_made_twice(spark):
+    """A second run of a sketch may give other bounds, so none may stand in a plan that reads its ranges in two places."""
+    from lakeglean.operators.ranking import quantiles
+
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"), F.lit(1).alias("n"))
+    for out in (quantiles(df, {"v": F.col("v")}, [0.5]), running(df, "v", {"s": "n"})):
+        assert "percentile_approx" not in out._jdf.queryExecution().toString()
