@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cap
+from ..sources.shared import written
 from . import panel
 from .ranking import quantiles
 
@@ -35,11 +36,11 @@ def recode(df: DataFrame, column: str = "EDUCATION", collapse: dict[int, int] |
     return df.replace(collapse, subset=[column])
 
 
-def clip_bounds(df: DataFrame, columns=CLIPPED, percent: float = CLIP_AT) -> DataFrame:
-    """One row: the bound of each column; infinity where nothing is known."""
+def clip_bounds(df: DataFrame, columns=CLIPPED, percent: float = CLIP_AT, fixed: bool = False) -> DataFrame:
+    """One row: the bound of each column; infinity where nothing is known.  ``fixed``: ``df`` is a written table."""
     if not 0 <= percent <= 100:
         raise ValueError("a percentile lies between 0 and 100")
-    q = quantiles(df, {c: F.col(c) for c in columns}, [percent / 100])
+    q = quantiles(df, {c: F.col(c) for c in columns}, [percent / 100], fixed=fixed)
     return q.select(*[F.coalesce(F.col(c)[0], F.lit(float("inf"))).alias(c) for c in columns])
 
 
@@ -59,16 +60,17 @@ class Preparation:
 
     @classmethod
     def fit(cls, df: DataFrame, clipped=CLIPPED, categorical=CATEGORICAL, numeric=NUMERIC) -> Preparation:
-        """One row at a time: bounds, levels, medians of clipped values, scales of imputed ones."""
+        """One row at a time: bounds, levels, medians of clipped values, scales of imputed ones.  Columns are written once."""
         out = cls()
-        out.bounds = clip_bounds(df, clipped).first().asDict()
+        df = written(df.select(*dict.fromkeys([*clipped, *categorical, *numeric])), "preparation")
+        out.bounds = clip_bounds(df, clipped, fixed=True).first().asDict()
         levels = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in categorical]).first()
         out.levels = {c: list(levels[c]) for c in categorical}
         cut = clip(df, out.bounds)
-        second = quantiles(cut, {c: F.col(c) for c in numeric}, [0.5]).first()
+        second = quantiles(cut, {c: F.col(c) for c in numeric}, [0.5], fixed=True).first()
         out.medians = {c: second[c] and second[c][0] for c in numeric}
         filled = cut.select(*[F.coalesce(F.col(c).cast("double"), F.lit(out.medians[c])).alias(c) for c in numeric])
-        third = quantiles(filled, {c: F.col(c) for c in numeric}, [0.25, 0.5, 0.75]).first()
+        third = quantiles(filled, {c: F.col(c) for c in numeric}, [0.25, 0.5, 0.75], fixed=True).first()
         for c in numeric:
             low, mid, high = third[c] or (0.0, 0.0, 0.0)
             out.centres[c], out.widths[c] = mid, (high - low) or 1.0
