@@ -87,3 +87,28 @@ def test_token_counts_are_of_whole_texts(spark):
         assert got[i]["tokens"] == (None if ids is None else len(ids)) and (ids is None or plain.decode(ids) == t)
     assert got[6]["over"] and got[6]["tokens"] >= 200_000 and not got[3]["over"] and got[0]["over"] is None and got[5]["tokens"] > 3
     assert tokens.token_counts(df.where("false"), "id", "text").count() == 0
+
+
+def test_words_are_counted_like_whole_texts(monkeypatch):
+    path = f"{tokens.FOLDER}/{tokens.BYTE_BPE}"
+    if not os.path.exists(path):
+        pytest.skip("no tokenizer")
+    rng = random.Random(7)
+    pieces = ["a", "B", "don't", "1234", " ", "  ", "\n", "\n ", "\t", "\r\n", "\u00a0", "\u2003", "\x1c", "\x85", "\u3000", "\u200b", ".", "--", "_", "'s", "é", "e\u0301", "中文", "😀", "<|endoftext|>", "x" * 200, "http://a.b/c?d=e", " the", " 7th"]
+    texts = ["", " ", " a", "a ", *("".join(rng.choices(pieces, k=rng.randrange(1, 40))) for _ in range(3000))]
+    whole = tokens.tokenizer(path)
+    for known in (tokens.KNOWN, 5):
+        monkeypatch.setattr(tokens, "KNOWN", known)
+        count = tokens.counter(path)
+        assert [count(t) for t in texts] == [len(whole.encode(t, add_special_tokens=False)) for t in texts]
+    assert tokens.words(path)(" a b\n c  d") == ["", " a", " b\n", " c ", " d"]
+
+
+def test_units_leave_in_small_batches(spark, monkeypatch):
+    made = [(i, "\n".join(["before", "## One", "x" * 100, "## Two", f"y{i}", "", "## Empty"])) for i in range(50)] + [(90, None), (91, ""), (92, "## only")]
+    df = spark.createDataFrame(made, "id bigint, text string").coalesce(1)
+    monkeypatch.setattr(X, "BATCH", 500)
+    out = X.segments(df, "id", "text")
+    got = {(r["id"], r["unit"]): (r["heading"], r["body"]) for r in out.collect()}
+    assert got == {(i, u): x for i in range(50) for u, x in enumerate([("", "before"), ("One", "x" * 100), ("Two", f"y{i}\n")])} | {(90, 0): ("", ""), (91, 0): ("", "")}
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
