@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +13,8 @@ from pyspark.sql.window import Window
 from ..functions.strings import slug
 
 MAX_CHARS, MIN_LIMIT = 1200, 200
+#: Characters of units that a task holds before they leave.
+BATCH = 4 << 20
 WINDOW, OVERLAP, UNIT_FLOOR = 700, 105, 120
 #: The keys of a corpus file's front matter.
 REQUIRED = ("document_id", "title", "issuer", "citation_prefix", "language", "is_synthetic", "retrieved_at")
@@ -130,13 +133,19 @@ def flat_metadata(values: Column) -> Column:
 def segments(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, unit, heading, body): lines between heading lines, for documents without front matter.
 
-    A document's lines meet in one task; the row number window is by document.
+    A document's lines meet in one task, a document at a time; units leave in batches of about ``BATCH`` characters.
     """
 
-    def run(parts):
-        for pdf in parts:
-            rows = []
-            for k, t in zip(pdf[key], pdf[text], strict=True):
+    def run(batches):
+        schema = pa.schema([(key, pa.int64()), ("unit", pa.int64()), ("heading", pa.string()), ("body", pa.string())])
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+        for b in batches:
+            rows, held = [], 0
+            for k, t in zip(b.column(0), b.column(1), strict=True):
+                k, t, first = k.as_py(), t.as_py(), len(rows)
                 head, buffer, n = "", [], 0
                 for line in (t or "").split("\n"):
                     m = re.match(r"\s*#+( (.*)|$)", line)
@@ -149,9 +158,14 @@ def segments(docs: DataFrame, key: str, text: str) -> DataFrame:
                         buffer.append(line)
                 if buffer:
                     rows.append((k, n, head, "\n".join(buffer)))
-            yield pd.DataFrame(rows, columns=[key, "unit", "heading", "body"])
-
-    return docs.select(F.col(key).cast("bigint").alias(key), text).mapInPandas(run, f"{key} bigint, unit bigint, heading string, body string")
+                held += sum(len(r[2]) + len(r[3]) + 50 for r in rows[first:])
+                if held > BATCH:
+                    yield batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch(rows)
+
+    return docs.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string")).mapInArrow(run, f"{key} bigint, unit bigint, heading string, body string")
 
 
 def _split_long(paragraph: str, most: int) -> list[str]:
