@@ -24,6 +24,8 @@ from ..sources.shared import written
 BLOCK, MOST_CELLS, FIT_ROWS = 2048, 4096, 64
 #: Most bytes of pivots that are broadcast.
 PIVOT_BYTES = 64 << 20
+#: Most distances to pivots that a task holds at once.
+DISTANCES = 1 << 20
 
 
 def doubles(v: Column) -> Column:
@@ -49,6 +51,12 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
 
 
+def slices(n: int, pivots: int) -> Iterator[slice]:
+    """Slices of ``n`` rows whose distances to all pivots are at most ``DISTANCES``, or one row."""
+    step = max(1, DISTANCES // max(1, pivots))
+    return (slice(i, min(i + step, n)) for i in range(0, n, step))
+
+
 def in_cells(df: DataFrame, v: str, pivots: np.ndarray, visits: int = 1) -> DataFrame:
     """``df`` once for each of the ``visits`` nearest pivots, with ``cell``, ``order`` (0: the nearest) and ``reach`` (the distance)."""
     shared = df.sparkSession.sparkContext.broadcast(pivots)
@@ -59,9 +67,12 @@ def in_cells(df: DataFrame, v: str, pivots: np.ndarray, visits: int = 1) -> Data
             if not len(part):
                 yield pd.Series([], dtype=object)
                 continue
-            d = squared(np.stack(part.to_numpy()), shared.value)
-            near = np.argsort(d, axis=1, kind="stable")[:, :visits]
-            yield pd.Series([[(int(c), float(math.sqrt(d[i, c]))) for c in row] for i, row in enumerate(near)])
+            found = []
+            for s in slices(len(part), len(shared.value)):
+                d = squared(np.stack(part.iloc[s].to_numpy()), shared.value)
+                near = np.argsort(d, axis=1, kind="stable")[:, :visits]
+                found += [[(int(c), float(math.sqrt(d[i, c]))) for c in row] for i, row in enumerate(near)]
+            yield pd.Series(found)
 
     nearest = F.pandas_udf(run, "array<struct<cell:int,reach:double>>")
     found = df.select("*", F.posexplode(nearest(doubles(F.col(v)))).alias("order", "__at"))
@@ -153,9 +164,7 @@ def nearest_rows(points: DataFrame, key: str, columns: list[str], k: int, pivots
 
     def visits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centres, reach, between = shared.value
-        for part in parts:
-            if not len(part):
-                continue
+        for part in (whole.iloc[s] for whole in parts for s in slices(len(whole), len(centres))):
             x, cell = np.stack(part["v"].to_numpy()), part["cell"].to_numpy()
             bound = part["bound"].fillna(np.inf).to_numpy()
             d = np.sqrt(squared(x, centres))

@@ -101,3 +101,17 @@ def test_products_in_small_steps(spark, monkeypatch):
     whole = RT.top_k(rows, rows, 4, dims=16).collect()
     monkeypatch.setattr(RT, "PRODUCTS", 900)
     assert sorted(RT.top_k(rows, rows, 4, dims=16).collect()) == sorted(whole) and len(whole) == 1600
+
+
+def test_distances_to_pivots_are_held_in_slices(spark, monkeypatch):
+    from lakeglean.operators import neighbours as N
+
+    monkeypatch.setattr(N, "DISTANCES", 64)
+    assert [s.stop - s.start for s in N.slices(20, 9)] == [7, 7, 6] and [s.stop for s in N.slices(2, 100)] == [1, 2]
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 2))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "k bigint, a double, b double")
+    got = {(r["key"], r["rank"]): r["other"] for r in N.nearest_rows(df, "k", ["a", "b"], 3, pivots=9).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, j + 1): int(o) for i in range(60) for j, o in enumerate(np.argsort(d[i], kind="stable")[:3])}
