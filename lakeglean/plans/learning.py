@@ -100,7 +100,7 @@ def nested_search(spark, d):
 @query("stage_scores", None)
 def stage_scores(spark, d):
     """(ID, s) by a pipeline of panel features, matrix and forest that was saved and loaded again."""
-    p = V.panel(spark, d)
+    p = written(V.panel(spark, d), "panel")
     stages = [ST.PanelFeatures(), ST.MatrixEstimator(), RandomForestClassifier(labelCol=C.TARGET, numTrees=10, maxDepth=4, seed=R.SEED)]
     path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex[:12]}"
     Pipeline(stages=stages).fit(p).write().save(path)
