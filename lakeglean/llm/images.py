@@ -12,10 +12,10 @@ grow with the number of points (1.5 times its logarithm in bits), so that chance
 few in a large table as in a small one.  The number of tables grows with the keys, so that a point with
 one bit in ten changed is found as often at any width (``FOUND``, by the binomial law); a copy has
 several times the points that the consensus needs.
-They are looked up a few at a time: only keys that a fixed-size Bloom filter of the queries' keys lets
-through leave a task, and only pairs within the Hamming threshold are written.  Keys whose bits are
-nearly all equal are not looked up: they are flat patches, and a copy has others (``flat`` = 0 looks
-up all).
+A slice of the queries meets a block of the images in one task (a cogroup), so both are bounded, and matches that chance
+makes, whose number grows with queries times images, never leave it: they are counted by pair of classes, checked for a
+transform there, and only links are written.  A task whose matches grow too many halves its block, or its slice.  Keys whose bits are
+nearly all equal are not looked up: they are flat patches, and a copy has others (``flat`` = 0 looks up all).
 
 Scales are a quarter apart, so a resized copy has its corners at a scale that is at most an eighth off.
 The number of keypoints follows the image's area, so a small crop of a large image keeps its share;
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import struct
 from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,14 @@ FOUND = 0.75
 FLAT = 3
 #: Corners that are described at a time.
 CHUNK = 4096
+#: Pixels of images of one size that are looked through at a time.
+STACK = 1 << 17
+#: Points of a slice of the queries and of a block of the images; pairs of points that are looked at together; pairs
+#: of near points from which a task halves its block or slice.
+SLICE = 1 << 19
+BLOCK = 1 << 20
+BATCH = 1 << 18
+MATCHES = 1 << 22
 _RNG = np.random.Generator(np.random.PCG64(9))
 #: Each test compares a place with one close by: such tests depend on one another the least.
 _PLACES = _RNG.uniform(-7, 7, (256, 2))
@@ -81,21 +90,22 @@ def resize(img: np.ndarray, h: int, w: int) -> np.ndarray:
 
 
 def _blur(img: np.ndarray) -> np.ndarray:
+    """Over the last two axes."""
     k = np.array([1, 4, 6, 4, 1], np.float32) / 16
-    p = np.pad(img, 2, mode="edge")
-    rows = sum(k[i] * p[i : i + img.shape[0]] for i in range(5))
-    return sum(k[i] * rows[:, i : i + img.shape[1]] for i in range(5))
+    p = np.pad(img, [(0, 0)] * (img.ndim - 2) + [(2, 2)] * 2, mode="edge")
+    rows = sum(k[i] * p[..., i : i + img.shape[-2], :] for i in range(5))
+    return sum(k[i] * rows[..., i : i + img.shape[-1]] for i in range(5))
 
 
 _DISC = np.stack([m[np.hypot(*np.mgrid[-_REACH + 1 : _REACH, -_REACH + 1 : _REACH]) < _REACH] for m in np.mgrid[-_REACH + 1 : _REACH, -_REACH + 1 : _REACH]])
 
 
-def _patches(im: np.ndarray, soft: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Orientation and packed tests of the patches around (xs, ys)."""
-    (h, w), (yy, xx) = im.shape, _DISC
-    patch = im[ys[:, None] + yy, xs[:, None] + xx]
+def _patches(im: np.ndarray, soft: np.ndarray, of: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Orientation and packed tests of the patches around (xs, ys) in the images ``of`` of a stack."""
+    (_, h, w), (yy, xx) = im.shape, _DISC
+    patch = im[of[:, None], ys[:, None] + yy, xs[:, None] + xx]
     patch = patch - patch.mean(1, keepdims=True)
-    my, mx = patch @ yy.astype(np.float32), patch @ xx.astype(np.float32)
+    my, mx = (patch * yy.astype(np.float32)).sum(1), (patch * xx.astype(np.float32)).sum(1)  # not by BLAS, whose rounding depends on the other patches
     angle = np.arctan2(my, mx)
     # tests look at what is left without the patch's slope, which the orientation tells already
     sx, sy = (mx / (xx * xx).sum())[:, None], (my / (yy * yy).sum())[:, None]
@@ -104,104 +114,119 @@ def _patches(im: np.ndarray, soft: np.ndarray, xs: np.ndarray, ys: np.ndarray) -
     def at(px, py):
         dx, dy = np.rint(px * cos - py * sin).astype(int), np.rint(px * sin + py * cos).astype(int)
         x, y = np.clip(xs[:, None] + dx, 0, w - 1), np.clip(ys[:, None] + dy, 0, h - 1)
-        return soft[y, x] - sx * (x - xs[:, None]) - sy * (y - ys[:, None])
+        return soft[of[:, None], y, x] - sx * (x - xs[:, None]) - sy * (y - ys[:, None])
 
     return angle, np.packbits(at(_PAIRS[:, 0], _PAIRS[:, 1]) < at(_PAIRS[:, 2], _PAIRS[:, 3]), axis=1)
 
 
 def describe(img: np.ndarray | None, keypoints: int = KEYPOINTS) -> list[tuple[float, float, float, float, bytes]]:
     """(x, y, scale, angle, descriptor of 32 bytes) of the strongest corners, in image pixels."""
-    found = []
-    if img is None or min(img.shape) < 2 * _REACH + 4:
-        return []
-    most = max(keypoints, keypoints * img.size // 72**2)
+    ((places, bits),) = describe_all([img], keypoints)
+    return [(*p, bytes(b)) for p, b in zip(places.tolist(), bits, strict=True)]
+
+
+def describe_all(imgs: list[np.ndarray | None], keypoints: int = KEYPOINTS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``describe`` of each image, as places (n, 4) and bits (n, 32); images of one size are described together."""
+    out = [(np.zeros((0, 4)), np.zeros((0, 32), np.uint8))] * len(imgs)
+    sizes: dict[tuple[int, ...], list[int]] = {}
+    for i, img in enumerate(imgs):
+        if img is not None and min(img.shape) >= 2 * _REACH + 4:
+            sizes.setdefault(img.shape, []).append(i)
+    for (h, w), mine in sizes.items():
+        step = max(1, STACK // (h * w))
+        for lo in range(0, len(mine), step):
+            for i, found in zip(mine[lo : lo + step], _describe_stack(np.stack([imgs[i] for i in mine[lo : lo + step]]), keypoints), strict=True):
+                out[i] = found
+    return out
+
+
+def _describe_stack(imgs: np.ndarray, keypoints: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and bits of the strongest corners of each image of a stack."""
+    n, height, width = imgs.shape
+    most = max(keypoints, keypoints * height * width // 72**2)
+    levels, found = [], []
     for scale in SCALES:
-        h, w = int(img.shape[0] / scale), int(img.shape[1] / scale)
+        h, w = int(height / scale), int(width / scale)
         if min(h, w) < 2 * _REACH + 4:
             break
-        im = _blur(img if scale == 1 else resize(img, h, w))
-        gy, gx = np.gradient(im)
+        im = _blur(imgs if scale == 1 else np.stack([resize(img, h, w) for img in imgs]))
+        gy, gx = np.gradient(im, axis=(1, 2))
         a, b, c = _blur(gx * gx), _blur(gy * gy), _blur(gx * gy)
         response = a * b - c * c - 0.05 * (a + b) ** 2
-        inner = response[_REACH : h - _REACH, _REACH : w - _REACH]
-        p = np.pad(inner, 1, mode="constant", constant_values=-np.inf)
-        peak = np.ones(inner.shape, bool)
+        inner = response[:, _REACH : h - _REACH, _REACH : w - _REACH]
+        p = np.pad(inner, [(0, 0), (1, 1), (1, 1)], mode="constant", constant_values=-np.inf)
+        peak = inner > 1e-3 * np.maximum(1.0, inner.max(axis=(1, 2), keepdims=True))
         for dy in (0, 1, 2):
             for dx in (0, 1, 2):
                 if (dy, dx) != (1, 1):
-                    peak &= inner >= p[dy : dy + inner.shape[0], dx : dx + inner.shape[1]]
-        peak &= inner > 1e-3 * max(1.0, float(inner.max(initial=0)))
-        ys, xs = np.nonzero(peak)
-        if not len(ys):
-            continue
-        best = np.argsort(-inner[ys, xs], kind="stable")[:most]
-        ys, xs, strength = ys[best] + _REACH, xs[best] + _REACH, inner[ys[best], xs[best]]
-        soft = _blur(im)
-        fx, fy = img.shape[1] / w, img.shape[0] / h
-        for i in range(0, len(xs), CHUNK):
-            x, y = xs[i : i + CHUNK], ys[i : i + CHUNK]
-            angle, packed = _patches(im, soft, x, y)
-            found += zip(strength[i : i + CHUNK].tolist(), (x * fx).tolist(), (y * fy).tolist(), [scale] * len(x), angle.tolist(), map(bytes, packed), strict=True)
-    found.sort(key=lambda f: (-f[0], f[1], f[2], f[3]))
-    return [f[1:] for f in found[:most]]
+                    peak &= inner >= p[:, dy : dy + inner.shape[1], dx : dx + inner.shape[2]]
+        of, ys, xs = np.nonzero(peak)
+        strength = inner[of, ys, xs]
+        best = _strongest(of, np.lexsort((-strength, of)), most)
+        of, ys, xs, strength = of[best], ys[best] + _REACH, xs[best] + _REACH, strength[best]
+        found.append(np.stack([of, strength, xs * (width / w), ys * (height / h), np.full(len(of), scale), xs, ys, np.full(len(of), len(levels))]).astype(float))
+        levels.append(im)
+    of, strength, x, y, scale, px, py, level = np.concatenate(found, axis=1)
+    best = _strongest(of, np.lexsort((scale, y, x, -strength, of)), most)
+    x, y, scale = x[best], y[best], scale[best]
+    of, px, py, level = (v[best].astype(int) for v in (of, px, py, level))
+    angle, packed = np.zeros(len(best)), np.zeros((len(best), 32), np.uint8)
+    for i, im in enumerate(levels):  # only the corners that stay are described
+        mine = np.flatnonzero(level == i)
+        soft = _blur(im) if len(mine) else im
+        for lo in range(0, len(mine), CHUNK):
+            here = mine[lo : lo + CHUNK]
+            angle[here], packed[here] = _patches(im, soft, of[here], px[here], py[here])
+    places, bounds = np.stack([x, y, scale, angle], axis=1), np.searchsorted(of, np.arange(n + 1))
+    return [(places[lo:hi], packed[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _strongest(of: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """The first ``most`` of each image in an order by image."""
+    sorted_of = of[order]
+    return order[np.arange(len(order)) - np.searchsorted(sorted_of, sorted_of) < most]
 
 
 def _described(keypoints: int):
-    """(id, image) to (id, sha, keypoints)."""
+    """(id, image) to (id, sha, bits, places): 32 bytes of bits a keypoint, and four floats (x, y, scale, angle)."""
+    import hashlib
 
     def run(batches):
-        yield from _describe_all(batches, keypoints)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                raws = part.column(1).to_pylist()
+                shas = [hashlib.sha256(raw or b"").hexdigest() for raw in raws]
+                each = dict(zip(shas, raws, strict=True))
+                known = {sha: (bits.tobytes(), places.astype("<f4").tobytes()) for sha, (places, bits) in zip(each, describe_all([decode(raw) for raw in each.values()], keypoints), strict=True)}
+                bits, places = ([known[sha][k] for sha in shas] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shas), pa.array(bits, pa.binary()), pa.array(places, pa.binary())], names=["id", "sha", "bits", "places"])
 
     return run
 
 
-def _describe_all(batches, keypoints: int):
-    import hashlib
-
-    kind = pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32()), ("scale", pa.float32()), ("angle", pa.float32()), ("bits", pa.binary())]))
-    for batch in batches:
-        known: dict[bytes, list] = {}
-        shas, points = [], []
-        for raw in batch.column(1).to_pylist():
-            sha = hashlib.sha256(raw or b"").digest()
-            if sha not in known:
-                known[sha] = [dict(zip(("x", "y", "scale", "angle", "bits"), p, strict=True)) for p in describe(decode(raw), keypoints)]
-            shas.append(sha.hex())
-            points.append(known[sha])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas), pa.array(points, kind)], names=["id", "sha", "points"])
-
-
 def consensus(ax, ay, a_scale, a_angle, bx, by, b_scale, b_angle, enough: int | None = None) -> int:
-    """How many matches agree on one similarity transform: the best of each match's own vote, or the
-    first that is ``enough``."""
-    n = len(ax)
+    """How many matches agree on one similarity transform: the best of each match's own vote, or of the
+    first votes that have one that is ``enough``."""
+    # places of one pixel count once: they stand together
+    _, pixel = np.unique(np.stack([np.rint(ax), np.rint(ay)]), axis=1, return_inverse=True)
+    order = np.argsort(pixel.ravel(), kind="stable")
+    starts = np.flatnonzero(np.diff(pixel.ravel()[order], prepend=-1))
+    ax, ay, bx, by = (v[order] for v in (ax, ay, bx, by))
+    ratio, turn = (b_scale / a_scale)[order], (b_angle - a_angle)[order]
     best = 0
-    ratio = b_scale / a_scale
-    turn = b_angle - a_angle
-    for i in range(n):
+    for lo in range(0, len(ax), 64):
+        i = np.arange(lo, min(lo + 64, len(ax)))[:, None]
         s, c, d = ratio[i], np.cos(turn[i]), np.sin(turn[i])
         x = (ax - ax[i]) * c * s - (ay - ay[i]) * d * s + bx[i]
         y = (ax - ax[i]) * d * s + (ay - ay[i]) * c * s + by[i]
         good = (np.hypot(x - bx, y - by) < 4) & (np.abs(np.log(ratio / s)) < 0.6) & (np.abs((turn - turn[i] + np.pi) % (2 * np.pi) - np.pi) < 0.5)
-        if good.any():
-            best = max(best, len({(round(float(u)), round(float(v))) for u, v in zip(ax[good], ay[good], strict=True)}))
+        best = max(best, int(np.logical_or.reduceat(good, starts, axis=1).sum(1).max()))
         if enough and best >= enough:
             break
     return best
 
 
-def _verify(needed: int):
-    """Matches of one pair of classes to its consensus."""
-
-    def run(part):
-        import pandas as pd
-
-        cols = [part[c].to_numpy(float) for c in ("ax", "ay", "as_", "aa", "bx", "by", "bs", "ba")]
-        return pd.DataFrame({"a": [part["a"].iloc[0]], "b": [part["b"].iloc[0]], "inliers": [consensus(*cols, enough=needed)]})
-
-    return run
-
-
 def bit_tables(width: int) -> list[np.ndarray]:
     """The bits of each table: as many tables as find ``FOUND`` of points with one bit in ten changed, or ``BANDS``."""
     changed = np.arange(257 - width)
@@ -223,48 +248,110 @@ def bit_tables(width: int) -> list[np.ndarray]:
 
 def table_keys(bits: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
     """(points, tables) keys: the bits that each table chooses of the descriptors (points, 32)."""
-    flat = np.unpackbits(bits, axis=1)
-    out = np.zeros((len(bits), len(tables)), np.int64)
-    for i, at in enumerate(tables):
-        packed = np.packbits(flat[:, at], axis=1)
-        for j in range(packed.shape[1]):
-            out[:, i] = out[:, i] << 8 | packed[:, j]
-        out[:, i] >>= -len(at) % 8
+    columns = np.ascontiguousarray(bits.T)
+    return np.stack([_keys(columns, at) for at in tables], axis=1)
+
+
+def _keys(columns: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A table's keys of the descriptors (32, points)."""
+    out = np.zeros(columns.shape[1], np.int64)
+    for i in range(0, len(at), 8):
+        byte = np.zeros(columns.shape[1], np.uint8)
+        for t in at[i : i + 8].tolist():
+            byte = byte << 1 | columns[t >> 3] >> (7 - t % 8) & 1
+        out = out << len(at[i : i + 8]) | byte
     return out
 
 
-def _slots(keys: np.ndarray, band: np.ndarray) -> np.ndarray:
-    return ((keys << 10 | band).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
-
-
-def _entries(tables: list[np.ndarray], bloom: bytes | None, flat: int):
-    """(class, points) to (band, key, class, k, d0, ..., d3), where d is the descriptor; with
-    ``bloom`` only keys that may be asked for."""
-
-    def run(batches):
-        wanted = None if bloom is None else np.unpackbits(np.frombuffer(bloom, np.uint8)).astype(bool)
-        width, bands = len(tables[0]), np.arange(len(tables), dtype=np.int64)
-        for batch in batches:
-            ids, points = batch.column(0).to_numpy(), batch.column(1)
-            counts = np.diff(points.offsets.to_numpy())
-            if not counts.sum():
-                continue
-            bits = np.frombuffer(b"".join(points.flatten().field("bits").to_pylist()), np.uint8).reshape(-1, 32)
-            owner = np.repeat(ids, counts)
-            k = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-            for lo in range(0, len(owner), 1 << 15):
-                here = slice(lo, lo + (1 << 15))
-                keys = table_keys(bits[here], tables)
-                ones = np.bitwise_count(keys)
-                at = (ones >= flat) & (ones <= width - flat)  # nearly equal bits: a flat patch, like any other
-                if wanted is not None:
-                    at &= wanted[_slots(keys, bands)]
-                row, band = np.nonzero(at)
-                d = np.ascontiguousarray(bits[here][row]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(band.astype(np.int32)), pa.array(keys[row, band]), pa.array(owner[here][row]), pa.array(k[here][row].astype(np.int32)), *[pa.array(d[:, j]) for j in range(4)]],
-                    names=["band", "key", "class", "k", "d0", "d1", "d2", "d3"],
-                )
+def _looked_up(columns: np.ndarray, at: np.ndarray, flat: int) -> tuple[np.ndarray, np.ndarray]:
+    """A table's keys, ascending, and their points; without those of flat patches."""
+    keys = _keys(columns, at)
+    ones = np.bitwise_count(keys)
+    rows = np.flatnonzero((ones >= flat) & (ones <= len(at) - flat))  # nearly equal bits: a flat patch, like any other
+    order = np.argsort(keys[rows])
+    return keys[rows][order], rows[order]
+
+
+def near_points(a: np.ndarray, b: np.ndarray, a_own: np.ndarray, b_own: np.ndarray, tables: list[np.ndarray], near: int, flat: int, most: int | None = None) -> np.ndarray | None:
+    """Pairs i * len(b) + j, ascending, of points a[i] and b[j] (descriptors) of different owners that differ in
+    fewer than ``near`` bits and have a key in common; None if more than ``most`` of them turn up."""
+    a_columns, b_columns = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    a_words, b_words = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)
+    out, fresh, held = np.zeros(0, np.int64), [], 0
+    for at in tables:
+        (a_keys, a_rows), (b_keys, b_rows) = _looked_up(a_columns, at, flat), _looked_up(b_columns, at, flat)
+        low = np.searchsorted(a_keys, b_keys, "left")
+        count = np.searchsorted(a_keys, b_keys, "right") - low
+        hit = np.flatnonzero(count)
+        low, count, b_rows = low[hit], count[hit], b_rows[hit]
+        ends = np.cumsum(count)
+        for lo in range(0, int(ends[-1]) if len(ends) else 0, BATCH):
+            n = np.arange(lo, min(lo + BATCH, int(ends[-1])))
+            k = np.searchsorted(ends, n, "right")
+            i, j = a_rows[low[k] + n - (ends[k] - count[k])], b_rows[k]
+            other = a_own[i] != b_own[j]
+            i, j = i[other], j[other]
+            differ = np.bitwise_count(a_words[i] ^ b_words[j])
+            close = differ[:, 0].astype(np.int16) + differ[:, 1] + differ[:, 2] + differ[:, 3] < near
+            fresh.append(i[close] * len(b) + j[close])
+            held += len(fresh[-1])
+            if held > max(len(out), min(BATCH, most or BATCH)):
+                out, fresh, held = np.unique(np.concatenate([out, *fresh])), [], 0
+                if most and len(out) > most:
+                    return None
+    return np.unique(np.concatenate([out, *fresh]))
+
+
+class _Points(NamedTuple):
+    """Images of a task: classes, where each one's points begin and end, descriptors and places of all points."""
+
+    classes: np.ndarray
+    bounds: np.ndarray
+    bits: np.ndarray
+    places: np.ndarray
+
+    @staticmethod
+    def of(table: pa.Table) -> _Points:
+        bits, places = table["bits"].to_pylist(), table["places"].to_pylist()
+        bounds = np.cumsum([0, *(len(b) // 32 for b in bits)])
+        return _Points(table["class"].to_numpy(), bounds, np.frombuffer(b"".join(bits), np.uint8).reshape(-1, 32), np.frombuffer(b"".join(places), "<f4").reshape(-1, 4))
+
+    def halves(self) -> list[_Points]:
+        n = len(self.classes)
+        parts = [(lo, hi, slice(self.bounds[lo], self.bounds[hi])) for lo, hi in ((0, n // 2), (n // 2, n))]
+        return [_Points(self.classes[lo:hi], self.bounds[lo : hi + 1] - self.bounds[lo], self.bits[at], self.places[at]) for lo, hi, at in parts]
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.classes)), np.diff(self.bounds))
+
+
+def _links(a: _Points, b: _Points, tables: list[np.ndarray], needed: int, near: int, flat: int, most: int):
+    """(class, class) of images of ``a`` and ``b`` whose matches have a consensus."""
+    a_own, b_own = a.owners(), b.owners()
+    found = near_points(a.bits, b.bits, a.classes[a_own], b.classes[b_own], tables, near, flat, most if max(len(a.classes), len(b.classes)) > 1 else None)
+    if found is None:
+        for x, y in [(a, y) for y in b.halves()] if len(b.classes) > 1 else [(x, b) for x in a.halves()]:
+            yield from _links(x, y, tables, needed, near, flat, most)
+        return
+    i, j = np.divmod(found, max(1, len(b.bits)))
+    pair = a_own[i] * len(b.classes) + b_own[j]
+    order = np.argsort(pair, kind="stable")
+    i, j, pair = i[order], j[order], pair[order]
+    starts = np.flatnonzero(np.diff(pair, prepend=-1))
+    if not len(starts):
+        return
+    points = np.add.reduceat((np.diff(pair, prepend=-1) != 0) | (np.diff(i, prepend=-1) != 0), starts, dtype=int)
+    for lo, hi in zip(starts[points >= needed].tolist(), np.append(starts[1:], len(pair))[points >= needed].tolist(), strict=True):
+        if consensus(*a.places[i[lo:hi]].T.astype(float), *b.places[j[lo:hi]].T.astype(float), enough=needed) >= needed:
+            yield a.classes[a_own[i[lo]]], b.classes[b_own[j[lo]]]
+
+
+def _linked(tables: list[np.ndarray], needed: int, near: int, flat: int, most: int):
+    """A slice of the queries and a block of the images to links (a, b)."""
+
+    def run(left, right):
+        found = list(_links(_Points.of(left), _Points.of(right), tables, needed, near, flat, most)) if left.num_rows and right.num_rows else []
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
@@ -275,70 +362,33 @@ def copies(images: DataFrame, query: str = "id % 20 = 0", needed: int = CONSENSU
     spark = images.sparkSession
     scratch = Scratch(spark, "images")
     rows = images.select(F.col("id").cast("long").alias("id"), F.col("image").cast("binary").alias("image"))
-    described = scratch.cut(rows.mapInArrow(_described(keypoints), "id long, sha string, points array<struct<x: float, y: float, scale: float, angle: float, bits: binary>>"), "described")
+    described = scratch.cut(rows.mapInArrow(_described(keypoints), "id long, sha string, bits binary, places binary"), "described")
     asked = F.coalesce(F.expr(query), F.lit(False))
-    first = F.min_by("points", F.coalesce("id", F.lit(-1).cast("long")))
-    members = scratch.cut(described.select("id", "sha", F.size("points").alias("n_points")), "members")
+    first = F.min_by(F.struct("bits", "places"), F.coalesce("id", F.lit(-1).cast("long")))
+    members = scratch.cut(described.select("id", "sha", F.floor(F.length("bits") / 32).cast("int").alias("n_points")), "members")
     classes = described.groupBy("sha").agg(F.min("id").alias("first_id"), F.max(asked).alias("asked"), first.alias("points")).where("first_id IS NOT NULL")
     # a class is known by its hash: rows of one id may have different images
-    classes = scratch.cut(classes.select(F.xxhash64("sha").alias("class"), "sha", F.col("first_id"), "asked", "points"), "classes")
+    classes = scratch.cut(classes.select(F.xxhash64("sha").alias("class"), "sha", F.col("first_id"), "asked", "points.bits", "points.places"), "classes")
     scratch.drop("described")
-    some = classes.agg(F.sum(F.size("points")).alias("all"), F.sum(F.when(F.col("asked"), F.size("points"))).alias("asked")).first()
+    some = classes.select("asked", (F.length("bits") / 32).cast("long").alias("n")).agg(F.sum("n").alias("all"), F.sum(F.when(F.col("asked"), F.col("n"))).alias("asked")).first()
+    n, n_asked = some["all"] or 0, some["asked"] or 0
     # chance matches of a key stay few however many points there are
-    width = width or min(40, max(16, int(np.ceil(1.5 * np.log2(max(2, some["all"] or 0)))) - 1))
-    schema = "band int, key long, class long, k int, d0 long, d1 long, d2 long, d3 long"
-    tables = bit_tables(width)
-    keyed = classes.select("class", "points")
-    queried = classes.where("asked").select("class", "points")
-    # so many tables at a time that the queries' keys leave most of the Bloom filter empty
-    step = min(BANDS, max(1, (1 << 24) // 12 // max(1, some["asked"] or 0)))
-    pairs = None
-    for i in range(0, len(tables), step):
-        part = tables[i : i + step]
-        q = scratch.cut(queried.mapInArrow(_entries(part, None, flat), schema), f"asked-{i}")
-        t = keyed.mapInArrow(_entries(part, _bloom(q), flat), schema)
-        a = q.select("band", "key", F.col("class").alias("a"), F.col("k").alias("ak"), *[F.col(f"d{j}").alias(f"a{j}") for j in range(4)])
-        b = t.select("band", "key", F.col("class").alias("b"), F.col("k").alias("bk"), *[F.col(f"d{j}").alias(f"b{j}") for j in range(4)])
-        words = [F.bit_count(F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}"))) for j in range(4)]
-        found = a.join(b, ["band", "key"]).where(F.col("a") != F.col("b")).where(sum(words[1:], words[0]) < near)
-        found = scratch.cut(found.select("a", "ak", "b", "bk").distinct(), f"near-{i}")
-        scratch.drop(f"asked-{i}")
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = scratch.cut(pairs.distinct(), "pairs")
-    scratch.drop(*[f"near-{i}" for i in range(0, len(tables), step)])
-    enough = scratch.cut(pairs.groupBy("a", "b").agg(F.countDistinct("ak").alias("n")).where(F.col("n") >= needed).select("a", "b"), "enough")
-    likely = pairs.join(enough, ["a", "b"])
-    wanted = enough.select(F.col("a").alias("class")).unionByName(enough.select(F.col("b").alias("class"))).distinct()
-    point = classes.join(wanted, "class", "left_semi").select("class", F.posexplode("points").alias("k", "p")).select("class", "k", "p.x", "p.y", "p.scale", "p.angle")
-    left = point.select(F.col("class").alias("a"), F.col("k").alias("ak"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("scale").alias("as_"), F.col("angle").alias("aa"))
-    right = point.select(F.col("class").alias("b"), F.col("k").alias("bk"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("scale").alias("bs"), F.col("angle").alias("ba"))
-    matched = likely.join(left, ["a", "ak"]).join(right, ["b", "bk"])
-    checked = matched.groupBy("a", "b").applyInPandas(_verify(needed), "a long, b long, inliers int").where(F.col("inliers") >= needed)
+    width = width or min(40, max(16, int(np.ceil(1.5 * np.log2(max(2, n)))) - 1))
+    slices = max(1, -(-n_asked // SLICE))
+    blocks = max(-(-n // BLOCK), min(24, -(-n // (1 << 14))), 1)
+    point = classes.where("length(bits) > 0").select("class", "asked", "bits", "places")
+    place = F.xxhash64("class", F.lit(9))  # other than the hash that Spark deals rows by
+    left = point.where("asked").select("class", "bits", "places", F.pmod(place, F.lit(slices)).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = point.select("class", "bits", "places", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.pmod(place, F.lit(blocks)).cast("int").alias("block"))
+    linked = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(_linked(bit_tables(width), needed, near, flat, MATCHES), "a long, b long")
+    links = scratch.cut(linked, "links")
     firsts = classes.select(F.col("class").alias("b"), "first_id")
-    found = checked.join(firsts, "b").groupBy("a").agg(F.array_sort(F.collect_set("first_id")).alias("matches"))
+    found = links.join(firsts, "b").groupBy("a").agg(F.array_sort(F.collect_set("first_id")).alias("matches"))
     out = members.join(classes.select("sha", "class", F.col("first_id").alias("class_id")), "sha", "left")
     out = out.join(found, F.col("class") == F.col("a"), "left")
     return out.select("id", F.coalesce("class_id", "id").alias("class_id"), "n_points", asked.alias("is_query"), F.when(asked, F.coalesce("matches", F.array().cast("array<long>"))).alias("matches"))
 
 
-def _bloom(entries: DataFrame) -> bytes:
-    """2**24 bits (2 MB, whatever the number of keys): those that the entries' keys fall on."""
-
-    def run(batches):
-        for batch in batches:
-            keys, band = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-            slot = _slots(keys, band.astype(np.int64))
-            byte, bit = slot >> 3, (128 >> (slot & 7)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(byte), pa.array(bit)], names=["byte", "bits"])
-
-    filled = entries.mapInArrow(run, "byte long, bits long").groupBy(F.floor(F.col("byte") / 8).alias("word")).agg(*[F.bit_or(F.when(F.col("byte") % 8 == i, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(8)]).toArrow()
-    out = np.zeros(1 << 21, np.uint8)
-    word = filled["word"].to_numpy().astype(np.int64)
-    for i in range(8):
-        out[word * 8 + i] = filled[f"b{i}"].to_numpy().astype(np.uint8)
-    return out.tobytes()
-
-
 def drawn(vectors: DataFrame, side: int = 72) -> DataFrame:
     """(id, image): each vector drawn as a picture, so that a table without media has some.
 
@@ -390,15 +440,16 @@ def edited(img: np.ndarray, seed: int) -> np.ndarray:
 
 def picture(v: np.ndarray, side: int = 72) -> np.ndarray:
     """Waves and discs whose places, directions and shades are the vector's values."""
-    yy, xx = np.mgrid[0:side, 0:side] / side
+    at = np.arange(side) / side
     v = np.nan_to_num(v) * 97  # so that only equal vectors give like pictures
-    img = np.zeros((side, side))
-    for i in range(0, len(v) - 3, 4):
-        a, b, c, d = v[i : i + 4]
-        fx, fy = (a - np.floor(a)) * 16 - 8, (b - np.floor(b)) * 16 - 8
-        img += (0.4 + c - np.floor(c)) * np.cos(2 * np.pi * (fx * xx + fy * yy + d))
-        x, y, r = c * 3 - np.floor(c * 3), d * 3 - np.floor(d * 3), 0.05 + (a * 3 - np.floor(a * 3)) * 0.1
-        img[(xx - x) ** 2 + (yy - y) ** 2 < r * r] += 3 * np.sign(b)
+    a, b, c, d = v[: len(v) // 4 * 4].reshape(-1, 4).T[:, :, None]
+    fx, fy = (a - np.floor(a)) * 16 - 8, (b - np.floor(b)) * 16 - 8
+    across, down = 2 * np.pi * (fx * at + d), 2 * np.pi * fy * at
+    shade = 0.4 + c - np.floor(c)
+    img = np.cos(down).T @ (shade * np.cos(across)) - np.sin(down).T @ (shade * np.sin(across))
+    x, y, r = c * 3 - np.floor(c * 3), d * 3 - np.floor(d * 3), 0.05 + (a * 3 - np.floor(a * 3)) * 0.1
+    disc = ((at - x) ** 2)[:, None, :] + ((at - y) ** 2)[:, :, None] < (r * r)[:, :, None]
+    img += np.tensordot(3 * np.sign(b[:, 0]), disc, 1)
     spread = img.std()
     return np.clip(128 + 45 * img / spread, 0, 255) if spread > 0 else np.full((side, side), 128.0)
 

@@ -425,6 +425,54 @@ def test_recall_of_each_edit_against_brute_force(spark, width):
     assert sum(len(m) - (want[q] in m) for q, m in got.items() if q in want) <= 1
 
 
+def test_chance_matches_of_points_stay_in_their_task(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(240)]
+    df = images.drawn(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).cache()
+    cut, written = images.Scratch.cut, {}
+
+    def counted(self, table, name):
+        out = cut(self, table, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(images.Scratch, "cut", counted)
+    whole = sorted(images.copies(df).collect())
+    # only images and links are written, not points or pairs of points, whose number grows with the square of the table
+    assert max(written.values()) <= df.count(), written
+    assert sum(len(r["matches"] or []) for r in whole) >= 20
+    for name, few in (("SLICE", 300), ("BLOCK", 2000), ("MATCHES", 40)):
+        monkeypatch.setattr(images, name, few)
+    assert sorted(images.copies(df).collect()) == whole
+
+
+@pytest.mark.parametrize("batch", [7, 1 << 18])
+def test_near_points_are_those_of_all_pairs(monkeypatch, batch):
+    monkeypatch.setattr(images, "BATCH", batch)
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 256, (60, 32), np.uint8)
+    b = np.concatenate([a ^ np.packbits(rng.random((60, 256)) < 0.12, axis=1), rng.integers(0, 256, (40, 32), np.uint8), a[:5], np.zeros((2, 32), np.uint8)])
+    a = np.concatenate([a, np.zeros((1, 32), np.uint8)])
+    a_own, b_own, tables = np.arange(len(a)) // 4, np.arange(len(b)) % 9, images.bit_tables(20)
+    ones = images.table_keys(a, tables), images.table_keys(b, tables)
+    want = [
+        i * len(b) + j
+        for i in range(len(a))
+        for j in range(len(b))
+        if a_own[i] != b_own[j] and np.bitwise_count(a[i] ^ b[j]).sum() < images.NEAR and any(x == y and 3 <= int(x).bit_count() <= 17 for x, y in zip(ones[0][i], ones[1][j], strict=True))
+    ]
+    assert images.near_points(a, b, a_own, b_own, tables, images.NEAR, 3).tolist() == want and len(want) > 20
+    assert images.near_points(a, b, a_own, b_own, tables, images.NEAR, 3, most=10) is None
+
+
+def test_an_image_is_described_as_alone():
+    rng = np.random.default_rng(5)
+    imgs = [images.decode(images.encode(images.edited(images.picture(rng.normal(size=64)), i))) for i in range(30)] + [None, np.zeros((80, 80), np.float32)]
+    for img, (places, bits) in zip(imgs, images.describe_all(imgs), strict=True):
+        alone = images.describe(img)
+        assert [p[:4] for p in alone] == list(map(tuple, places.tolist())) and [p[4] for p in alone] == list(map(bytes, bits))
+
+
 def test_small_crops_of_large_images_and_odd_rasters(spark):
     rng = np.random.default_rng(3)
     base = [images.picture(rng.normal(size=64), 288) for _ in range(16)]
